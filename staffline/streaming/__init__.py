@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The source system has no streams, watermarks, windows or state: its "days
+back" option is a batch look-back filter (``staffline.functions.time``). No
+streaming operator is built, so that the library does only what the source
+does.
+"""
