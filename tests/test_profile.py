@@ -1,0 +1,116 @@
+"""R1 / R1x: fan-out arithmetic and edge cases (in-memory frames)."""
+
+import datetime as dt
+
+import pytest
+
+from staffline import employee_profile, employee_profile_exact
+
+from .conftest import benefit, leave_row, make_tables, review_row
+
+
+def _by_id(df):
+    return {r["employee_id"]: r.asDict() for r in df.collect()}
+
+
+@pytest.fixture
+def tables(spark):
+    return make_tables(
+        spark,
+        employees=[(1, "Ann"), (2, "Bob"), (3, "Cid")],
+        benefits=[benefit(1), benefit(3), benefit(3)],  # employee 3: two equal benefit rows
+        leave=[leave_row(10, 1, "Pending"), leave_row(11, 1, "Approved"), leave_row(12, 3, "Pending")],
+        reviews=[review_row(20, 1, goals=10, tech=1, rating=2, date=dt.date(2024, 1, 1)),
+                 review_row(21, 1, goals=20, tech=2, rating=5, date=dt.date(2024, 1, 2)),
+                 review_row(22, 1, goals=None, tech=3, rating=3, date=dt.date(2024, 1, 3))],
+    )
+
+
+def test_fanout_counts(tables):
+    got = _by_id(employee_profile(tables))
+    # 2 leaves x 3 reviews: the source reports 6 and 3.
+    assert got[1]["total_leave_requests"] == 6
+    assert got[1]["pending_leave_requests"] == 3
+    assert got[1]["avg_goals_score"] == 15.0
+    assert got[1]["avg_technical_score"] == 2.0
+    assert got[1]["latest_performance_rating"] == 5
+
+
+def test_no_leave_no_reviews(tables):
+    got = _by_id(employee_profile(tables))
+    assert got[2]["total_leave_requests"] == 0
+    assert got[2]["pending_leave_requests"] == 0
+    assert got[2]["avg_goals_score"] is None
+    assert got[2]["health_plan"] is None
+
+
+def test_duplicate_benefits_double_the_count(tables):
+    got = _by_id(employee_profile(tables))
+    assert got[3]["total_leave_requests"] == 2
+    assert got[3]["pending_leave_requests"] == 2
+
+
+def test_exact_counts(tables):
+    got = _by_id(employee_profile_exact(tables))
+    assert got[1]["total_leave_requests"] == 2
+    assert got[1]["pending_leave_requests"] == 1
+    assert got[3]["total_leave_requests"] == 1
+    # newest review (2024-01-03) has rating 3, the maximum is 5
+    assert got[1]["newest_review_rating"] == 3
+    assert got[1]["latest_performance_rating"] == 5
+
+
+def test_exact_equals_fanout_when_at_most_one_review(spark):
+    t = make_tables(spark, employees=[(1, "A"), (2, "B")], benefits=[benefit(1), benefit(2)],
+                    leave=[leave_row(1, 1), leave_row(2, 1, "Pending"), leave_row(3, 2)],
+                    reviews=[review_row(5, 2)])
+    cols = ["employee_id", "total_leave_requests", "pending_leave_requests"]
+    a = sorted(employee_profile(t).select(cols).collect())
+    b = sorted(employee_profile_exact(t).select(cols).collect())
+    assert a == b
+
+
+def test_different_benefit_records_give_separate_rows(spark):
+    t = make_tables(spark, employees=[(1, "A")],
+                    benefits=[benefit(1, health="PPO"), benefit(1, health="HMO")],
+                    leave=[leave_row(1, 1)])
+    rows = employee_profile(t).collect()
+    assert sorted(r["health_plan"] for r in rows) == ["HMO", "PPO"]
+    assert all(r["total_leave_requests"] == 1 for r in rows)
+
+
+def test_salary_only_when_asked(tables):
+    assert "salary" not in employee_profile(tables).columns
+    assert "salary" in employee_profile(tables, include_salary=True).columns
+
+
+def test_no_benefit_columns(tables):
+    df = employee_profile(tables, include_benefits=False)
+    assert "health_plan" not in df.columns
+    # the source still joins benefits: counts keep the duplicate factor
+    assert _by_id(df)[3]["total_leave_requests"] == 2
+    exact = employee_profile_exact(tables, include_benefits=False)
+    assert exact.count() == 3
+
+
+@pytest.mark.parametrize("ids", [1, [1, 3], "frame"])
+def test_id_restriction(spark, tables, ids):
+    if ids == "frame":
+        ids = spark.createDataFrame([(1,), (3,)], "employee_id bigint")
+    got = _by_id(employee_profile(tables, ids=ids))
+    assert set(got) <= {1, 3} and 1 in got
+    assert got[1]["total_leave_requests"] == 6
+
+
+def test_id_zero_is_a_real_id(spark):
+    t = make_tables(spark, employees=[(0, "Zed"), (1, "A")], leave=[leave_row(1, 0)])
+    got = _by_id(employee_profile(t, ids=0))
+    assert list(got) == [0] and got[0]["total_leave_requests"] == 1
+
+
+def test_nested(tables):
+    df = employee_profile(tables, nested=True)
+    assert df.columns == ["employee_id", "basic_info", "benefits", "performance_summary"]
+    row = [r for r in df.collect() if r["employee_id"] == 1][0]
+    assert row["performance_summary"]["total_leave_requests"] == 6
+    assert "salary" not in row["basic_info"].asDict()
