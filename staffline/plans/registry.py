@@ -26,9 +26,29 @@ def _flat_benefits(df: DataFrame) -> DataFrame:
                      *[F.col(f"filtered_benefits.{c}").alias(f"filtered_{c}") for c in inner])
 
 
+_LOADED: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext (Spark Connect)
+        return str(id(spark))
+
+
+def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The fixture tables of ``sf_dir``, defined once per session and folder,
+    as a user loads tables once and runs many reports over them. These are
+    lazy definitions, not cached data: every query still scans the files."""
+    key = (_session_key(spark), sf_dir)
+    if key not in _LOADED:
+        _LOADED[key] = fixture_tables(spark, sf_dir)
+    return dict(_LOADED[key])
+
+
 def _q(build: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(fixture_tables(spark, sf_dir))
+        return build(load(spark, sf_dir))
     run.__doc__ = build.__doc__
     return run
 
@@ -110,4 +130,7 @@ def queries() -> dict[str, Query]:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = (_session_key(spark), sf_dir, name)
+    if key not in _LOADED:
+        _LOADED[key] = {name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")}
+    return _LOADED[key][name]
