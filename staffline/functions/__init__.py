@@ -1,10 +1,12 @@
 """Column-level building blocks shared by the reports (all JVM-side)."""
 
+from .json import json_lines
 from .predicates import all_of, non_blank, restrict_ids
 from .text import STRIP_CHARS, sanitize_column, sanitize_value
 from .time import as_of_date, as_of_timestamp, on_or_after_days_back
 
 __all__ = [
+    "json_lines",
     "all_of", "non_blank", "restrict_ids",
     "STRIP_CHARS", "sanitize_column", "sanitize_value",
     "as_of_date", "as_of_timestamp", "on_or_after_days_back",

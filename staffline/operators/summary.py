@@ -1,20 +1,19 @@
 """R6: workforce summary.
 
 The source runs nine separate Spark actions (two or three scans per table).
-Here each section is one aggregation over one scan:
-
-* employees: ``rollup(department)`` gives the per-department counts and the
-  headcount together (``grouping_id`` tells the total from a null department);
-* benefits: ``groupingSets([health_plan], [retirement_plan], [])`` gives both
-  distributions and the global average match in one pass;
-* leave requests (look-back window): ``rollup(status)``;
-* reviews (look-back window): one global ``agg`` with the count and three means.
-
-All are partial (map-side) aggregations followed by a shuffle of at most one
-row per group per task, so a hot key costs nothing extra. ``hr_summary``
-stacks the sections into one long DataFrame
-``(section, metric, key, value double)``. The single-metric functions
-(R6a-R6i) are the same aggregations, one result each.
+``hr_summary`` is one job with one shuffle: each table's rows are turned, in
+the scan's own stage, into ``(section, metric, key, weight, value)``
+contributions (a row counts towards its table's total and its breakdown key;
+scores feed the means); the four streams are unioned with a fixed skeleton of
+the scalar metrics (at most seven weight-0 rows, so that totals are 0 and
+means 0.0 on empty input, as in the source) and aggregated once by
+``(section, metric, key)`` with ``sum(weight)`` and ``avg(value)``. The
+aggregation is partial on the map side, so at most one row per group per task
+is shuffled and a hot key costs nothing extra. The result is the long form
+``(section, metric, key, value double)``.
+
+The single-metric functions (R6a-R6i) are the plain aggregations, one result
+each.
 
 Null and '' rules (as in the source): a null department or status is kept
 as its own group; null and '' plan names are dropped from the distributions
@@ -121,60 +120,56 @@ def review_score_averages(tables: dict[str, DataFrame], days_back: int = 30, as_
 
 # --- the combined summary (R6, R6j) -----------------------------------------
 
-def _rows(section: str, df: DataFrame, rows: list[tuple[str, Column | None, Column]]) -> DataFrame:
-    """Long form of a one-pass aggregate: each input row yields one output row
-    per (metric, key, value) triple whose value is not null."""
-    entries = F.array(*[
-        F.struct(F.lit(metric).alias("metric"),
-                 (key if key is not None else F.lit(None)).cast("string").alias("key"),
-                 value.cast("double").alias("value"))
-        for metric, key, value in rows
-    ])
-    return df.select(F.inline(entries)).filter(F.col("value").isNotNull()) \
-        .select(F.lit(section).alias("section"), "metric", "key", "value")
-
-
-def _employee_section(tables) -> DataFrame:
-    agg = tables[EMPLOYEES].rollup("department").agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
-    total = F.col("g") == 1
-    return _rows("employees", agg, [
-        ("total_employees", None, F.when(total, F.col("n"))),
-        ("department_breakdown", F.col("department"), F.when(~total, F.col("n"))),
-    ])
-
-
-def _benefit_section(tables) -> DataFrame:
-    benefits = tables[BENEFITS].select("health_plan", "retirement_plan", "company_match_percent")
-    agg = benefits.groupingSets([["health_plan"], ["retirement_plan"], []], "health_plan", "retirement_plan") \
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("company_match_percent").alias("avg_match"),
-             F.grouping_id().alias("g"))
-    # grouping_id bits: health_plan is the high bit, retirement_plan the low one.
-    return _rows("benefits", agg, [
-        ("health_plan_distribution", F.col("health_plan"),
-         F.when((F.col("g") == 1) & non_blank("health_plan"), F.col("n"))),
-        ("retirement_plan_distribution", F.col("retirement_plan"),
-         F.when((F.col("g") == 2) & non_blank("retirement_plan"), F.col("n"))),
-        ("average_company_match_percent", None,
-         F.when(F.col("g") == 3, _zero_if_null(F.col("avg_match")))),
-    ])
-
-
-def _leave_section(tables, days_back: int, as_of: AsOf) -> DataFrame:
-    agg = _leave_window(tables, days_back, as_of).select("status").rollup("status").agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
-    total = F.col("g") == 1
-    return _rows("leave_requests", agg, [
-        ("total_requests", None, F.when(total, F.col("n"))),
-        ("status_breakdown", F.col("status"), F.when(~total, F.col("n"))),
-    ])
+COUNT_METRICS = (
+    "total_employees", "department_breakdown", "health_plan_distribution",
+    "retirement_plan_distribution", "total_requests", "status_breakdown", "total_reviews",
+)
+# Metrics that exist even when their table (or window) is empty: 0 / 0.0.
+SCALAR_METRICS = {
+    "employees": [("total_employees", None)],
+    "benefits": [("average_company_match_percent", None)],
+    "leave_requests": [("total_requests", None)],
+    "performance_reviews": [("total_reviews", None)] + [("average_scores", c) for c in SCORE_COLUMNS],
+}
 
 
-def _review_section(tables, days_back: int, as_of: AsOf) -> DataFrame:
-    agg = _review_window(tables, days_back, as_of).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in SCORE_COLUMNS])
-    return _rows("performance_reviews", agg, [("total_reviews", None, F.col("n"))] + [
-        ("average_scores", F.lit(c), _zero_if_null(F.col(c))) for c in SCORE_COLUMNS
+def _contributions(df: DataFrame, section: str, specs) -> DataFrame:
+    """Each input row -> one ``(section, metric, key, weight, value)`` row per
+    spec ``(metric, key, value, keep)``; generated inside the scan's stage."""
+    items = []
+    for metric, key, value, keep in specs:
+        item = F.struct(
+            F.lit(metric).alias("metric"),
+            (F.lit(None) if key is None else key).cast("string").alias("key"),
+            F.lit(1).alias("weight"),
+            (F.lit(None) if value is None else value).cast("double").alias("value"),
+        )
+        items.append(item if keep is None else F.when(keep, item))
+    return df.select(F.inline(F.array(*items))).filter(F.col("metric").isNotNull()) \
+        .select(F.lit(section).alias("section"), "metric", "key", "weight", "value")
+
+
+def _section_rows(tables, section: str, days_back: int, as_of: AsOf) -> DataFrame:
+    if section == "employees":
+        return _contributions(tables[EMPLOYEES].select("department"), section, [
+            ("total_employees", None, None, None),
+            ("department_breakdown", F.col("department"), None, None),
+        ])
+    if section == "benefits":
+        b = tables[BENEFITS].select("health_plan", "retirement_plan", "company_match_percent")
+        return _contributions(b, section, [
+            ("health_plan_distribution", F.col("health_plan"), None, non_blank("health_plan")),
+            ("retirement_plan_distribution", F.col("retirement_plan"), None, non_blank("retirement_plan")),
+            ("average_company_match_percent", None, F.col("company_match_percent"), None),
+        ])
+    if section == "leave_requests":
+        return _contributions(_leave_window(tables, days_back, as_of).select("status"), section, [
+            ("total_requests", None, None, None),
+            ("status_breakdown", F.col("status"), None, None),
+        ])
+    reviews = _review_window(tables, days_back, as_of).select(*SCORE_COLUMNS)
+    return _contributions(reviews, section, [("total_reviews", None, None, None)] + [
+        ("average_scores", F.lit(c), F.col(c), None) for c in SCORE_COLUMNS
     ])
 
 
@@ -195,17 +190,23 @@ def hr_summary(
     unknown = set(wanted) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections {sorted(unknown)}; known: {', '.join(SECTIONS)}")
-    builders = {
-        "employees": lambda: _employee_section(tables),
-        "benefits": lambda: _benefit_section(tables),
-        "leave_requests": lambda: _leave_section(tables, days_back, as_of),
-        "performance_reviews": lambda: _review_section(tables, days_back, as_of),
-    }
-    parts = [builders[s]() for s in SECTIONS if s in wanted and _SECTION_TABLE[s] in tables]
-    if not parts:
+    built = [sec for sec in SECTIONS if sec in wanted and _SECTION_TABLE[sec] in tables]
+    if not built:
         raise ValueError("no section can be built from the given tables")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
+    rows = _section_rows(tables, built[0], days_back, as_of)
+    for sec in built[1:]:
+        rows = rows.unionByName(_section_rows(tables, sec, days_back, as_of))
+    # A fixed skeleton (at most 7 rows) makes the scalar metrics exist on empty input.
+    skeleton = [(sec, metric, key, 0, None) for sec in built for metric, key in SCALAR_METRICS[sec]]
+    spark = tables[_SECTION_TABLE[built[0]]].sparkSession
+    rows = rows.unionByName(spark.createDataFrame(
+        skeleton, "section string, metric string, key string, weight int, value double"))
+    agg = rows.groupBy("section", "metric", "key").agg(
+        F.sum("weight").alias("n"), F.avg("value").alias("mean"))
+    out = agg.select(
+        "section", "metric", "key",
+        F.when(F.col("metric").isin(*COUNT_METRICS), F.col("n").cast("double"))
+         .otherwise(_zero_if_null(F.col("mean"))).alias("value"),
+    )
+    rank = F.array_position(F.array(*[F.lit(sec) for sec in SECTIONS]), F.col("section"))
     return out.orderBy(rank, F.col("metric"), F.col("value").desc(), F.col("key").asc_nulls_first())

@@ -114,3 +114,15 @@ def test_nested(tables):
     row = [r for r in df.collect() if r["employee_id"] == 1][0]
     assert row["performance_summary"]["total_leave_requests"] == 6
     assert "salary" not in row["basic_info"].asDict()
+
+
+def test_json_lines_drop_null_fields(tables):
+    import json
+
+    from staffline.functions import json_lines
+    rows = [json.loads(r["json"]) for r in json_lines(employee_profile(tables, nested=True)).collect()]
+    bob = [r for r in rows if r["employee_id"] == 2][0]
+    assert "health_plan" not in bob["benefits"]
+    assert "avg_goals_score" not in bob["performance_summary"]
+    assert bob["performance_summary"]["total_leave_requests"] == 0
+    assert bob["basic_info"]["hire_date"] == "2020-01-01"

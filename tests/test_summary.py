@@ -110,3 +110,26 @@ def test_invariants_on_fixture(spark):
     status = {r["key"]: r["value"] for r in rows if r["metric"] == "status_breakdown"}
     assert status == {"Approved": 61.0, "Cancelled": 38.0, "Denied": 36.0, "Pending": 63.0}
     assert review_window_total(t, 14, as_of=AS_OF).first()[0] == 4680
+
+
+def test_long_form_on_empty_inputs(spark):
+    t = make_tables(spark, employees=[(1, "A")], leave=[leave_row(1, 1, ts=dt.datetime(2020, 1, 1))])
+    rows = {(r["section"], r["metric"], r["key"]): r["value"]
+            for r in hr_summary(t, 30, as_of=AS_OF).collect()}
+    assert rows[("leave_requests", "total_requests", None)] == 0.0
+    assert rows[("performance_reviews", "total_reviews", None)] == 0.0
+    assert rows[("benefits", "average_company_match_percent", None)] == 0.0
+    for c in ("goals_achievement", "technical_skills", "communication"):
+        assert rows[("performance_reviews", "average_scores", c)] == 0.0
+    assert not any(m == "status_breakdown" or m.endswith("_distribution") for _, m, _ in rows)
+    assert len(rows) == 8  # 7 scalar metrics + one department
+
+
+def test_long_form_is_one_aggregation(tables):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        hr_summary(tables, 30, as_of=AS_OF).explain()
+    physical = buf.getvalue()
+    assert physical.count("HashAggregate(keys=[section") == 2  # partial + final, once
