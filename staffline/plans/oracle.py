@@ -75,7 +75,15 @@ def _in(values) -> str:
 
 
 def _sql(body: str) -> str:
-    return FIXTURE_CTES + "\n" + body.strip()
+    """A report body over the HR tables by name (it may open with its own WITH)."""
+    return body.strip()
+
+
+def with_fixture(body: str) -> str:
+    """Prefix a report body with the fixture views, merging WITH clauses."""
+    if body.startswith("WITH "):
+        return FIXTURE_CTES + ",\n" + body[len("WITH "):]
+    return FIXTURE_CTES + "\n" + body
 
 
 # --- R1 / R1x ---------------------------------------------------------------
@@ -104,7 +112,7 @@ def _profile_exact() -> str:
     e = ", ".join(f"e.{c}" for c in EMP_NO_SALARY)
     b = ", ".join(f"b.{c}" for c in BEN)
     return _sql(f"""
-, lv AS (
+WITH lv AS (
   SELECT employee_id, COUNT(request_id) AS n, COUNT(CASE WHEN status = 'Pending' THEN 1 END) AS p
   FROM leave_requests GROUP BY employee_id
 ), rv AS (
@@ -268,6 +276,12 @@ def sanitize_sql(column: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    """The registered queries' SQL, each over the fixture views."""
+    return {name: with_fixture(body) for name, body in report_sql().items()}
+
+
+def report_sql() -> dict[str, str]:
+    """The registered queries' SQL over the HR tables by name."""
     narrow = P.NARROW_DOMAINS
     return {
         "employee_profile": _profile_fanout(EMP_NO_SALARY, True),
