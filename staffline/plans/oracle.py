@@ -108,9 +108,12 @@ GROUP BY {", ".join(f"e.{c}" for c in EMP)}, {b}
 """)
 
 
-def _profile_exact() -> str:
+def _profile_exact(with_benefits: bool = True, where: str = "") -> str:
     e = ", ".join(f"e.{c}" for c in EMP_NO_SALARY)
-    b = ", ".join(f"b.{c}" for c in BEN)
+    b = ", ".join(f"b.{c}" for c in BEN) if with_benefits else ""
+    benefit_cols = f"{b}," if with_benefits else ""
+    benefit_join = (f"LEFT JOIN (SELECT DISTINCT employee_id, {', '.join(BEN)} FROM employee_benefits) b "
+                    "ON e.employee_id = b.employee_id") if with_benefits else ""
     return _sql(f"""
 WITH lv AS (
   SELECT employee_id, COUNT(request_id) AS n, COUNT(CASE WHEN status = 'Pending' THEN 1 END) AS p
@@ -124,15 +127,16 @@ WITH lv AS (
       PARTITION BY employee_id ORDER BY review_date DESC NULLS LAST, review_id DESC NULLS LAST) AS rn
     FROM performance_reviews) WHERE rn = 1
 )
-SELECT {e}, {b},
+SELECT {e}, {benefit_cols}
   COALESCE(lv.n, 0) AS total_leave_requests, COALESCE(lv.p, 0) AS pending_leave_requests,
   rv.g AS avg_goals_score, rv.t AS avg_technical_score, rv.m AS latest_performance_rating,
   nw.r AS newest_review_rating
 FROM employees e
-LEFT JOIN (SELECT DISTINCT employee_id, {", ".join(BEN)} FROM employee_benefits) b ON e.employee_id = b.employee_id
+{benefit_join}
 LEFT JOIN lv ON e.employee_id = lv.employee_id
 LEFT JOIN rv ON e.employee_id = rv.employee_id
 LEFT JOIN nw ON e.employee_id = nw.employee_id
+{where}
 """)
 
 
@@ -290,11 +294,18 @@ def report_sql() -> dict[str, str]:
         "employee_profile_ids": _profile_fanout(
             EMP_NO_SALARY, True, "WHERE e.employee_id IN (SELECT approver_id FROM leave_requests)"),
         "employee_profile_exact": _profile_exact(),
+        "employee_profile_exact_no_benefits": _profile_exact(with_benefits=False),
+        "employee_profile_exact_ids": _profile_exact(
+            where="WHERE e.employee_id IN (SELECT approver_id FROM leave_requests)"),
         "benefits_all": _benefits(),
         "benefits_by_id": _benefits(
             "WHERE b.employee_id IN (SELECT employee_id FROM leave_requests WHERE status = 'Pending')"),
         "benefits_health": _benefits(view=("health_plan", "dental_coverage", "vision_coverage")),
         "benefits_retirement": _benefits(view=("retirement_plan", "company_match_percent")),
+        "benefits_by_id_retirement": _benefits(
+            "WHERE b.employee_id IN (SELECT employee_id FROM leave_requests WHERE status = 'Pending')",
+            view=("retirement_plan", "company_match_percent")),
+        "search_top_limit": _search("TRUE", P.WIDE_LIMIT),
         "search_department": _search(f"department = {_q(P.SEARCH_DEPARTMENT)}", P.SEARCH_LIMIT),
         "search_role": _search(f"contains(role, {_q(P.SEARCH_ROLE)})", P.SEARCH_LIMIT),
         "search_office": _search(f"office_location = {_q(P.SEARCH_OFFICE)}", P.SEARCH_LIMIT),
@@ -308,6 +319,14 @@ def report_sql() -> dict[str, str]:
             P.LEAVE_LIMIT),
         "leave_days_back": _leave(_leave_window(P.LEAVE_DAYS_BACK).replace(
             "submitted_timestamp", "lr.submitted_timestamp"), P.LEAVE_LIMIT),
+        "leave_combined": _leave(
+            "lr.employee_id IN (SELECT employee_id FROM employees WHERE employment_status = 'Inactive') "
+            f"AND lr.status = {_q(P.COMBINED_STATUS)} AND "
+            + _leave_window(P.SUMMARY_DAYS_LONG).replace("submitted_timestamp", "lr.submitted_timestamp"),
+            P.WIDE_LIMIT),
+        "reviews_combined": _reviews(
+            "pr.employee_id IN (SELECT employee_id FROM employees WHERE office_location = 'Remote') "
+            f"AND pr.review_period = {_q(P.COMBINED_PERIOD)}", P.WIDE_LIMIT),
         "reviews_recent": _reviews("TRUE", P.REVIEW_LIMIT),
         "reviews_by_period": _reviews(f"pr.review_period = {_q(P.REVIEW_PERIOD)}", P.REVIEW_LIMIT),
         "reviews_by_employee": _reviews(
@@ -340,9 +359,15 @@ def report_sql() -> dict[str, str]:
                 for c in ("goals_achievement", "technical_skills", "communication"))
             + f" FROM performance_reviews WHERE {_review_window(P.REVIEW_WINDOW_DAYS)}"),
         "hr_summary": _summary(P.SUMMARY_DAYS),
+        "hr_summary_week": _summary(P.SUMMARY_DAYS_SHORT),
+        "hr_summary_year": _summary(P.SUMMARY_DAYS_LONG),
+        "leave_status_breakdown_year": _sql(
+            f"SELECT status, COUNT(*) AS count FROM leave_requests WHERE {_leave_window(P.SUMMARY_DAYS_LONG)} "
+            "GROUP BY status"),
         "domain_rule_report": _rule_report(_rules(DEPARTMENTS, LEAVE_STATUSES, REVIEW_PERIODS, OFFICE_LOCATIONS)),
         "domain_rule_report_narrow": _rule_report(_rules(**narrow)),
         "domain_rule_rows": _rule_rows(_rules(**narrow)),
+        "domain_rule_rows_default": _rule_rows(_rules(DEPARTMENTS, LEAVE_STATUSES, REVIEW_PERIODS, OFFICE_LOCATIONS)),
         "sanitize_documents": _sql(f"SELECT doc_id, {sanitize_sql('text')} AS clean_text FROM documents"),
         "sanitize_conversations": _sql(
             f"SELECT conv_id, turn, {sanitize_sql('text')} AS clean_text FROM conversations"),

@@ -17,6 +17,12 @@ REVIEW_LIMIT = 50
 
 SUMMARY_DAYS = 30
 REVIEW_WINDOW_DAYS = 14
+SUMMARY_DAYS_SHORT = 7
+SUMMARY_DAYS_LONG = 365
+
+COMBINED_STATUS = "Approved"
+COMBINED_PERIOD = "Annual 2024"
+WIDE_LIMIT = 1000
 
 # Domains with one allowed value taken out of each, so that every rule of the
 # rule report finds violations in the fixture.

@@ -78,11 +78,15 @@ def queries() -> dict[str, Query]:
         "employee_profile_no_benefits": _q(lambda t: ops.employee_profile(t, include_benefits=False)),
         "employee_profile_ids": _q(lambda t: ops.employee_profile(t, ids=_approvers(t))),
         "employee_profile_exact": _q(lambda t: ops.employee_profile_exact(t)),
+        "employee_profile_exact_no_benefits": _q(lambda t: ops.employee_profile_exact(t, include_benefits=False)),
+        "employee_profile_exact_ids": _q(lambda t: ops.employee_profile_exact(t, ids=_approvers(t))),
         # R2
         "benefits_all": _q(lambda t: ops.employee_benefits(t)),
         "benefits_by_id": _q(lambda t: ops.employee_benefits(t, ids=_pending_requesters(t))),
         "benefits_health": _q(lambda t: _flat_benefits(ops.employee_benefits(t, benefit_type="health"))),
         "benefits_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(t, benefit_type="401k"))),
+        "benefits_by_id_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(
+            t, ids=_pending_requesters(t), benefit_type="retirement"))),
         # R3
         "search_department": _q(lambda t: ops.search_employees(
             t, department=P.SEARCH_DEPARTMENT, limit=P.SEARCH_LIMIT)),
@@ -92,17 +96,23 @@ def queries() -> dict[str, Query]:
         "search_combined": _q(lambda t: ops.search_employees(
             t, department=P.SEARCH_DEPARTMENT, role=P.SEARCH_ROLE, office_location=P.SEARCH_OFFICE,
             limit=P.SEARCH_LIMIT)),
+        "search_top_limit": _q(lambda t: ops.search_employees(t, limit=P.WIDE_LIMIT)),
         # R4
         "leave_recent": _q(lambda t: ops.leave_requests(t, limit=P.LEAVE_LIMIT)),
         "leave_by_status": _q(lambda t: ops.leave_requests(t, status=P.LEAVE_STATUS, limit=P.LEAVE_LIMIT)),
         "leave_by_employee": _q(lambda t: ops.leave_requests(t, ids=_inactive(t), limit=P.LEAVE_LIMIT)),
         "leave_days_back": _q(lambda t: ops.leave_requests(
             t, days_back=P.LEAVE_DAYS_BACK, as_of=AS_OF, limit=P.LEAVE_LIMIT)),
+        "leave_combined": _q(lambda t: ops.leave_requests(
+            t, ids=_inactive(t), status=P.COMBINED_STATUS, days_back=P.SUMMARY_DAYS_LONG, as_of=AS_OF,
+            limit=P.WIDE_LIMIT)),
         # R5
         "reviews_recent": _q(lambda t: ops.performance_reviews(t, limit=P.REVIEW_LIMIT)),
         "reviews_by_period": _q(lambda t: ops.performance_reviews(
             t, review_period=P.REVIEW_PERIOD, limit=P.REVIEW_LIMIT)),
         "reviews_by_employee": _q(lambda t: ops.performance_reviews(t, ids=_remote(t), limit=P.REVIEW_LIMIT)),
+        "reviews_combined": _q(lambda t: ops.performance_reviews(
+            t, ids=_remote(t), review_period=P.COMBINED_PERIOD, limit=P.WIDE_LIMIT)),
         # R6
         "headcount_total": _q(ops.headcount_total),
         "headcount_by_department": _q(ops.headcount_by_department),
@@ -114,11 +124,16 @@ def queries() -> dict[str, Query]:
         "review_window_total": _q(lambda t: ops.review_window_total(t, rw, as_of=AS_OF)),
         "review_score_averages": _q(lambda t: ops.review_score_averages(t, rw, as_of=AS_OF)),
         "hr_summary": _q(lambda t: ops.hr_summary(t, sd, as_of=AS_OF)),
+        "hr_summary_week": _q(lambda t: ops.hr_summary(t, P.SUMMARY_DAYS_SHORT, as_of=AS_OF)),
+        "hr_summary_year": _q(lambda t: ops.hr_summary(t, P.SUMMARY_DAYS_LONG, as_of=AS_OF)),
+        "leave_status_breakdown_year": _q(lambda t: ops.leave_status_breakdown(
+            t, P.SUMMARY_DAYS_LONG, as_of=AS_OF)),
         # Q1
         "domain_rule_report": _q(lambda t: ops.domain_rule_report(t)),
         "domain_rule_report_narrow": _q(lambda t: ops.domain_rule_report(
             t, ops.default_rules(**P.NARROW_DOMAINS))),
         "domain_rule_rows": _q(lambda t: ops.domain_rule_rows(t, ops.default_rules(**P.NARROW_DOMAINS))),
+        "domain_rule_rows_default": _q(lambda t: ops.domain_rule_rows(t)),
         # Q2 (driver text tables)
         "sanitize_documents": lambda spark, d: ops.sanitize_text(
             _read(spark, d, "documents"), {"text": "clean_text"}, keep=["doc_id"]),
