@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "staffline") -> SparkSession:
-    """A local session: UTC clock, AQE on, no UI."""
-    spark = (
+def local_session(
+    cores: int | str = "*",
+    shuffle_partitions: int = 8,
+    app: str = "staffline",
+    codegen_cache_entries: int | None = None,
+) -> SparkSession:
+    """A local session: UTC clock, AQE on, no UI.
+
+    ``codegen_cache_entries`` raises Spark's compiled-code cache (default
+    100 classes): an application that runs many different reports in turn
+    otherwise recompiles its generated code on every round."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -15,7 +24,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if codegen_cache_entries:
+        builder = builder.config("spark.sql.codegen.cache.maxEntries", str(codegen_cache_entries))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
