@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import Ids, restrict_ids
 from ..functions.text import sanitize_value
 from ..schemas import BENEFIT_VIEWS, BENEFITS, EMPLOYEES
-from ..validate import present
+from ..validate import check_ids, present
 
 
 def benefit_view(benefit_type: str | None) -> tuple[str, ...] | None:
@@ -25,6 +25,7 @@ def employee_benefits(
     ids: Ids = None,
     benefit_type: str | None = None,
     ordered: bool = True,
+    id_range: tuple[int, int] | None = None,
 ) -> DataFrame:
     """All benefit columns plus ``name``, ``department`` and ``role``; benefit
     rows of unknown employees are dropped (inner join). With a known
@@ -35,6 +36,7 @@ def employee_benefits(
     so Catalyst/AQE broadcast that side when its measured size allows and fall
     back to a sort-merge join otherwise.
     """
+    check_ids(ids, id_range)
     benefits = restrict_ids(tables[BENEFITS], ids)
     people = restrict_ids(tables[EMPLOYEES].select("employee_id", "name", "department", "role"), ids)
     clash = {"name", "department", "role"} & set(benefits.columns)

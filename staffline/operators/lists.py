@@ -21,7 +21,7 @@ from ..functions.predicates import Ids, all_of, restrict_ids
 from ..functions.text import sanitize_value
 from ..functions.time import AsOf, on_or_after_days_back
 from ..schemas import EMPLOYEES, LEAVE, REVIEWS
-from ..validate import check_limit, check_period, check_status, lookback_days, present
+from ..validate import check_ids, check_limit, check_period, check_status, lookback_days, present
 
 
 def _with_names(
@@ -49,10 +49,12 @@ def leave_requests(
     limit: int = 100,
     days_back: int | None = None,
     as_of: AsOf = None,
+    id_range: tuple[int, int] | None = None,
 ) -> DataFrame:
     """R4: ``leave_requests.*`` + employee_name, department, approver_name;
     newest ``submitted_timestamp`` first (nulls last), then ``request_id``.
     ``days_back`` keeps requests submitted at or after ``as_of - days``."""
+    check_ids(ids, id_range)
     check_status(status)
     check_limit(limit)
     facts = restrict_ids(tables[LEAVE], ids)
@@ -74,9 +76,11 @@ def performance_reviews(
     ids: Ids = None,
     review_period: str | None = None,
     limit: int = 50,
+    id_range: tuple[int, int] | None = None,
 ) -> DataFrame:
     """R5: ``performance_reviews.*`` + employee_name, department, reviewer_name;
     newest ``review_date`` first (nulls last), then ``review_id``."""
+    check_ids(ids, id_range)
     check_period(review_period)
     check_limit(limit)
     facts = restrict_ids(tables[REVIEWS], ids)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Ids, restrict_ids
 from ..schemas import BENEFIT_COLUMNS, BENEFITS, EMPLOYEE_COLUMNS, EMPLOYEES, LEAVE, REVIEWS
+from ..validate import check_ids
 
 BASIC_FIELDS = tuple(c for c in EMPLOYEE_COLUMNS if c != "salary")
 PERFORMANCE_FIELDS = (
@@ -89,6 +90,7 @@ def employee_profile(
     include_salary: bool = False,
     include_benefits: bool = True,
     nested: bool = False,
+    id_range: tuple[int, int] | None = None,
 ) -> DataFrame:
     """R1: the profile with the source's (fan-out) counts, for all employees or
     for ``ids`` (an int, a list, or a DataFrame with ``employee_id``).
@@ -97,8 +99,10 @@ def employee_profile(
     first of several). Benefit groups always take part in the counts, as in the
     source; ``include_benefits=False`` only leaves their columns out. Columns:
     the employee columns (salary only when asked), the nine benefit columns,
-    then the five performance columns.
+    then the five performance columns. ``id_range`` (e.g. ``EMPLOYEE_ID_RANGE``)
+    rejects literal ids outside it, as the source's id check does.
     """
+    check_ids(ids, id_range)
     emp = _employees(tables, ids, include_salary)
     benefits = _benefit_groups(tables, ids)
     leave = _leave_counts(tables, ids)
@@ -125,6 +129,7 @@ def employee_profile_exact(
     include_salary: bool = False,
     include_benefits: bool = True,
     nested: bool = False,
+    id_range: tuple[int, int] | None = None,
 ) -> DataFrame:
     """R1x: the profile with true counts (L and P), plus ``newest_review_rating``,
     the rating of the latest review by (review_date, review_id).
@@ -132,6 +137,7 @@ def employee_profile_exact(
     Without benefits there is exactly one row per employee; with benefits one
     row per distinct benefit record (one in a clean source).
     """
+    check_ids(ids, id_range)
     emp = _employees(tables, ids, include_salary)
     joined = emp
     if include_benefits:

@@ -53,3 +53,17 @@ def lookback_days(days) -> int | None:
     if isinstance(days, int) and not isinstance(days, bool) and days > 0:
         return days
     return None
+
+
+def check_ids(ids, id_range: tuple[int, int] | None):
+    """Literal ids (an int or a list) must lie in ``id_range`` when one is
+    given; a DataFrame of ids is not checked here (``domain_rule_report``
+    reports out-of-range rows instead)."""
+    if id_range is None or ids is None or hasattr(ids, "schema"):
+        return ids
+    lo, hi = id_range
+    values = [ids] if isinstance(ids, int) else list(ids)
+    bad = [i for i in values if isinstance(i, bool) or not isinstance(i, int) or not lo <= i <= hi]
+    if bad:
+        raise ValueError(f"invalid employee id(s) {bad[:5]}; must be between {lo} and {hi}")
+    return ids

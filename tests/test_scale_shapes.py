@@ -1,0 +1,116 @@
+"""Shapes that matter at scale: a hot key, zoned timestamps, id-range checks."""
+
+import contextlib
+import datetime as dt
+import io
+
+import pytest
+from pyspark.sql import functions as F
+
+from staffline import (
+    employee_benefits, employee_profile, employee_profile_exact, hr_summary, leave_requests,
+    performance_reviews,
+)
+from staffline.schemas import BENEFITS, EMPLOYEE_ID_RANGE, EMPLOYEES, EXPECTED_SCHEMAS, LEAVE, REVIEWS
+
+from .conftest import make_tables
+
+N_LEAVE, N_REVIEWS, N_EMP = 3000, 900, 50
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Employee 1 holds a third of all leave rows and a third of all reviews;
+    rows are derived by Spark from ``range``, nothing is listed."""
+    employees = spark.range(1, N_EMP + 1).select(
+        F.col("id").alias("employee_id"), F.concat(F.lit("E"), F.col("id")).alias("name"),
+        F.lit("Engineering").alias("department"), F.lit("Eng").alias("role"), F.lit(None).cast("string").alias("email"),
+        F.lit(1.0).alias("salary"), F.lit(1).alias("leave_balance"), F.lit("Austin").alias("office_location"),
+        F.lit("Active").alias("employment_status"), F.lit("2020-01-01").cast("date").alias("hire_date"))
+    owner = F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % (N_EMP - 1) + 2).cast("bigint")
+    leave = spark.range(N_LEAVE).select(
+        F.col("id").alias("request_id"), owner.alias("employee_id"), F.lit(None).cast("bigint").alias("approver_id"),
+        F.lit("x").alias("leave_type"),
+        F.when(F.col("id") % 2 == 0, "Pending").otherwise("Approved").alias("status"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("id") % 30).cast("int")))
+        .alias("submitted_timestamp"))
+    reviews = spark.range(N_REVIEWS).select(
+        F.col("id").alias("review_id"), owner.alias("employee_id"), F.lit(None).cast("bigint").alias("reviewer_id"),
+        F.lit("Q1 2024").alias("review_period"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 30).cast("int")).alias("review_date"),
+        (F.col("id") % 101).cast("int").alias("goals_achievement"), F.lit(3).alias("technical_skills"),
+        F.lit(2).alias("communication"), (F.col("id") % 5 + 1).cast("int").alias("overall_rating"))
+    benefits = spark.createDataFrame([], EXPECTED_SCHEMAS[BENEFITS])
+    return {EMPLOYEES: employees, BENEFITS: benefits, LEAVE: leave, REVIEWS: reviews}
+
+
+def test_hot_key_counts_without_materialising_the_product(hot):
+    row = employee_profile(hot, ids=1).first()
+    leaves, reviews = N_LEAVE // 3, N_REVIEWS // 3
+    # the source's fan-out numbers, computed without building 1000 x 300 rows
+    assert row["total_leave_requests"] == leaves * reviews
+    assert row["pending_leave_requests"] == (leaves // 2) * reviews
+    exact = employee_profile_exact(hot, ids=1).first()
+    assert exact["total_leave_requests"] == leaves
+    assert exact["pending_leave_requests"] == leaves // 2
+
+
+def test_hot_key_is_aggregated_before_the_shuffle(hot):
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        employee_profile(hot).explain()
+    plan = buf.getvalue()
+    # no raw leave / review row is shuffled: those exchanges sit above partial aggregates
+    lines = plan.splitlines()
+    over_partial = 0
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning(employee_id" in line:
+            below = lines[i + 1]
+            if "HashAggregate" in below and "partial_" in below:
+                over_partial += 1
+            else:
+                assert not any(c in below for c in ("request_id", "review_id", "goals_achievement"))
+    assert over_partial >= 2
+
+
+def test_hot_key_totals_stay_whole(hot):
+    total = sum(r["total_leave_requests"] for r in employee_profile_exact(hot).collect())
+    assert total == N_LEAVE
+    rows = {(r["metric"], r["key"]): r["value"]
+            for r in hr_summary(hot, 365, as_of="2024-02-01 00:00:00").collect()}
+    assert rows[("total_requests", None)] == N_LEAVE
+    assert rows[("total_reviews", None)] == N_REVIEWS
+    top = leave_requests(hot, ids=1, limit=1000).collect()
+    assert len(top) == N_LEAVE // 3
+
+
+def test_zoned_timestamp_lookback(spark):
+    t = make_tables(spark, employees=[(1, "A")])
+    zoned = spark.createDataFrame(
+        [(1, 1, None, "x", "Pending", dt.datetime(2024, 1, 30)),
+         (2, 1, None, "x", "Pending", dt.datetime(2023, 1, 1))],
+        "request_id bigint, employee_id bigint, approver_id bigint, leave_type string, status string, "
+        "submitted_timestamp timestamp")
+    t[LEAVE] = zoned
+    assert [r["request_id"] for r in leave_requests(t, days_back=30, as_of="2024-01-31 00:00:00").collect()] == [1]
+    rows = {(r["metric"], r["key"]): r["value"] for r in hr_summary(t, 30, as_of="2024-01-31 00:00:00").collect()}
+    assert rows[("total_requests", None)] == 1.0
+
+
+@pytest.mark.parametrize("call", [
+    lambda t: employee_profile(t, ids=[205, 5], id_range=EMPLOYEE_ID_RANGE),
+    lambda t: employee_profile_exact(t, ids=301, id_range=EMPLOYEE_ID_RANGE),
+    lambda t: employee_benefits(t, ids=0, id_range=EMPLOYEE_ID_RANGE),
+    lambda t: leave_requests(t, ids=[200], id_range=EMPLOYEE_ID_RANGE),
+    lambda t: performance_reviews(t, ids=[True], id_range=EMPLOYEE_ID_RANGE),
+])
+def test_id_range_rejects_literal_ids(spark, call):
+    t = make_tables(spark, employees=[(205, "A")])
+    with pytest.raises(ValueError):
+        call(t)
+
+
+def test_id_range_accepts_ids_in_range_and_frames(spark):
+    t = make_tables(spark, employees=[(205, "A"), (5, "B")])
+    assert employee_profile(t, ids=[205], id_range=EMPLOYEE_ID_RANGE).count() == 1
+    frame = spark.createDataFrame([(5,)], "employee_id bigint")
+    assert employee_profile(t, ids=frame, id_range=EMPLOYEE_ID_RANGE).count() == 1
