@@ -135,15 +135,24 @@ def queries() -> dict[str, Query]:
         "domain_rule_rows": _q(lambda t: ops.domain_rule_rows(t, ops.default_rules(**P.NARROW_DOMAINS))),
         "domain_rule_rows_default": _q(lambda t: ops.domain_rule_rows(t)),
         # Q2 (driver text tables)
+        # Each text table is one parquet row group (one busy task), so the work is spread.
         "sanitize_documents": lambda spark, d: ops.sanitize_text(
-            _read(spark, d, "documents"), {"text": "clean_text"}, keep=["doc_id"]),
+            _read(spark, d, "documents"), {"text": "clean_text"}, keep=["doc_id"], spread=_cores(spark)),
         "sanitize_conversations": lambda spark, d: ops.sanitize_text(
-            _read(spark, d, "conversations"), {"text": "clean_text"}, keep=["conv_id", "turn"]),
+            _read(spark, d, "conversations"), {"text": "clean_text"}, keep=["conv_id", "turn"],
+            spread=_cores(spark)),
         "sanitize_pages": lambda spark, d: ops.sanitize_text(
-            _read(spark, d, "pages"), {"html": "clean_html"}, keep=["page_id"]),
+            _read(spark, d, "pages"), {"html": "clean_html"}, keep=["page_id"], spread=_cores(spark)),
     }
 
 
+def _cores(spark: SparkSession) -> int | None:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # sessions without a SparkContext (Spark Connect)
+        return None
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (_session_key(spark), sf_dir, name)
     if key not in _LOADED:

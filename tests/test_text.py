@@ -49,3 +49,19 @@ def test_sanitize_text_on_documents(spark):
     src = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     for r in out.collect():
         assert r["clean"] == sanitize_value(src[r["doc_id"]])
+
+
+def test_spread_keeps_rows_and_adds_one_exchange(spark):
+    import contextlib
+    import io
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = sanitize_text(docs, {"text": "clean"}, keep=["doc_id"])
+    spread = sanitize_text(docs, {"text": "clean"}, keep=["doc_id"], spread=4)
+    assert sorted(plain.collect()) == sorted(spread.collect())
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        spread.explain()
+        plain.explain()
+    spread_plan, plain_plan = buf.getvalue().split("== Physical Plan ==")[1:]
+    assert "Exchange hashpartitioning(doc_id" in spread_plan and "Exchange" not in plain_plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in spread_plan  # only key and text cross the shuffle
