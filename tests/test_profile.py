@@ -126,3 +126,20 @@ def test_json_lines_drop_null_fields(tables):
     assert "avg_goals_score" not in bob["performance_summary"]
     assert bob["performance_summary"]["total_leave_requests"] == 0
     assert bob["basic_info"]["hire_date"] == "2020-01-01"
+
+
+def test_type_agnostic_rating_and_flags(spark):
+    """The source never states the type of ``overall_rating`` or the coverage
+    flags: a string rating takes the lexicographic maximum, and any flag type
+    passes through."""
+    from pyspark.sql import functions as F
+
+    from staffline.schemas import BENEFITS, REVIEWS
+    t = make_tables(spark, employees=[(1, "A")], benefits=[benefit(1)],
+                    reviews=[review_row(1, 1, rating=9), review_row(2, 1, rating=10)])
+    t[REVIEWS] = t[REVIEWS].withColumn("overall_rating", F.col("overall_rating").cast("string"))
+    t[BENEFITS] = t[BENEFITS].withColumn("dental_coverage", F.col("dental_coverage").cast("int"))
+    row = employee_profile(t).first()
+    assert row["latest_performance_rating"] == "9"  # '9' > '10' as text, as in a string MAX
+    assert row["dental_coverage"] == 1
+    assert employee_profile_exact(t).first()["newest_review_rating"] == "10"
