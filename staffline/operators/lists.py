@@ -7,8 +7,9 @@ table (left join: approver / reviewer, null when unknown).
 Plan: the filters reach the scan; the existence test for the owner is a
 ``left_semi`` join on the key column alone; the top-k runs on that; only the
 <= ``limit`` surviving rows (``limit`` is capped at MAX_RECORDS, a proven
-bound) are joined to the employees table for names. The big table is never
-joined to names row by row. With employees unique on ``employee_id`` (its
+bound) look up names: both people of every row in one broadcast join probed
+by a single scan of employees, so neither the big table nor employees is
+joined or shuffled for names. With employees unique on ``employee_id`` (its
 key) this equals joining first and limiting after.
 """
 
@@ -34,12 +35,26 @@ def _with_names(
 ) -> DataFrame:
     owners = employees.select("employee_id")
     top = facts.join(owners, "employee_id", "left_semi").orderBy(*order).limit(limit)
-    names = employees.select("employee_id", F.col("name").alias("employee_name"), "department")
-    others = employees.select(F.col("employee_id").alias(other_id), F.col("name").alias(other_name))
-    named = F.broadcast(top).join(names, "employee_id", "inner").join(others, other_id, "left")
-    cols = facts.columns + ["employee_name", "department", other_name]
-    # Joins do not keep order: re-apply the (bounded) top-k to return it sorted.
-    return named.select(*cols).orderBy(*order).limit(limit)
+    # Each of the <= limit rows asks for two people: its owner and its approver or
+    # reviewer. Only these <= 2 * limit asks are broadcast; one scan of employees
+    # probes them, so employees is never shuffled, whatever its size. An ask with
+    # no match (null or unknown id) simply finds nothing; the owner always exists.
+    asks = top.select(
+        F.struct(*facts.columns).alias("_row"),
+        F.inline(F.array(
+            F.struct(F.lit(True).alias("_owner"), F.col("employee_id").alias("_who")),
+            F.struct(F.lit(False).alias("_owner"), F.col(other_id).alias("_who")),
+        )),
+    )
+    people = employees.select(F.col("employee_id").alias("_who"), "name", "department")
+    found = F.broadcast(asks).join(people, "_who", "inner")
+    named = found.groupBy("_row").agg(
+        F.max(F.when(F.col("_owner"), F.col("name"))).alias("employee_name"),
+        F.max(F.when(F.col("_owner"), F.col("department"))).alias("department"),
+        F.max(F.when(~F.col("_owner"), F.col("name"))).alias(other_name),
+    )
+    # The regrouping does not keep order: re-apply the (bounded) top-k to return it sorted.
+    return named.select("_row.*", "employee_name", "department", other_name).orderBy(*order).limit(limit)
 
 
 def leave_requests(

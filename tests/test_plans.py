@@ -71,3 +71,19 @@ def test_no_python_in_plans(spark, name):
     for marker in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas"):
         assert marker not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_list_names_never_shuffle_employees(spark, stored):
+    """With employees too big to broadcast, only the bounded asks are
+    broadcast and employees is scanned, never shuffled, for names."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        p = tree(plan(leave_requests(stored, limit=10)))
+    finally:
+        spark.conf.set(key, old)
+    assert p.count("BroadcastExchange") == 1
+    assert "BroadcastHashJoin Inner BuildLeft" in p
+    assert "LeftOuter" not in p
+    assert "SortMergeJoin LeftSemi" in p  # the owner-exists test falls back to sort-merge
