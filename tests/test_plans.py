@@ -6,7 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as entry_module
-from staffline import employee_profile, hr_summary, leave_requests, search_employees
+from staffline import employee_profile, hr_summary, leave_requests, performance_reviews, search_employees
 from staffline.sources import fixture_tables, parquet_tables
 
 from .conftest import SF_SMALL
@@ -87,3 +87,15 @@ def test_list_names_never_shuffle_employees(spark, stored):
     assert "BroadcastHashJoin Inner BuildLeft" in p
     assert "LeftOuter" not in p
     assert "SortMergeJoin LeftSemi" in p  # the owner-exists test falls back to sort-merge
+
+
+def test_review_list_is_top_k(stored):
+    p = tree(plan(performance_reviews(stored, review_period="Q1 2024", limit=5)))
+    assert p.count("TakeOrderedAndProject") == 2
+    assert "EqualTo(review_period,Q1 2024)" in plan(performance_reviews(stored, review_period="Q1 2024", limit=5))
+
+
+def test_search_without_filters_returns_everyone(spark, stored):
+    n = stored["employees"].count()
+    assert n <= 1000
+    assert search_employees(stored, limit=1000).count() == n
