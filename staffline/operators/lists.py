@@ -1,8 +1,8 @@
 """R4 / R5: leave-request and review lists, newest first, top-k.
 
-Both add the owner's name and department (inner join: rows of unknown
-employees are dropped) and a second person's name from the same employees
-table (left join: approver / reviewer, null when unknown).
+Both add the owner's name and department (inner-join semantics: rows of
+unknown employees are dropped) and a second person's name from the same
+employees table (left-join semantics: approver / reviewer, null when unknown).
 
 Plan: the filters reach the scan; the existence test for the owner is a
 ``left_semi`` join on the key column alone; the top-k runs on that; only the
