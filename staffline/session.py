@@ -10,6 +10,7 @@ def local_session(
     shuffle_partitions: int = 8,
     app: str = "staffline",
     codegen_cache_entries: int | None = None,
+    conf: dict[str, str] | None = None,
 ) -> SparkSession:
     """A local session: UTC clock, AQE on, no UI.
 
@@ -27,6 +28,8 @@ def local_session(
     )
     if codegen_cache_entries:
         builder = builder.config("spark.sql.codegen.cache.maxEntries", str(codegen_cache_entries))
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

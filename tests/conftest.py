@@ -19,7 +19,10 @@ DRIVER_TABLES = ("region nation customer supplier part orders lineitem events do
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("*", shuffle_partitions=8, app="staffline-tests")
+    import tempfile
+    warehouse = tempfile.mkdtemp(prefix="staffline-warehouse-", dir="/tmp")
+    return local_session("*", shuffle_partitions=8, app="staffline-tests",
+                         conf={"spark.sql.warehouse.dir": warehouse})
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,9 @@ import io
 import pytest
 
 import __spark_entry__ as entry_module
-from staffline import employee_profile, hr_summary, leave_requests, performance_reviews, search_employees
+from staffline import (
+    employee_profile, employee_profile_exact, hr_summary, leave_requests, performance_reviews, search_employees,
+)
 from staffline.sources import fixture_tables, parquet_tables
 
 from .conftest import SF_SMALL
@@ -99,3 +101,27 @@ def test_search_without_filters_returns_everyone(spark, stored):
     n = stored["employees"].count()
     assert n <= 1000
     assert search_employees(stored, limit=1000).count() == n
+
+
+def test_profile_on_tables_bucketed_by_employee_needs_no_shuffle(spark, tmp_path):
+    """Stored bucketed (and sorted) by ``employee_id``, the four tables feed the
+    profile's aggregations and joins with no exchange at all."""
+    src = fixture_tables(spark, SF_SMALL)
+    bucketed = {}
+    for name, df in src.items():
+        table = f"staffline_bucketed_{name}"
+        (df.write.mode("overwrite").bucketBy(4, "employee_id").sortBy("employee_id")
+         .option("path", str(tmp_path / name)).saveAsTable(table))
+        bucketed[name] = spark.table(table)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for report in (employee_profile, employee_profile_exact):
+            df = report(bucketed)
+            p = plan(df)
+            assert "Exchange" not in p
+            assert tree(p).count("SortMergeJoin") == 3
+            assert sorted(df.collect()) == sorted(report(src).collect())
+    finally:
+        spark.conf.set(key, old)
