@@ -103,9 +103,10 @@ def test_search_without_filters_returns_everyone(spark, stored):
     assert search_employees(stored, limit=1000).count() == n
 
 
-def test_profile_on_tables_bucketed_by_employee_needs_no_shuffle(spark, tmp_path):
+def test_reports_on_tables_bucketed_by_employee_need_no_big_shuffle(spark, tmp_path):
     """Stored bucketed (and sorted) by ``employee_id``, the four tables feed the
-    profile's aggregations and joins with no exchange at all."""
+    profile's aggregations and joins with no exchange at all, and the lists
+    never shuffle the fact table."""
     src = fixture_tables(spark, SF_SMALL)
     bucketed = {}
     for name, df in src.items():
@@ -123,5 +124,13 @@ def test_profile_on_tables_bucketed_by_employee_needs_no_shuffle(spark, tmp_path
             assert "Exchange" not in p
             assert tree(p).count("SortMergeJoin") == 3
             assert sorted(df.collect()) == sorted(report(src).collect())
+        # The lists: the owner-exists semi join stays inside the buckets too; the only
+        # exchanges move the <= 2 * limit name lookups.
+        for report in (leave_requests, performance_reviews):
+            df = report(bucketed, limit=20)
+            p = tree(plan(df))
+            assert "SortMergeJoin LeftSemi" in p
+            assert p.count("Exchange") == 2  # broadcast of the asks + regroup of <= 2 * limit rows
+            assert sorted(df.collect()) == sorted(report(src, limit=20).collect())
     finally:
         spark.conf.set(key, old)
