@@ -112,9 +112,8 @@ def employee_profile(
         .join(reviews, "employee_id", "left")
     factor = F.greatest(F.coalesce(F.col("_review_n"), F.lit(0)), F.lit(1)) \
         * F.coalesce(F.col("_benefit_n"), F.lit(1))
-    emp_cols = [c for c in emp.columns]
     out = joined.select(
-        *emp_cols,
+        *emp.columns,
         *(BENEFIT_COLUMNS if include_benefits else ()),
         (F.coalesce(F.col("_leave_n"), F.lit(0)) * factor).alias("total_leave_requests"),
         (F.coalesce(F.col("_pending_n"), F.lit(0)) * factor).alias("pending_leave_requests"),
