@@ -19,8 +19,10 @@ def _canon(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
 
     def norm(v):
-        if isinstance(v, float):
-            return "nan" if math.isnan(v) else repr(round(v, 9))
+        # Exact: averages are computed from integer-valued inputs, so both engines
+        # must agree to the last bit (a value hash compares exact floats).
+        if isinstance(v, float) and math.isnan(v):
+            return "nan"
         return repr(v)
     return sorted(tuple(norm(r[i]) for i in order) for r in rows)
 
