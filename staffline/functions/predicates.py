@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numbers
 from collections.abc import Iterable
 from functools import reduce
 
@@ -40,7 +41,7 @@ def restrict_ids(df: DataFrame, ids: Ids, column: str = "employee_id") -> DataFr
     if isinstance(ids, DataFrame):
         keys = ids.select(F.col("employee_id").alias(column))
         return df.join(keys, column, "left_semi")
-    if isinstance(ids, int):
+    if isinstance(ids, numbers.Integral):
         ids = [ids]
     ids = list(dict.fromkeys(int(i) for i in ids))
     if len(ids) <= INLINE_ID_LIMIT:

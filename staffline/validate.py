@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import numbers
 from collections.abc import Iterable
 
 from .schemas import (
@@ -62,8 +63,9 @@ def check_ids(ids, id_range: tuple[int, int] | None):
     if id_range is None or ids is None or hasattr(ids, "schema"):
         return ids
     lo, hi = id_range
-    values = [ids] if isinstance(ids, int) else list(ids)
-    bad = [i for i in values if isinstance(i, bool) or not isinstance(i, int) or not lo <= i <= hi]
+    values = [ids] if isinstance(ids, numbers.Integral) else list(ids)
+    bad = [i for i in values
+           if isinstance(i, bool) or not isinstance(i, numbers.Integral) or not lo <= int(i) <= hi]
     if bad:
         raise ValueError(f"invalid employee id(s) {bad[:5]}; must be between {lo} and {hi}")
     return ids

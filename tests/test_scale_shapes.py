@@ -114,3 +114,12 @@ def test_id_range_accepts_ids_in_range_and_frames(spark):
     assert employee_profile(t, ids=[205], id_range=EMPLOYEE_ID_RANGE).count() == 1
     frame = spark.createDataFrame([(5,)], "employee_id bigint")
     assert employee_profile(t, ids=frame, id_range=EMPLOYEE_ID_RANGE).count() == 1
+
+
+def test_numpy_ids_are_accepted(spark):
+    import numpy as np
+    t = make_tables(spark, employees=[(205, "A"), (206, "B")])
+    assert employee_profile(t, ids=np.int64(205), id_range=EMPLOYEE_ID_RANGE).count() == 1
+    assert employee_profile(t, ids=np.array([205, 206]), id_range=EMPLOYEE_ID_RANGE).count() == 2
+    with pytest.raises(ValueError):
+        employee_profile(t, ids=np.array([205, 999]), id_range=EMPLOYEE_ID_RANGE)
