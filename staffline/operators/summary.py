@@ -1,8 +1,9 @@
 """R6: workforce summary.
 
 The source runs nine separate Spark actions (two or three scans per table).
-``hr_summary`` is one job with one shuffle: each table's rows are turned, in
-the scan's own stage, into ``(section, metric, key, weight, value)``
+``hr_summary`` is one query with one aggregation shuffle (plus the final
+sort): each table's rows are turned, in the scan's own stage, into
+``(section, metric, key, weight, value)``
 contributions (a row counts towards its table's total and its breakdown key;
 scores feed the means); the four streams are unioned with a fixed skeleton of
 the scalar metrics (at most seven weight-0 rows, so that totals are 0 and
