@@ -13,8 +13,9 @@ from hypothesis import strategies as st
 
 from staffline import (
     domain_rule_report, employee_benefits, employee_profile, employee_profile_exact, hr_summary,
-    leave_requests, performance_reviews,
+    leave_requests, performance_reviews, search_employees,
 )
+from staffline.plans.registry import _flat_benefits
 from staffline.plans import oracle as O
 from staffline.schemas import BENEFITS, EMPLOYEES, EXPECTED_SCHEMAS, LEAVE, REVIEWS
 
@@ -107,6 +108,11 @@ def test_random_reports_match_plain_sql(spark, data):
     _same(employee_profile(t, include_benefits=False), con, O._profile_fanout(O.EMP_NO_SALARY, False))
     _same(employee_profile_exact(t), con, O._profile_exact())
     _same(employee_benefits(t), con, O._benefits())
+    _same(_flat_benefits(employee_benefits(t, benefit_type="Medical")), con,
+          O._benefits(view=("health_plan", "dental_coverage", "vision_coverage")))
+    _same(search_employees(t, limit=3), con, O._search("TRUE", 3))
+    _same(search_employees(t, department="Engineering", role="Op", limit=2), con,
+          O._search("department = 'Engineering' AND contains(role, 'Op')", 2))
     _same(leave_requests(t, limit=3), con, O._leave("TRUE", 3))
     _same(leave_requests(t, limit=4, days_back=30, as_of=AS_OF), con,
           O._leave(O._leave_window(30).replace("submitted_timestamp", "lr.submitted_timestamp"), 4))
