@@ -6,11 +6,12 @@ import math
 import pytest
 
 import __spark_entry__ as entry_module
+from staffline import plans
 
 from .conftest import SF_ORACLE
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = plans.queries()
+ORACLES = plans.oracle_sql()
 TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
               "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
