@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from staffline.llm.common import file_locator, table
 from staffline.llm.exact_dedup import exact_dedup
+from staffline.llm.language_id import fit as fit_languages
+from staffline.llm.language_id import held_out, identify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,8 +31,17 @@ FROM d JOIN g ON d.norm = g.norm
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(4, 2))
+    model = fit_languages(spark, docs.where(~F.col("held_out")))
+    return identify(spark, docs, model, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_language_id": op3_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
