@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm.common import file_locator, table
+from staffline.llm.common import file_locator, shared_folder, table
 from staffline.llm.exact_dedup import exact_dedup
 from staffline.llm.language_id import fit as fit_languages
 from staffline.llm.language_id import held_out, identify
+from staffline.llm.warc import page_of, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,12 +38,39 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, docs, model, ["doc_id", "held_out"])
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    write_archives(spark, table(spark, sf_dir, "pages").withColumn("payload", F.col("html").cast("binary")), folder)
+    records = read_archives(spark, folder, payloads=False).where("gap IS NULL")
+    return records.select(
+        page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to")
+    )
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), g AS (
+  SELECT hex, max(page_id) AS response_id FROM p GROUP BY hex
+)
+SELECT p.page_id, p.payload_bytes::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(p.hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)
+  ), 'string_agg', '') AS payload_digest,
+  CASE WHEN p.page_id = g.response_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id = g.response_id THEN NULL ELSE g.response_id END AS refers_to
+FROM p JOIN g ON p.hex = g.hex
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
+        "op4_warc": op4_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
