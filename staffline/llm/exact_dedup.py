@@ -11,15 +11,20 @@ one row for each task before the shuffle. The same holds for the comparison of f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.llm.common import file_locator, shared_folder, stored
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state on disk. Without preallocation, as a partition of the state may be far smaller than the
+#: 4 MB that RocksDB would set aside for each one's manifest.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -58,9 +63,11 @@ def exact_dedup(
     rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "locator")
 
     arrivals = stored(texts.select("doc_id", "locator", "digest", sha256_hex(F.col("norm")).alias("text_sha256")), f"{folder}/arrivals")
-    _absorb(spark, arrivals, folder, rank, files_per_batch)
-    state = spark.read.format("statestore").load(f"{folder}/state")
-    register = stored(state.select("key.digest", F.col("value.min").alias("keep"), F.col("value.count").alias("group_size")), f"{folder}/register")
+    with _state_settings(spark):
+        _absorb(spark, arrivals, folder, rank, files_per_batch)
+        state = spark.read.format("statestore").load(f"{folder}/state")
+        entries = state.select("key.digest", F.col("value.min").alias("keep"), F.col("value.count").alias("group_size"))
+        register = stored(entries, f"{folder}/register")
 
     # Hits: rows that share a digest. Grouping by the text itself compares full bytes.
     by_bytes = texts.groupBy("digest", "norm").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("group_size"))
@@ -83,17 +90,24 @@ def exact_dedup(
     )
 
 
+@contextmanager
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _absorb(spark: SparkSession, arrivals: DataFrame, folder: str, rank: Column, files_per_batch: int) -> None:
     """Run the arrivals through the keyed state until all are in it; a restart resumes at the last batch."""
     stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/arrivals")
     grouped = stream.groupBy("digest").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        query = (
-            grouped.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
-            .option("checkpointLocation", f"{folder}/state").start()
-        )
-    finally:
-        spark.conf.set(PROVIDER, before)
+    query = (
+        grouped.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/state").start()
+    )
     query.awaitTermination()
