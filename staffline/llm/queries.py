@@ -11,6 +11,7 @@ from staffline.llm.common import file_locator, shared_folder, table
 from staffline.llm.exact_dedup import exact_dedup
 from staffline.llm.language_id import fit as fit_languages
 from staffline.llm.language_id import held_out, identify
+from staffline.llm.packing import pack
 from staffline.llm.simhash import near_duplicates
 from staffline.llm.warc import page_of, read_archives, write_archives
 
@@ -70,12 +71,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", "fingerprint", "component_id")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op4_warc": op4_warc,
         "op8_simhash": op8_simhash,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
