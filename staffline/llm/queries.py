@@ -13,6 +13,7 @@ from staffline.llm.language_id import fit as fit_languages
 from staffline.llm.language_id import held_out, identify
 from staffline.llm.packing import pack
 from staffline.llm.simhash import near_duplicates
+from staffline.llm.token_scan import numbered, scan_token_files, write_token_files
 from staffline.llm.warc import page_of, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,15 @@ FROM p JOIN g ON p.hex = g.hex
 """
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, scanned; each count is given its doc_id by the order of the documents' own files."""
+    folder = shared_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    write_token_files(spark, docs, folder)
+    counts = scan_token_files(spark, folder).withColumn("part", F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("int"))
+    return numbered(docs).join(counts, ["part", "doc_no"]).select("doc_id", "part", "doc_no", "start", "n_tokens")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = near_duplicates(spark, table(spark, sf_dir, "documents"), file_locator())
     return result.select("doc_id", "fingerprint", "component_id")
@@ -80,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op4_warc": op4_warc,
+        "op6_token_counts": op6_token_counts,
         "op8_simhash": op8_simhash,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
