@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.llm.common import file_locator, shared_folder, table
+from staffline.llm.decontaminate import contained_items
 from staffline.llm.exact_dedup import exact_dedup
 from staffline.llm.language_id import fit as fit_languages
 from staffline.llm.language_id import held_out, identify
@@ -76,6 +77,32 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(docs).join(counts, ["part", "doc_no"]).select("doc_id", "part", "doc_no", "start", "n_tokens")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), file_locator())
+    return found.select("doc_id", "item_id", "n_shingles", "n_common", "containment")
+
+
+OP7_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')
+  FROM benchmark
+), shingles AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM words WHERE len(w) >= 5
+), sizes AS (
+  SELECT id, count(*) AS n FROM shingles WHERE side = 'b' GROUP BY id
+), common AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n
+  FROM shingles d JOIN shingles b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' GROUP BY ALL
+)
+SELECT c.doc_id, c.item_id, s.n::INTEGER AS n_shingles, c.n::INTEGER AS n_common, c.n::DOUBLE / s.n AS containment
+FROM common c JOIN sizes s ON c.item_id = s.id WHERE c.n::DOUBLE / s.n >= 0.8
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = near_duplicates(spark, table(spark, sf_dir, "documents"), file_locator())
     return result.select("doc_id", "fingerprint", "component_id")
@@ -91,10 +118,11 @@ def queries() -> dict[str, Query]:
         "op3_language_id": op3_language_id,
         "op4_warc": op4_warc,
         "op6_token_counts": op6_token_counts,
+        "op7_decontaminate": op7_decontaminate,
         "op8_simhash": op8_simhash,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op7_decontaminate": OP7_SQL}
