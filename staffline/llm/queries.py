@@ -15,6 +15,8 @@ from staffline.llm.language_id import held_out, identify
 from staffline.llm.packing import pack
 from staffline.llm.simhash import near_duplicates
 from staffline.llm.token_scan import numbered, scan_token_files, write_token_files
+from staffline.llm.toxicity import fit as fit_toxicity
+from staffline.llm.toxicity import toxicity
 from staffline.llm.warc import page_of, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +110,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(5, 0))
+    model = fit_toxicity(spark, docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(~held_out(5, 0)))
+    return toxicity(spark, docs, model, ["doc_id", "held_out"]).drop("clauses")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
@@ -120,6 +128,7 @@ def queries() -> dict[str, Query]:
         "op6_token_counts": op6_token_counts,
         "op7_decontaminate": op7_decontaminate,
         "op8_simhash": op8_simhash,
+        "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
