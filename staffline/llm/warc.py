@@ -29,6 +29,8 @@ from staffline.llm.common import ship_package
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 END = b"\r\n\r\n"
+#: Compressed bytes given to zlib at a time.
+STEP = 4096
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A candidate start that a search goes on from: a gzip member anywhere, a version line at the start of a line.
 _START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.")
@@ -124,17 +126,20 @@ def plain_record(data: bytes, start: int) -> Found:
 def record_at(data: bytes, start: int) -> Found:
     if not data.startswith(GZIP, start):
         return plain_record(data, start)
-    opener = zlib.decompressobj(31)
+    opener, view, at, parts = zlib.decompressobj(31), memoryview(data), start, []
     try:
-        record = opener.decompress(memoryview(data)[start:])
+        while not opener.eof:  # in steps, as what follows the member is copied by zlib
+            if at >= len(data):
+                raise Damaged("gzip member is cut off")
+            parts.append(opener.decompress(view[at : at + STEP]))
+            at += STEP
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from None
-    if not opener.eof:
-        raise Damaged("gzip member is cut off")
+    record = b"".join(parts)
     found = plain_record(record, 0)
     if found.end != len(record):
         raise Damaged("member holds more than a record")
-    return Found(start, len(data) - len(opener.unused_data), None, found.fields, found.block)
+    return Found(start, min(at, len(data)) - len(opener.unused_data), None, found.fields, found.block)
 
 
 def salvage(data: bytes) -> Iterator[Found]:
