@@ -12,6 +12,8 @@ from staffline.llm.decontaminate import contained_items
 from staffline.llm.exact_dedup import exact_dedup
 from staffline.llm.language_id import fit as fit_languages
 from staffline.llm.language_id import held_out, identify
+from staffline.llm.language_model import fit as fit_language_model
+from staffline.llm.language_model import score
 from staffline.llm.packing import pack
 from staffline.llm.simhash import near_duplicates
 from staffline.llm.token_scan import numbered, scan_token_files, write_token_files
@@ -70,6 +72,12 @@ FROM p JOIN g ON p.hex = g.hex
 """
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(7, 2))
+    model = fit_language_model(spark, docs.where(~F.col("held_out")))
+    return score(spark, docs, model, ["doc_id", "held_out"])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, scanned; each count is given its doc_id by the order of the documents' own files."""
     folder = shared_folder(spark)
@@ -125,6 +133,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op4_warc": op4_warc,
+        "op5_lm_score": op5_lm_score,
         "op6_token_counts": op6_token_counts,
         "op7_decontaminate": op7_decontaminate,
         "op8_simhash": op8_simhash,
