@@ -16,6 +16,7 @@ from staffline.llm.language_model import fit as fit_language_model
 from staffline.llm.language_model import score
 from staffline.llm.packing import pack
 from staffline.llm.simhash import near_duplicates
+from staffline.llm.substring_dedup import repeated_passages
 from staffline.llm.token_scan import numbered, scan_token_files, write_token_files
 from staffline.llm.toxicity import fit as fit_toxicity
 from staffline.llm.toxicity import toxicity
@@ -24,6 +25,10 @@ from staffline.llm.warc import page_of, read_archives, write_archives
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = exact_dedup(spark, table(spark, sf_dir, "documents"), file_locator())
     return result.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -130,6 +135,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op4_warc": op4_warc,
