@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,13 +26,13 @@ from pyspark.sql import functions as F
 from staffline.llm.common import ship_package
 
 GZIP = b"\x1f\x8b\x08"
-VERSION = b"WARC/1."
+VERSION = re.compile(rb"WARC/1\.[0-9]+\r\n")
 END = b"\r\n\r\n"
 #: Compressed bytes given to zlib at a time.
 STEP = 4096
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A candidate start that a search goes on from: a gzip member anywhere, a version line at the start of a line.
-_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.")
+#: Where a search for the next record may go on: a gzip member or a version line, which then must pass all checks.
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 READ_SCHEMA = (
     "archive string, start long, end long, gap string, record_type string, record_id string, refers_to string, "
@@ -97,7 +96,7 @@ class Damaged(ValueError):
 def plain_record(data: bytes, start: int) -> Found:
     """The uncompressed record that begins at ``start``; Damaged if any check fails."""
     head_end = data.find(END, start)
-    if not data.startswith(VERSION, start) or head_end < 0:
+    if not VERSION.match(data, start) or head_end < 0:
         raise Damaged("no record head")
     lines = data[start:head_end].split(b"\r\n")[1:]
     fields = {}
@@ -183,13 +182,15 @@ def write_archives(
     response and the others revisits of it; smaller payloads are all responses. A null payload is empty, a
     null page_id comes after all others; rows that share the largest page_id and the payload are all
     responses. A payload that a third of all pages share costs the grouping one row a task; the join that
-    tells pages their response is one that Spark's skew handling can split. Each archive holds about ``archive_bytes`` of payload.
+    tells pages their response is one that Spark's skew handling can split. Archives are written where that join
+    leaves the pages; an archive holds the pages of about ``archive_bytes`` of payload at most.
     """
     ship_package(spark)
     payload = F.coalesce(F.col("payload"), F.lit(b""))
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    groups = keyed.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.sum(F.octet_length("payload")).alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    groups = keyed.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.sum(F.octet_length("payload")).alias("bytes"), F.count(F.lit(1)).alias("pages"))
+    size = groups.agg(F.sum("bytes").alias("bytes"), F.sum("pages").alias("pages")).first()
+    each = max(1, archive_bytes * (size["pages"] or 1) // max(1, size["bytes"] or 1))
     is_revisit: Column = (F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     records = keyed.join(groups.select("digest", "response_id"), "digest").select("page_id", "url", "payload", "response_id", is_revisit.alias("revisit"))
 
@@ -198,8 +199,8 @@ def write_archives(
             rows = zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "response_id", "revisit")), strict=True)
             yield pa.RecordBatch.from_pydict({"member": pa.array((member(record_bytes(*row, date)) for row in rows), pa.binary())})
 
-    members = records.mapInArrow(pack, "member binary").repartition(max(1, math.ceil(total / archive_bytes)))
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    members = records.mapInArrow(pack, "member binary").select(F.col("member").cast("string").alias("value"))
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", each).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
