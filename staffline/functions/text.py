@@ -1,4 +1,4 @@
-"""The string sanitiser, as a Column expression and as a scalar helper.
+"""The string sanitiser, as a Column expression.
 
 Semantics: an empty or null input becomes ''; each token of
 ``SANITIZE_TOKENS`` is removed in turn (so removing one token can create
@@ -6,7 +6,7 @@ another that was already handled: ``-\\-`` becomes ``--``); then white space
 is stripped from both ends with Python's notion of white space; then the
 first ``max_length`` characters (code points) are kept.
 
-The column form uses ``replace`` and ``trim(BOTH chars FROM ...)`` only, so it
+It uses ``replace`` and ``trim(BOTH chars FROM ...)`` only, so it
 stays inside whole-stage codegen and is linear in the text length (no regex
 backtracking on long runs of white space).
 """
@@ -24,18 +24,8 @@ from ..schemas import SANITIZE_MAX_LENGTH, SANITIZE_TOKENS
 STRIP_CHARS = "".join(ch for ch in map(chr, range(sys.maxunicode + 1)) if ch.isspace())
 
 
-def sanitize_value(value, max_length: int = SANITIZE_MAX_LENGTH) -> str:
-    """Scalar form, used on report arguments on the driver."""
-    if not value:
-        return ""
-    text = str(value)
-    for token in SANITIZE_TOKENS:
-        text = text.replace(token, "")
-    return text.strip()[:max_length]
-
-
 def sanitize_column(col: Column | str, max_length: int = SANITIZE_MAX_LENGTH) -> Column:
-    """Column form of :func:`sanitize_value` (Q2)."""
+    """``col`` sanitised (Q2). Of a literal it folds to a literal, so a filter on it still reaches the scan."""
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
     for token in SANITIZE_TOKENS:
         c = F.replace(c, F.lit(token), F.lit(""))

@@ -1,49 +1,67 @@
 """Look-back predicates relative to a report clock.
 
-``as_of`` is the report's "now". ``None`` means the session clock
-(``current_timestamp()`` / ``current_date()``), as in the source; tests and
-the registered queries pin it so that results are reproducible.
+``as_of`` is the report's "now": a datetime, a date or ISO text. ``None`` means the session clock, as in the source;
+tests and the registered queries pin it so that results are reproducible. Leave requests look back from the
+timestamp now, reviews from today's date at midnight, whatever the type of the column.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AsOf = dt.datetime | dt.date | str | Column | None
+AsOf = dt.datetime | dt.date | str | None
 
 
-def _lit(as_of) -> Column:
-    if isinstance(as_of, Column):
-        return as_of
-    if isinstance(as_of, dt.datetime):
-        return F.lit(as_of.isoformat(sep=" "))
-    return F.lit(str(as_of))
+def parse_as_of(as_of: AsOf, zone: str) -> dt.datetime | None:
+    """The clock as wall time of the session zone. Text that is not an ISO date or timestamp raises ``ValueError`` here, on the
+    driver; a value with an offset is converted to the session zone first."""
+    if as_of is None:
+        return None
+    if isinstance(as_of, str):
+        try:
+            as_of = dt.datetime.fromisoformat(as_of.strip())
+        except ValueError:
+            raise ValueError(f"as_of is not an ISO date or timestamp: {as_of!r}") from None
+    if not isinstance(as_of, dt.date):
+        raise ValueError(f"as_of must be a datetime, a date or ISO text, got {as_of!r}")
+    if not isinstance(as_of, dt.datetime):
+        return dt.datetime.combine(as_of, dt.time())
+    if as_of.tzinfo is not None:
+        return as_of.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+    return as_of
 
 
-def as_of_timestamp(as_of: AsOf, data_type: T.DataType = T.TimestampNTZType()) -> Column:
-    """The clock as a value of the compared column's type, so that the bound is
-    a folded literal and the predicate reaches the parquet scan."""
-    if as_of is None:
-        return F.current_timestamp().cast(data_type)
-    return _lit(as_of).cast(data_type)
+def _zone(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
 
 
-def as_of_date(as_of: AsOf) -> Column:
-    if as_of is None:
-        return F.current_date()
-    return F.to_date(_lit(as_of).cast(T.TimestampNTZType()))
-
-
-def on_or_after_days_back(df: DataFrame, column: str, days: int, as_of: AsOf = None) -> Column:
-    """``column >= now - days``. A DATE column is compared with a DATE bound
-    (``date_sub``); a timestamp column with a timestamp bound of its own type
-    minus a day interval. Null values of ``column`` never pass."""
-    data_type = df.schema[column].dataType
-    if isinstance(data_type, T.DateType):
-        return F.col(column) >= F.date_sub(as_of_date(as_of), int(days))
-    bound = as_of_timestamp(as_of, data_type) - F.make_dt_interval(days=F.lit(int(days)))
-    return F.col(column) >= bound
+def _comparable(df: DataFrame, column: str) -> tuple[Column, T.DataType]:
+    """The column as a timestamp; a DATE counts as its midnight."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(column), kind
+    return F.col(column).cast(T.TimestampNTZType()), T.TimestampNTZType()
+
+
+def since_now(df: DataFrame, column: str, days: int, as_of: AsOf = None) -> Column:
+    """``column >= now - days``, to the moment (leave requests). Null values never pass."""
+    now = parse_as_of(as_of, _zone(df))
+    value, kind = _comparable(df, column)
+    clock = F.current_timestamp() if now is None else F.lit(now.isoformat(sep=" "))
+    return value >= clock.cast(kind) - F.make_dt_interval(days=F.lit(int(days)))
+
+
+def since_today(df: DataFrame, column: str, days: int, as_of: AsOf = None) -> Column:
+    """``column >= today - days``, from midnight on (reviews). Null values never pass."""
+    now = parse_as_of(as_of, _zone(df))
+    today = F.current_date() if now is None else F.lit(now.date())
+    first = F.date_sub(today, int(days))
+    if isinstance(df.schema[column].dataType, T.DateType):
+        return F.col(column) >= first
+    value, kind = _comparable(df, column)
+    return value >= first.cast(kind)

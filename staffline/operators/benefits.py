@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import Ids, restrict_ids
-from ..functions.text import sanitize_value
-from ..schemas import BENEFIT_VIEWS, BENEFITS, EMPLOYEES
-from ..validate import check_ids, present
+from ..functions.predicates import Ids, as_ids, restrict_ids
+from ..schemas import BENEFIT_VIEWS, BENEFITS, EMPLOYEES, SANITIZE_TOKENS
+from ..validate import present
+
+_REMOVED = "|".join(map(re.escape, SANITIZE_TOKENS))
 
 
 def benefit_view(benefit_type: str | None) -> tuple[str, ...] | None:
-    """Columns of the benefit sub-record for a ``benefit_type`` argument: the
-    argument is lower-cased, then sanitised, then looked up; an unknown value
-    gives no sub-record (and never changes the row count)."""
+    """Columns of the benefit sub-record for a ``benefit_type`` argument, which names a view in any case, with tokens that
+    the sanitiser removes anywhere in it and white space around it; any other value gives no sub-record (and never
+    changes the row count)."""
     if not present(benefit_type):
         return None
-    return BENEFIT_VIEWS.get(sanitize_value(str(benefit_type).lower()))
+    inside, around = f"(?:{_REMOVED})*", rf"(?:{_REMOVED}|\s)*"
+    for name, columns in BENEFIT_VIEWS.items():
+        if re.fullmatch(around + inside.join(name) + around, str(benefit_type).lower()):
+            return columns
+    return None
 
 
 def employee_benefits(
@@ -34,11 +41,11 @@ def employee_benefits(
 
     The join is on ``employee_id`` with only the four needed employee columns,
     so Catalyst/AQE broadcast that side when its measured size allows and fall
-    back to a sort-merge join otherwise.
+    back to a sort-merge join otherwise. ``ids`` restrict the benefits; the join carries that over to the employees.
     """
-    check_ids(ids, id_range)
+    ids = as_ids(ids, id_range)
     benefits = restrict_ids(tables[BENEFITS], ids)
-    people = restrict_ids(tables[EMPLOYEES].select("employee_id", "name", "department", "role"), ids)
+    people = tables[EMPLOYEES].select("employee_id", "name", "department", "role")
     clash = {"name", "department", "role"} & set(benefits.columns)
     if clash:
         raise ValueError(f"benefit table already has columns {sorted(clash)}")

@@ -16,7 +16,9 @@ averages and the maximum are unaffected by the repetition.
 materialises the product: each side is pre-aggregated by ``employee_id``
 (partial aggregation on the map side, so a hot employee collapses to one row
 per task before the shuffle) and the counts are multiplied afterwards. Every
-table is scanned once and the joins are 1:1 on ``employee_id``.
+table is scanned once and the joins are 1:1 on ``employee_id``. A DataFrame of
+ids restricts the employees, so no raw leave or review row is joined to it;
+literal ids filter every scan.
 
 ``employee_profile_exact`` (R1x) reports the true L and P and adds the rating
 of the newest review.
@@ -27,30 +29,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import Ids, restrict_ids
-from ..schemas import BENEFIT_COLUMNS, BENEFITS, EMPLOYEE_COLUMNS, EMPLOYEES, LEAVE, REVIEWS
-from ..validate import check_ids
+from ..functions.predicates import Ids, IdSet, as_ids, restrict_ids, restrict_literal_ids
+from ..schemas import BENEFIT_COLUMNS, BENEFITS, EMPLOYEE_COLUMNS, EMPLOYEES, LEAVE, PERFORMANCE_FIELDS, REVIEWS
 
 BASIC_FIELDS = tuple(c for c in EMPLOYEE_COLUMNS if c != "salary")
-PERFORMANCE_FIELDS = (
-    "total_leave_requests", "pending_leave_requests", "avg_goals_score",
-    "avg_technical_score", "latest_performance_rating",
-)
 
 
-def _leave_counts(tables: dict[str, DataFrame], ids: Ids) -> DataFrame:
-    leave = restrict_ids(tables[LEAVE].select("employee_id", "request_id", "status"), ids)
+def _leave_counts(tables: dict[str, DataFrame], ids: IdSet) -> DataFrame:
+    leave = restrict_literal_ids(tables[LEAVE].select("employee_id", "request_id", "status"), ids)
     return leave.groupBy("employee_id").agg(
         F.count("request_id").alias("_leave_n"),
         F.count_if(F.col("status") == "Pending").alias("_pending_n"),
     )
 
 
-def _review_stats(tables: dict[str, DataFrame], ids: Ids, latest: bool) -> DataFrame:
+def _review_stats(tables: dict[str, DataFrame], ids: IdSet, latest: bool) -> DataFrame:
     cols = ["employee_id", "goals_achievement", "technical_skills", "overall_rating"]
     if latest:
         cols += ["review_date", "review_id"]
-    reviews = restrict_ids(tables[REVIEWS].select(*cols), ids)
+    reviews = restrict_literal_ids(tables[REVIEWS].select(*cols), ids)
     aggs = [
         F.count(F.lit(1)).alias("_review_n"),
         F.avg("goals_achievement").alias("avg_goals_score"),
@@ -63,13 +60,13 @@ def _review_stats(tables: dict[str, DataFrame], ids: Ids, latest: bool) -> DataF
     return reviews.groupBy("employee_id").agg(*aggs)
 
 
-def _benefit_groups(tables: dict[str, DataFrame], ids: Ids) -> DataFrame:
+def _benefit_groups(tables: dict[str, DataFrame], ids: IdSet) -> DataFrame:
     """One row per employee and distinct benefit record, with its multiplicity."""
-    benefits = restrict_ids(tables[BENEFITS].select("employee_id", *BENEFIT_COLUMNS), ids)
+    benefits = restrict_literal_ids(tables[BENEFITS].select("employee_id", *BENEFIT_COLUMNS), ids)
     return benefits.groupBy("employee_id", *BENEFIT_COLUMNS).agg(F.count(F.lit(1)).alias("_benefit_n"))
 
 
-def _employees(tables: dict[str, DataFrame], ids: Ids, include_salary: bool) -> DataFrame:
+def _employees(tables: dict[str, DataFrame], ids: IdSet, include_salary: bool) -> DataFrame:
     cols = EMPLOYEE_COLUMNS if include_salary else BASIC_FIELDS
     # Dropping salary here, before any join, prunes it from the scan.
     return restrict_ids(tables[EMPLOYEES].select(*cols), ids)
@@ -102,7 +99,7 @@ def employee_profile(
     then the five performance columns. ``id_range`` (e.g. ``EMPLOYEE_ID_RANGE``)
     rejects literal ids outside it, as the source's id check does.
     """
-    check_ids(ids, id_range)
+    ids = as_ids(ids, id_range)
     emp = _employees(tables, ids, include_salary)
     benefits = _benefit_groups(tables, ids)
     leave = _leave_counts(tables, ids)
@@ -136,11 +133,11 @@ def employee_profile_exact(
     Without benefits there is exactly one row per employee; with benefits one
     row per distinct benefit record (one in a clean source).
     """
-    check_ids(ids, id_range)
+    ids = as_ids(ids, id_range)
     emp = _employees(tables, ids, include_salary)
     joined = emp
     if include_benefits:
-        benefits = restrict_ids(tables[BENEFITS].select("employee_id", *BENEFIT_COLUMNS), ids).distinct()
+        benefits = restrict_literal_ids(tables[BENEFITS].select("employee_id", *BENEFIT_COLUMNS), ids).distinct()
         joined = joined.join(benefits, "employee_id", "left")
     joined = joined.join(_leave_counts(tables, ids), "employee_id", "left") \
         .join(_review_stats(tables, ids, latest=True), "employee_id", "left")

@@ -59,17 +59,24 @@ def default_rules(
     ]
 
 
-def _by_table(tables: dict[str, DataFrame], rules: Iterable[Rule]) -> dict[str, list[Rule]]:
-    out: dict[str, list[Rule]] = {}
+def _by_table(tables: dict[str, DataFrame], rules: Iterable[Rule] | None) -> tuple[dict[str, list[Rule]], list[Rule]]:
+    """The rules to check by table, and the default rules whose table is absent. A rule that the caller names for an
+    absent table raises ``ValueError``: a report that leaves it out would look whole."""
+    named = rules is not None
+    rules = list(rules) if named else default_rules()
+    absent = [r for r in rules if r.table not in tables]
+    if named and absent:
+        raise ValueError(f"no table for the rules {[(r.table, r.rule) for r in absent]}")
+    if not tables or not rules:
+        raise ValueError("no rule applies to the given tables")
+    found: dict[str, list[Rule]] = {}
     for r in rules:
         if r.table in tables:
-            out.setdefault(r.table, []).append(r)
-    return out
+            found.setdefault(r.table, []).append(r)
+    return found, absent
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    if not parts:
-        raise ValueError("no rule applies to the given tables")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -78,10 +85,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def domain_rule_report(tables: dict[str, DataFrame], rules: Iterable[Rule] | None = None) -> DataFrame:
     """``(table_name, rule, column_name, n_rows, n_violations)``: one global aggregate per
-    table (a single scan with one conditional count per rule)."""
-    rules = default_rules() if rules is None else list(rules)
+    table (a single scan with one conditional count per rule). With the default rules, those of a table that is not given
+    have null counts; a rule given in ``rules`` for such a table raises ``ValueError``."""
+    by_table, absent = _by_table(tables, rules)
     parts = []
-    for table, table_rules in _by_table(tables, rules).items():
+    for table, table_rules in by_table.items():
         df = tables[table]
         agg = df.agg(
             F.count(F.lit(1)).alias("n_rows"),
@@ -94,23 +102,35 @@ def domain_rule_report(tables: dict[str, DataFrame], rules: Iterable[Rule] | Non
         ])
         parts.append(agg.select(F.lit(table).alias("table_name"), "n_rows", F.inline(entries))
                      .select("table_name", "rule", "column_name", "n_rows", "n_violations"))
+    if absent:
+        spark = next(iter(tables.values())).sparkSession
+        parts.append(spark.createDataFrame(
+            [(r.table, r.rule, r.column, None, None) for r in absent],
+            "table_name string, rule string, column_name string, n_rows bigint, n_violations bigint"))
     return _union(parts)
 
 
 def domain_rule_rows(tables: dict[str, DataFrame], rules: Iterable[Rule] | None = None) -> DataFrame:
     """Row-level variant: ``(table_name, rule, column_name, row_key, value)`` for every
-    violating row, ``row_key`` being the table's key. Narrow: no shuffle."""
-    rules = default_rules() if rules is None else list(rules)
+    violating row, ``row_key`` being the table's key. Narrow: no shuffle, and only violations become rows. A default rule
+    whose table is not given is one row with a null key and the value ``table is missing``; a rule given in ``rules`` for such
+    a table raises ``ValueError``."""
+    by_table, absent = _by_table(tables, rules)
     parts = []
-    for table, table_rules in _by_table(tables, rules).items():
+    for table, table_rules in by_table.items():
         key = KEYS[table]
         entries = F.array(*[
-            F.struct(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"),
-                     r.violated().alias("bad"), F.col(r.column).cast("string").alias("value"))
+            F.when(r.violated(), F.struct(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"),
+                                          F.col(r.column).cast("string").alias("value")))
             for r in table_rules
         ])
-        rows = tables[table].select(F.col(key).alias("row_key"), F.inline(entries)).filter("bad")
+        rows = tables[table].select(F.col(key).alias("row_key"), F.inline(F.array_compact(entries)))
         parts.append(rows.select(F.lit(table).alias("table_name"), "rule", "column_name", "row_key", "value"))
+    if absent:
+        spark = next(iter(tables.values())).sparkSession
+        parts.append(spark.createDataFrame(
+            [(r.table, r.rule, r.column, None, "table is missing") for r in absent],
+            "table_name string, rule string, column_name string, row_key bigint, value string"))
     return _union(parts)
 
 

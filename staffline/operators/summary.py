@@ -1,17 +1,11 @@
 """R6: workforce summary.
 
-The source runs nine separate Spark actions (two or three scans per table).
-``hr_summary`` is one query with one aggregation shuffle (plus the final
-sort): each table's rows are turned, in the scan's own stage, into
-``(section, metric, key, weight, value)``
-contributions (a row counts towards its table's total and its breakdown key;
-scores feed the means); the four streams are unioned with a fixed skeleton of
-the scalar metrics (at most seven weight-0 rows, so that totals are 0 and
-means 0.0 on empty input, as in the source) and aggregated once by
-``(section, metric, key)`` with ``sum(weight)`` and ``avg(value)``. The
-aggregation is partial on the map side, so at most one row per group per task
-is shuffled and a hot key costs nothing extra. The result is the long form
-``(section, metric, key, value double)``.
+``hr_summary`` reads each table once, with one aggregate for it: employees by department, benefits by both plans,
+leave requests by status, reviews as a whole. The totals, the distributions and the means are derived from those
+few grouped rows, as ``(section, metric, key, n, value)`` entries that a last small aggregate adds up, together with a
+fixed skeleton of the scalar metrics (at most seven rows, so that totals are 0 and means 0.0 on empty input, as
+in the source). What is shuffled is a row for each group and task; a hot key costs nothing extra. The
+result is the long form ``(section, metric, key, value double)``.
 
 The single-metric functions (R6a-R6i) are the plain aggregations, one result
 each.
@@ -29,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import non_blank
-from ..functions.time import AsOf, on_or_after_days_back
+from ..functions.time import AsOf, since_now, since_today
 from ..schemas import BENEFITS, EMPLOYEES, LEAVE, REVIEWS
 from ..validate import check_summary_days
 
@@ -53,12 +47,12 @@ def _zero_if_null(c: Column) -> Column:
 
 def _leave_window(tables, days_back: int, as_of: AsOf) -> DataFrame:
     leave = tables[LEAVE]
-    return leave.filter(on_or_after_days_back(leave, "submitted_timestamp", days_back, as_of))
+    return leave.filter(since_now(leave, "submitted_timestamp", days_back, as_of))
 
 
 def _review_window(tables, days_back: int, as_of: AsOf) -> DataFrame:
     reviews = tables[REVIEWS]
-    return reviews.filter(on_or_after_days_back(reviews, "review_date", days_back, as_of))
+    return reviews.filter(since_today(reviews, "review_date", days_back, as_of))
 
 
 # --- single metrics (R6a-R6i) ----------------------------------------------
@@ -134,44 +128,62 @@ SCALAR_METRICS = {
 }
 
 
-def _contributions(df: DataFrame, section: str, specs) -> DataFrame:
-    """Each input row -> one ``(section, metric, key, weight, value)`` row per
-    spec ``(metric, key, value, keep)``; generated inside the scan's stage."""
-    items = []
-    for metric, key, value, keep in specs:
-        item = F.struct(
-            F.lit(metric).alias("metric"),
-            (F.lit(None) if key is None else key).cast("string").alias("key"),
-            F.lit(1).alias("weight"),
-            (F.lit(None) if value is None else value).cast("double").alias("value"),
-        )
-        items.append(item if keep is None else F.when(keep, item))
-    return df.select(F.inline(F.array(*items))).filter(F.col("metric").isNotNull()) \
-        .select(F.lit(section).alias("section"), "metric", "key", "weight", "value")
+#: The columns that a section reads; without one of them the section is reported as an error.
+SECTION_COLUMNS = {
+    "employees": ("department",),
+    "benefits": ("health_plan", "retirement_plan", "company_match_percent"),
+    "leave_requests": ("submitted_timestamp", "status"),
+    "performance_reviews": ("review_date", *SCORE_COLUMNS),
+}
+ENTRY = "section string, metric string, key string, n bigint, total double"
+
+
+def _entry(metric: str, key: Column | None, n: Column, total: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(metric).alias("metric"),
+        (F.lit(None) if key is None else key).cast("string").alias("key"),
+        n.cast("bigint").alias("n"),
+        (F.lit(None) if total is None else total).cast("double").alias("total"),
+    )
 
 
-def _section_rows(tables, section: str, days_back: int, as_of: AsOf) -> DataFrame:
+def _section_entries(tables, section: str, days_back: int, as_of: AsOf) -> DataFrame:
+    """One aggregate over the section's table; each of its rows gives the entries it adds to."""
+    n = F.col("n")
     if section == "employees":
-        return _contributions(tables[EMPLOYEES].select("department"), section, [
-            ("total_employees", None, None, None),
-            ("department_breakdown", F.col("department"), None, None),
-        ])
-    if section == "benefits":
-        b = tables[BENEFITS].select("health_plan", "retirement_plan", "company_match_percent")
-        return _contributions(b, section, [
-            ("health_plan_distribution", F.col("health_plan"), None, non_blank("health_plan")),
-            ("retirement_plan_distribution", F.col("retirement_plan"), None, non_blank("retirement_plan")),
-            ("average_company_match_percent", None, F.col("company_match_percent"), None),
-        ])
-    if section == "leave_requests":
-        return _contributions(_leave_window(tables, days_back, as_of).select("status"), section, [
-            ("total_requests", None, None, None),
-            ("status_breakdown", F.col("status"), None, None),
-        ])
-    reviews = _review_window(tables, days_back, as_of).select(*SCORE_COLUMNS)
-    return _contributions(reviews, section, [("total_reviews", None, None, None)] + [
-        ("average_scores", F.lit(c), F.col(c), None) for c in SCORE_COLUMNS
-    ])
+        groups = tables[EMPLOYEES].groupBy("department").agg(F.count(F.lit(1)).alias("n"))
+        entries = [_entry("total_employees", None, n), _entry("department_breakdown", F.col("department"), n)]
+    elif section == "benefits":
+        groups = tables[BENEFITS].groupBy("health_plan", "retirement_plan").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("company_match_percent").alias("matches"),
+            F.sum(F.col("company_match_percent").cast("double")).alias("match_sum"),
+        )
+        entries = [
+            F.when(non_blank("health_plan"), _entry("health_plan_distribution", F.col("health_plan"), n)),
+            F.when(non_blank("retirement_plan"), _entry("retirement_plan_distribution", F.col("retirement_plan"), n)),
+            _entry("average_company_match_percent", None, F.col("matches"), F.col("match_sum")),
+        ]
+    elif section == "leave_requests":
+        groups = _leave_window(tables, days_back, as_of).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+        entries = [_entry("total_requests", None, n), _entry("status_breakdown", F.col("status"), n)]
+    else:
+        groups = _review_window(tables, days_back, as_of).agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.count(c).alias(f"n_{c}") for c in SCORE_COLUMNS],
+            *[F.sum(F.col(c).cast("double")).alias(f"sum_{c}") for c in SCORE_COLUMNS],
+        )
+        entries = [_entry("total_reviews", None, n)]
+        entries += [_entry("average_scores", F.lit(c), F.col(f"n_{c}"), F.col(f"sum_{c}")) for c in SCORE_COLUMNS]
+    return groups.select(F.lit(section).alias("section"), F.inline(F.array_compact(F.array(*entries))))
+
+
+def _problem(tables: dict[str, DataFrame], section: str) -> str | None:
+    table = _SECTION_TABLE[section]
+    if table not in tables:
+        return f"table {table} is missing"
+    absent = [c for c in SECTION_COLUMNS[section] if c not in tables[table].columns]
+    return f"{table} has no column {', '.join(absent)}" if absent else None
 
 
 def hr_summary(
@@ -182,32 +194,36 @@ def hr_summary(
 ) -> DataFrame:
     """R6: the summary as ``(section, metric, key, value)``.
 
-    ``sections`` picks sections (default: all); a section whose table is not in
-    ``tables`` is left out, so one missing table never hides the others (R6j).
-    Breakdown rows come largest first within their metric.
+    ``sections`` picks sections (default: all). A section that cannot be built never hides or fails the others (R6j): it
+    gives one row with metric ``error``, the reason as key and a null value. A section asked for by name whose table is not
+    in ``tables`` raises ``ValueError`` instead. Breakdown rows come largest first within their metric.
     """
     check_summary_days(days_back)
     wanted = list(SECTIONS if sections is None else sections)
     unknown = set(wanted) - set(SECTIONS)
-    if unknown:
+    if unknown or not wanted:
         raise ValueError(f"unknown sections {sorted(unknown)}; known: {', '.join(SECTIONS)}")
-    built = [sec for sec in SECTIONS if sec in wanted and _SECTION_TABLE[sec] in tables]
-    if not built:
-        raise ValueError("no section can be built from the given tables")
-    rows = _section_rows(tables, built[0], days_back, as_of)
-    for sec in built[1:]:
-        rows = rows.unionByName(_section_rows(tables, sec, days_back, as_of))
-    # A fixed skeleton (at most 7 rows) makes the scalar metrics exist on empty input.
-    skeleton = [(sec, metric, key, 0, None) for sec in built for metric, key in SCALAR_METRICS[sec]]
-    spark = tables[_SECTION_TABLE[built[0]]].sparkSession
-    rows = rows.unionByName(spark.createDataFrame(
-        skeleton, "section string, metric string, key string, weight int, value double"))
-    agg = rows.groupBy("section", "metric", "key").agg(
-        F.sum("weight").alias("n"), F.avg("value").alias("mean"))
-    out = agg.select(
-        "section", "metric", "key",
-        F.when(F.col("metric").isin(*COUNT_METRICS), F.col("n").cast("double"))
-         .otherwise(_zero_if_null(F.col("mean"))).alias("value"),
+    if not tables:
+        raise ValueError("no tables are given")
+    absent = [] if sections is None else [s for s in wanted if _SECTION_TABLE[s] not in tables]
+    if absent:
+        raise ValueError(f"no table for the sections {absent}")
+    problems = {s: _problem(tables, s) for s in SECTIONS if s in wanted}
+    built = [s for s, problem in problems.items() if problem is None]
+
+    # A fixed skeleton (at most 7 rows) makes the scalar metrics exist on empty input; errors are rows of it.
+    skeleton = [(s, metric, key, 0, None) for s in built for metric, key in SCALAR_METRICS[s]]
+    skeleton += [(s, "error", problem, None, None) for s, problem in problems.items() if problem is not None]
+    spark = next(iter(tables.values())).sparkSession
+    rows = spark.createDataFrame(skeleton, ENTRY)
+    for s in built:
+        rows = rows.unionByName(_section_entries(tables, s, days_back, as_of))
+    added = rows.groupBy("section", "metric", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    value = (
+        F.when(F.col("metric") == "error", F.lit(None).cast("double"))
+        .when(F.col("metric").isin(*COUNT_METRICS), F.col("n").cast("double"))
+        .otherwise(_zero_if_null(F.try_divide(F.col("total"), F.col("n"))))
     )
+    out = added.select("section", "metric", "key", value.alias("value"))
     rank = F.array_position(F.array(*[F.lit(sec) for sec in SECTIONS]), F.col("section"))
     return out.orderBy(rank, F.col("metric"), F.col("value").desc(), F.col("key").asc_nulls_first())

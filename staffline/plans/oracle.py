@@ -1,15 +1,15 @@
 """DuckDB oracle SQL for every registered query (tests and the driver's
 correctness gate). Each statement starts with the fixture views as CTEs over
 the driver tables (the SQL twin of ``staffline.sources.fixtures``) and then
-computes the report the plain way: the profile by the literal fan-out join,
-lists by join-then-limit, the summary by one query per metric.
+computes the report from its definition: the profile by counting triples, lists by testing each row's owner and
+looking its two names up, the summary by one query per metric.
 """
 
 from __future__ import annotations
 
 from ..functions.text import STRIP_CHARS
 from ..schemas import (
-    DEPARTMENTS, EMPLOYEE_ID_RANGE, LEAVE_STATUSES, OFFICE_LOCATIONS, REVIEW_PERIODS, SANITIZE_TOKENS,
+    BENEFIT_COLUMNS, DEPARTMENTS, EMPLOYEE_COLUMNS, EMPLOYEE_ID_RANGE, LEAVE_STATUSES, OFFICE_LOCATIONS, REVIEW_PERIODS, SANITIZE_TOKENS,
 )
 from ..sources.fixtures import AS_OF, LEAVE_DATE_SHIFT_DAYS
 from . import params as P
@@ -35,7 +35,7 @@ WITH employees AS (
     c_custkey % 2 = 0 AS dental_coverage, c_custkey % 3 = 0 AS vision_coverage,
     CAST(c_custkey % 4 AS INT) AS life_insurance,
     CASE WHEN c_custkey % 2 = 0 THEN 'Biweekly' ELSE 'Monthly' END AS pay_frequency
-  FROM customer WHERE c_custkey % 10 <> 9
+  FROM customer
 ), leave_requests AS (
   SELECT o_orderkey AS request_id, o_custkey AS employee_id,
     CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey - o_custkey % 10 END AS approver_id,
@@ -59,11 +59,8 @@ WITH employees AS (
 NOW = f"TIMESTAMP '{AS_OF}'"
 TODAY = f"CAST({NOW} AS DATE)"
 
-EMP = ("employee_id", "name", "department", "role", "email", "salary", "leave_balance",
-       "office_location", "employment_status", "hire_date")
+EMP, BEN = EMPLOYEE_COLUMNS, BENEFIT_COLUMNS
 EMP_NO_SALARY = tuple(c for c in EMP if c != "salary")
-BEN = ("health_plan", "retirement_plan", "company_match_percent", "pto_days_annual", "sick_days_annual",
-       "dental_coverage", "vision_coverage", "life_insurance", "pay_frequency")
 
 
 def _q(s: str) -> str:
@@ -89,22 +86,31 @@ def with_fixture(body: str) -> str:
 # --- R1 / R1x ---------------------------------------------------------------
 
 def _profile_fanout(emp_cols, with_benefit_cols: bool, where: str = "") -> str:
-    e = ", ".join(f"e.{c}" for c in emp_cols)
-    b = ", ".join(f"b.{c}" for c in BEN)
-    shown = e + (", " + b if with_benefit_cols else "")
+    """R1's counts are of triples: a leave request, a review (or none, where there are no reviews) and one of the copies of
+    the employee's benefit record (or none). ``where`` is over ``who``."""
+    shown = [f"who.{c}" for c in emp_cols] + [f"record.{c}" for c in (BEN if with_benefit_cols else ())]
     return _sql(f"""
-SELECT {shown},
-  COUNT(lr.request_id) AS total_leave_requests,
-  COUNT(CASE WHEN lr.status = 'Pending' THEN 1 END) AS pending_leave_requests,
-  AVG(pr.goals_achievement) AS avg_goals_score,
-  AVG(pr.technical_skills) AS avg_technical_score,
-  MAX(pr.overall_rating) AS latest_performance_rating
-FROM employees e
-LEFT JOIN employee_benefits b ON e.employee_id = b.employee_id
-LEFT JOIN leave_requests lr ON e.employee_id = lr.employee_id
-LEFT JOIN performance_reviews pr ON e.employee_id = pr.employee_id
+WITH record AS (
+  SELECT employee_id, {", ".join(BEN)}, COUNT(*) AS copies FROM employee_benefits GROUP BY ALL
+), review_or_none AS (
+  SELECT employee_id, TRUE AS reviewed FROM performance_reviews
+  UNION ALL
+  SELECT employee_id, FALSE FROM employees WHERE employee_id NOT IN (
+    SELECT employee_id FROM performance_reviews WHERE employee_id IS NOT NULL)
+), paired AS (
+  SELECT r.employee_id, COUNT(request_id) AS requests, COUNT(*) FILTER (status = 'Pending') AS pending
+  FROM review_or_none r, leave_requests l WHERE l.employee_id = r.employee_id GROUP BY r.employee_id
+), scores AS (
+  SELECT employee_id, AVG(goals_achievement) AS goals, AVG(technical_skills) AS technical, MAX(overall_rating) AS best
+  FROM performance_reviews GROUP BY employee_id
+)
+SELECT {", ".join(shown)},
+  COALESCE(requests * COALESCE(copies, 1), 0) AS total_leave_requests,
+  COALESCE(pending * COALESCE(copies, 1), 0) AS pending_leave_requests,
+  goals AS avg_goals_score, technical AS avg_technical_score, best AS latest_performance_rating
+FROM employees who
+LEFT JOIN record USING (employee_id) LEFT JOIN paired USING (employee_id) LEFT JOIN scores USING (employee_id)
 {where}
-GROUP BY {", ".join(f"e.{c}" for c in EMP)}, {b}
 """)
 
 
@@ -142,13 +148,22 @@ LEFT JOIN nw ON e.employee_id = nw.employee_id
 
 # --- R2 ---------------------------------------------------------------------
 
-def _benefits(where: str = "", view: tuple[str, ...] = ()) -> str:
-    extra = "".join(f", b.{c} AS filtered_{c}" for c in view)
+def _looked_up(column: str, person: str) -> str:
+    """One column of the employee with the id ``person``; null if there is none."""
+    return f"(SELECT ANY_VALUE({column}) FROM employees WHERE employees.employee_id = {person})"
+
+
+def _known(person: str) -> str:
+    return f"{person} IN (SELECT employee_id FROM employees)"
+
+
+def _benefits(where: str = "TRUE", view: tuple[str, ...] = ()) -> str:
+    """``where`` is over ``employee_benefits``."""
+    names = ", ".join(f"{_looked_up(c, 'employee_benefits.employee_id')} AS {c}" for c in ("name", "department", "role"))
+    extra = "".join(f", {c} AS filtered_{c}" for c in view)
     return _sql(f"""
-SELECT b.*, e.name, e.department, e.role{extra}
-FROM employee_benefits b JOIN employees e ON b.employee_id = e.employee_id
-{where}
-ORDER BY e.name ASC NULLS FIRST, b.employee_id
+SELECT *, {names}{extra} FROM employee_benefits
+WHERE {_known("employee_benefits.employee_id")} AND {where}
 """)
 
 
@@ -165,28 +180,23 @@ LIMIT {limit}
 
 # --- R4 / R5 ----------------------------------------------------------------
 
-def _leave(where: str, limit: int) -> str:
+def _listed(table: str, date: str, key: str, other: str, where: str, limit: int) -> str:
+    """The newest rows of ``table`` whose owner is known and that meet ``where``, with the two names looked up."""
+    own = f"{table}.employee_id"
     return _sql(f"""
-SELECT lr.*, e.name AS employee_name, e.department, a.name AS approver_name
-FROM leave_requests lr
-JOIN employees e ON lr.employee_id = e.employee_id
-LEFT JOIN employees a ON lr.approver_id = a.employee_id
-WHERE {where}
-ORDER BY lr.submitted_timestamp DESC NULLS LAST, lr.request_id
-LIMIT {limit}
+SELECT *, {_looked_up("name", own)} AS employee_name, {_looked_up("department", own)} AS department,
+  {_looked_up("name", f"{table}.{other}_id")} AS {other}_name
+FROM {table} WHERE {_known(own)} AND {where}
+ORDER BY {date} DESC NULLS LAST, {key} LIMIT {limit}
 """)
 
 
+def _leave(where: str, limit: int) -> str:
+    return _listed("leave_requests", "submitted_timestamp", "request_id", "approver", where, limit)
+
+
 def _reviews(where: str, limit: int) -> str:
-    return _sql(f"""
-SELECT pr.*, e.name AS employee_name, e.department, r.name AS reviewer_name
-FROM performance_reviews pr
-JOIN employees e ON pr.employee_id = e.employee_id
-LEFT JOIN employees r ON pr.reviewer_id = r.employee_id
-WHERE {where}
-ORDER BY pr.review_date DESC NULLS LAST, pr.review_id
-LIMIT {limit}
-""")
+    return _listed("performance_reviews", "review_date", "review_id", "reviewer", where, limit)
 
 
 # --- R6 ---------------------------------------------------------------------
@@ -292,18 +302,23 @@ def report_sql() -> dict[str, str]:
         "employee_profile_salary": _profile_fanout(EMP, True),
         "employee_profile_no_benefits": _profile_fanout(EMP_NO_SALARY, False),
         "employee_profile_ids": _profile_fanout(
-            EMP_NO_SALARY, True, "WHERE e.employee_id IN (SELECT approver_id FROM leave_requests)"),
+            EMP_NO_SALARY, True, "WHERE who.employee_id IN (SELECT approver_id FROM leave_requests)"),
         "employee_profile_exact": _profile_exact(),
         "employee_profile_exact_no_benefits": _profile_exact(with_benefits=False),
         "employee_profile_exact_ids": _profile_exact(
             where="WHERE e.employee_id IN (SELECT approver_id FROM leave_requests)"),
+        "employee_profile_one": _profile_fanout(EMP_NO_SALARY, True, f"WHERE who.employee_id = {P.ONE_EMPLOYEE}"),
+        "employee_profile_exact_one": _profile_exact(where=f"WHERE e.employee_id = {P.ONE_EMPLOYEE}"),
+        "benefits_one": _benefits(f"employee_benefits.employee_id = {P.ONE_EMPLOYEE}"),
+        "leave_one": _leave(f"leave_requests.employee_id = {P.ONE_EMPLOYEE}", P.LEAVE_LIMIT),
+        "reviews_one": _reviews(f"performance_reviews.employee_id = {P.ONE_EMPLOYEE}", P.REVIEW_LIMIT),
         "benefits_all": _benefits(),
         "benefits_by_id": _benefits(
-            "WHERE b.employee_id IN (SELECT employee_id FROM leave_requests WHERE status = 'Pending')"),
+            "employee_benefits.employee_id IN (SELECT employee_id FROM leave_requests WHERE status = 'Pending')"),
         "benefits_health": _benefits(view=("health_plan", "dental_coverage", "vision_coverage")),
         "benefits_retirement": _benefits(view=("retirement_plan", "company_match_percent")),
         "benefits_by_id_retirement": _benefits(
-            "WHERE b.employee_id IN (SELECT employee_id FROM leave_requests WHERE status = 'Pending')",
+            "employee_benefits.employee_id IN (SELECT employee_id FROM leave_requests WHERE status = 'Pending')",
             view=("retirement_plan", "company_match_percent")),
         "search_top_limit": _search("TRUE", P.WIDE_LIMIT),
         "search_department": _search(f"department = {_q(P.SEARCH_DEPARTMENT)}", P.SEARCH_LIMIT),
@@ -313,24 +328,23 @@ def report_sql() -> dict[str, str]:
             f"department = {_q(P.SEARCH_DEPARTMENT)} AND contains(role, {_q(P.SEARCH_ROLE)}) "
             f"AND office_location = {_q(P.SEARCH_OFFICE)}", P.SEARCH_LIMIT),
         "leave_recent": _leave("TRUE", P.LEAVE_LIMIT),
-        "leave_by_status": _leave(f"lr.status = {_q(P.LEAVE_STATUS)}", P.LEAVE_LIMIT),
+        "leave_by_status": _leave(f"status = {_q(P.LEAVE_STATUS)}", P.LEAVE_LIMIT),
         "leave_by_employee": _leave(
-            "lr.employee_id IN (SELECT employee_id FROM employees WHERE employment_status = 'Inactive')",
+            "leave_requests.employee_id IN (SELECT employee_id FROM employees WHERE employment_status = 'Inactive')",
             P.LEAVE_LIMIT),
-        "leave_days_back": _leave(_leave_window(P.LEAVE_DAYS_BACK).replace(
-            "submitted_timestamp", "lr.submitted_timestamp"), P.LEAVE_LIMIT),
+        "leave_days_back": _leave(_leave_window(P.LEAVE_DAYS_BACK), P.LEAVE_LIMIT),
         "leave_combined": _leave(
-            "lr.employee_id IN (SELECT employee_id FROM employees WHERE employment_status = 'Inactive') "
-            f"AND lr.status = {_q(P.COMBINED_STATUS)} AND "
-            + _leave_window(P.SUMMARY_DAYS_LONG).replace("submitted_timestamp", "lr.submitted_timestamp"),
+            "leave_requests.employee_id IN (SELECT employee_id FROM employees WHERE employment_status = 'Inactive') "
+            f"AND status = {_q(P.COMBINED_STATUS)} AND "
+            + _leave_window(P.SUMMARY_DAYS_LONG),
             P.WIDE_LIMIT),
         "reviews_combined": _reviews(
-            "pr.employee_id IN (SELECT employee_id FROM employees WHERE office_location = 'Remote') "
-            f"AND pr.review_period = {_q(P.COMBINED_PERIOD)}", P.WIDE_LIMIT),
+            "performance_reviews.employee_id IN (SELECT employee_id FROM employees WHERE office_location = 'Remote') "
+            f"AND review_period = {_q(P.COMBINED_PERIOD)}", P.WIDE_LIMIT),
         "reviews_recent": _reviews("TRUE", P.REVIEW_LIMIT),
-        "reviews_by_period": _reviews(f"pr.review_period = {_q(P.REVIEW_PERIOD)}", P.REVIEW_LIMIT),
+        "reviews_by_period": _reviews(f"review_period = {_q(P.REVIEW_PERIOD)}", P.REVIEW_LIMIT),
         "reviews_by_employee": _reviews(
-            "pr.employee_id IN (SELECT employee_id FROM employees WHERE office_location = 'Remote')",
+            "performance_reviews.employee_id IN (SELECT employee_id FROM employees WHERE office_location = 'Remote')",
             P.REVIEW_LIMIT),
         "headcount_total": _sql("SELECT COUNT(*) AS total_employees FROM employees"),
         "headcount_by_department": _sql(

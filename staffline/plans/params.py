@@ -3,6 +3,9 @@ oracle SQL so that both always ask the same question)."""
 
 from ..schemas import DEPARTMENTS, LEAVE_STATUSES, OFFICE_LOCATIONS, REVIEW_PERIODS
 
+# An employee with leave requests and reviews at every scale factor.
+ONE_EMPLOYEE = 10
+
 SEARCH_DEPARTMENT = "Engineering"
 SEARCH_ROLE = "MACH"
 SEARCH_OFFICE = "Austin"

@@ -1,6 +1,6 @@
 """The registered queries: each report with fixed parameters over the fixture
 tables of one scale-factor folder. Every query reads whole tables; id sets are
-derived from the data by Spark (semi joins), never listed."""
+derived from the data by Spark. The ``*_one`` queries are the look-up of one employee by id."""
 
 from __future__ import annotations
 
@@ -26,29 +26,9 @@ def _flat_benefits(df: DataFrame) -> DataFrame:
                      *[F.col(f"filtered_benefits.{c}").alias(f"filtered_{c}") for c in inner])
 
 
-_LOADED: dict[tuple, dict[str, DataFrame]] = {}
-
-
-def _session_key(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # sessions without a SparkContext (Spark Connect)
-        return str(id(spark))
-
-
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The fixture tables of ``sf_dir``, defined once per session and folder,
-    as a user loads tables once and runs many reports over them. These are
-    lazy definitions, not cached data: every query still scans the files."""
-    key = (_session_key(spark), sf_dir)
-    if key not in _LOADED:
-        _LOADED[key] = fixture_tables(spark, sf_dir)
-    return dict(_LOADED[key])
-
-
 def _q(build: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(load(spark, sf_dir))
+        return build(fixture_tables(spark, sf_dir))
     run.__doc__ = build.__doc__
     return run
 
@@ -80,6 +60,8 @@ def queries() -> dict[str, Query]:
         "employee_profile_exact": _q(lambda t: ops.employee_profile_exact(t)),
         "employee_profile_exact_no_benefits": _q(lambda t: ops.employee_profile_exact(t, include_benefits=False)),
         "employee_profile_exact_ids": _q(lambda t: ops.employee_profile_exact(t, ids=_approvers(t))),
+        "employee_profile_one": _q(lambda t: ops.employee_profile(t, ids=P.ONE_EMPLOYEE)),
+        "employee_profile_exact_one": _q(lambda t: ops.employee_profile_exact(t, ids=[P.ONE_EMPLOYEE])),
         # R2
         "benefits_all": _q(lambda t: ops.employee_benefits(t)),
         "benefits_by_id": _q(lambda t: ops.employee_benefits(t, ids=_pending_requesters(t))),
@@ -87,6 +69,7 @@ def queries() -> dict[str, Query]:
         "benefits_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(t, benefit_type="401k"))),
         "benefits_by_id_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(
             t, ids=_pending_requesters(t), benefit_type="retirement"))),
+        "benefits_one": _q(lambda t: ops.employee_benefits(t, ids=P.ONE_EMPLOYEE)),
         # R3
         "search_department": _q(lambda t: ops.search_employees(
             t, department=P.SEARCH_DEPARTMENT, limit=P.SEARCH_LIMIT)),
@@ -106,6 +89,7 @@ def queries() -> dict[str, Query]:
         "leave_combined": _q(lambda t: ops.leave_requests(
             t, ids=_inactive(t), status=P.COMBINED_STATUS, days_back=P.SUMMARY_DAYS_LONG, as_of=AS_OF,
             limit=P.WIDE_LIMIT)),
+        "leave_one": _q(lambda t: ops.leave_requests(t, ids=P.ONE_EMPLOYEE, limit=P.LEAVE_LIMIT)),
         # R5
         "reviews_recent": _q(lambda t: ops.performance_reviews(t, limit=P.REVIEW_LIMIT)),
         "reviews_by_period": _q(lambda t: ops.performance_reviews(
@@ -113,6 +97,7 @@ def queries() -> dict[str, Query]:
         "reviews_by_employee": _q(lambda t: ops.performance_reviews(t, ids=_remote(t), limit=P.REVIEW_LIMIT)),
         "reviews_combined": _q(lambda t: ops.performance_reviews(
             t, ids=_remote(t), review_period=P.COMBINED_PERIOD, limit=P.WIDE_LIMIT)),
+        "reviews_one": _q(lambda t: ops.performance_reviews(t, ids=P.ONE_EMPLOYEE, limit=P.REVIEW_LIMIT)),
         # R6
         "headcount_total": _q(ops.headcount_total),
         "headcount_by_department": _q(ops.headcount_by_department),
@@ -134,27 +119,15 @@ def queries() -> dict[str, Query]:
             t, ops.default_rules(**P.NARROW_DOMAINS))),
         "domain_rule_rows": _q(lambda t: ops.domain_rule_rows(t, ops.default_rules(**P.NARROW_DOMAINS))),
         "domain_rule_rows_default": _q(lambda t: ops.domain_rule_rows(t)),
-        # Q2 (driver text tables)
-        # Each text table is one parquet row group (one busy task), so the work is spread.
+        # Q2 (driver text tables): cleaned in the scan's own stage
         "sanitize_documents": lambda spark, d: ops.sanitize_text(
-            _read(spark, d, "documents"), {"text": "clean_text"}, keep=["doc_id"], spread=_cores(spark)),
+            _read(spark, d, "documents"), {"text": "clean_text"}, keep=["doc_id"]),
         "sanitize_conversations": lambda spark, d: ops.sanitize_text(
-            _read(spark, d, "conversations"), {"text": "clean_text"}, keep=["conv_id", "turn"],
-            spread=_cores(spark)),
+            _read(spark, d, "conversations"), {"text": "clean_text"}, keep=["conv_id", "turn"]),
         "sanitize_pages": lambda spark, d: ops.sanitize_text(
-            _read(spark, d, "pages"), {"html": "clean_html"}, keep=["page_id"], spread=_cores(spark)),
+            _read(spark, d, "pages"), {"html": "clean_html"}, keep=["page_id"]),
     }
 
 
-def _cores(spark: SparkSession) -> int | None:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # sessions without a SparkContext (Spark Connect)
-        return None
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (_session_key(spark), sf_dir, name)
-    if key not in _LOADED:
-        _LOADED[key] = {name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")}
-    return _LOADED[key][name]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

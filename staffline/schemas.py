@@ -43,8 +43,6 @@ BENEFIT_VIEWS = {
 # white-space strip, then the cut to the first 100 characters.
 SANITIZE_TOKENS = ("'", '"', ";", "--", "/*", "*/", "\\", "%", "<", ">", "&", "|")
 SANITIZE_MAX_LENGTH = 100
-# ---------------------------------------------------------------------------
-
 EMPLOYEE_COLUMNS = (
     "employee_id", "name", "department", "role", "email", "salary",
     "leave_balance", "office_location", "employment_status", "hire_date",
@@ -54,6 +52,12 @@ BENEFIT_COLUMNS = (
     "sick_days_annual", "dental_coverage", "vision_coverage", "life_insurance", "pay_frequency",
 )
 SEARCH_COLUMNS = ("employee_id", "name", "department", "role", "office_location", "employment_status")
+# Output names of the profile.
+PERFORMANCE_FIELDS = (
+    "total_leave_requests", "pending_leave_requests", "avg_goals_score",
+    "avg_technical_score", "latest_performance_rating",
+)
+# ---------------------------------------------------------------------------
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:

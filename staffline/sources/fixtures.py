@@ -9,10 +9,14 @@ stay in step.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import BENEFITS, EMPLOYEES, LEAVE, REVIEWS
+from ..schemas import (
+    BENEFITS, DEPARTMENTS, EMPLOYEES, LEAVE, LEAVE_STATUSES, OFFICE_LOCATIONS, REVIEW_PERIODS, REVIEWS,
+)
 
 # Fixed clock of the fixture: the last leave request is dated this day.
 AS_OF = "2024-01-31 00:00:00"
@@ -20,7 +24,7 @@ AS_OF = "2024-01-31 00:00:00"
 LEAVE_DATE_SHIFT_DAYS = 8218
 
 
-def _case(key: Column, values: list[str | None], default: str | None = None) -> Column:
+def _case(key: Column, values: Sequence[str | None], default: str | None = None) -> Column:
     """``CASE key WHEN 0 THEN values[0] WHEN 1 THEN values[1] ... ELSE default``."""
     out = None
     for i, v in enumerate(values):
@@ -37,25 +41,21 @@ def employees(customer: DataFrame) -> DataFrame:
     return customer.select(
         k.alias("employee_id"),
         F.col("c_name").alias("name"),
-        _case(k % 8, ["Engineering", "Marketing", "Finance", "HR", "Sales", "Operations", "Support"],
-              "Legal").alias("department"),
+        _case(k % 8, DEPARTMENTS[:-1], DEPARTMENTS[-1]).alias("department"),
         F.col("c_mktsegment").alias("role"),
         F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
         F.col("c_acctbal").alias("salary"),
         (k % 31).cast("int").alias("leave_balance"),
-        _case(F.col("c_nationkey") % 5, ["New York", "San Francisco", "Austin", "Remote"],
-              "Chicago").alias("office_location"),
+        _case(F.col("c_nationkey") % 5, OFFICE_LOCATIONS[:-1], OFFICE_LOCATIONS[-1]).alias("office_location"),
         F.when(k % 17 == 0, "Inactive").otherwise("Active").alias("employment_status"),
         F.date_add(F.lit("2015-01-01").cast("date"), (k % 3000).cast("int")).alias("hire_date"),
     )
 
 
 def employee_benefits(customer: DataFrame) -> DataFrame:
-    """One benefit row per employee, except every tenth employee, who has none:
-    that gap is part of the data model (it exercises the left-join nulls of the
-    profile), not a sample; every query still reads the whole table."""
+    """One benefit row per employee."""
     k = F.col("c_custkey")
-    return customer.filter(k % 10 != 9).select(
+    return customer.select(
         k.alias("employee_id"),
         _case(k % 4, ["PPO", "HMO", "HDHP"], None).alias("health_plan"),
         _case(k % 3, ["401k", "Roth 401k"], "").alias("retirement_plan"),
@@ -71,13 +71,14 @@ def employee_benefits(customer: DataFrame) -> DataFrame:
 
 def leave_requests(orders: DataFrame) -> DataFrame:
     k, cust, st = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    pending, approved, denied, cancelled = LEAVE_STATUSES
     return orders.select(
         k.alias("request_id"),
         cust.alias("employee_id"),
         F.when(k % 5 != 0, cust - cust % 10).alias("approver_id"),
         F.col("o_orderpriority").alias("leave_type"),
-        F.when(st == "O", "Pending").when(st == "F", "Approved")
-         .when(k % 2 == 0, "Denied").otherwise("Cancelled").alias("status"),
+        F.when(st == "O", pending).when(st == "F", approved)
+         .when(k % 2 == 0, denied).otherwise(cancelled).alias("status"),
         (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(LEAVE_DATE_SHIFT_DAYS)))
         .alias("submitted_timestamp"),
     )
@@ -85,13 +86,13 @@ def leave_requests(orders: DataFrame) -> DataFrame:
 
 def performance_reviews(events: DataFrame) -> DataFrame:
     k, user, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    q1, q2, q3, q4, annual = REVIEW_PERIODS
     return events.select(
         k.alias("review_id"),
         user.alias("employee_id"),
         F.when(k % 6 != 0, user - user % 10).alias("reviewer_id"),
-        F.when(et == "click", "Q1 2024").when(et == "error", "Q2 2024")
-         .when(et == "purchase", "Q3 2024").when(et == "signup", "Q4 2024")
-         .otherwise("Annual 2024").alias("review_period"),
+        F.when(et == "click", q1).when(et == "error", q2).when(et == "purchase", q3).when(et == "signup", q4)
+         .otherwise(annual).alias("review_period"),
         F.col("ts").cast("date").alias("review_date"),
         F.when(k % 13 != 0, (k % 101).cast("int")).alias("goals_achievement"),
         (k % 5 + 1).cast("int").alias("technical_skills"),

@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import numbers
 from collections.abc import Iterable
 
 from .schemas import (
@@ -17,6 +16,7 @@ def present(value) -> bool:
 
 
 def check_limit(limit: int, max_records: int = MAX_RECORDS) -> int:
+    """``max_records`` is the ceiling that the operator of the reports sets; a limit above it raises, nothing is cut silently."""
     if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= max_records:
         raise ValueError(f"limit must be between 1 and {max_records}, got {limit!r}")
     return limit
@@ -54,18 +54,3 @@ def lookback_days(days) -> int | None:
     if isinstance(days, int) and not isinstance(days, bool) and days > 0:
         return days
     return None
-
-
-def check_ids(ids, id_range: tuple[int, int] | None):
-    """Literal ids (an int or a list) must lie in ``id_range`` when one is
-    given; a DataFrame of ids is not checked here (``domain_rule_report``
-    reports out-of-range rows instead)."""
-    if id_range is None or ids is None or hasattr(ids, "schema"):
-        return ids
-    lo, hi = id_range
-    values = [ids] if isinstance(ids, numbers.Integral) else list(ids)
-    bad = [i for i in values
-           if isinstance(i, bool) or not isinstance(i, numbers.Integral) or not lo <= int(i) <= hi]
-    if bad:
-        raise ValueError(f"invalid employee id(s) {bad[:5]}; must be between {lo} and {hi}")
-    return ids
