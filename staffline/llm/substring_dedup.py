@@ -107,7 +107,8 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 128) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_chunks, spans, repeated_bytes, dropped_bytes.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, repeated (whether it has a passage that occurs elsewhere), first_doc_ids
+    (the documents that keep passages dropped here), spans, n_bytes, n_chunks, repeated_bytes, dropped_bytes.
 
     ``spans`` are the document's passages (start, end in bytes of the UTF-8 text) of at least ``least_bytes`` whose
     chunks all occur in another document too. ``first_doc_id`` is the document in which the passage's first chunk comes first
@@ -138,13 +139,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 1
     spans = by_document.mapInArrow(join, "uid long, spans array<struct<start: long, end: long, first_doc_id: long, drop: boolean>>")
     whole = rows.select("uid", "doc_id", "n_bytes", F.size("ends").alias("n_chunks")).join(spans, "uid", "left")
     none = F.array().cast(spans.schema["spans"].dataType)
+    dropped = F.filter("spans", lambda s: s["drop"])
     return whole.select("doc_id", "n_bytes", "n_chunks", F.coalesce("spans", none).alias("spans")).select(
-        "*", _bytes_in("spans", F.lit(True)).alias("repeated_bytes"), _bytes_in("spans", None).alias("dropped_bytes")
+        "doc_id",
+        (F.size("spans") > 0).alias("repeated"),
+        F.array_distinct(F.transform(dropped, lambda s: s["first_doc_id"])).alias("first_doc_ids"),
+        "spans",
+        "n_bytes",
+        "n_chunks",
+        _bytes_in(F.col("spans")).alias("repeated_bytes"),
+        _bytes_in(dropped).alias("dropped_bytes"),
     )
 
 
-def _bytes_in(spans: str, every: Column | None) -> Column:
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + F.when(s["drop"] if every is None else every, s["end"] - s["start"]).otherwise(0))
+def _bytes_in(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def passages(hits: list[dict], least_bytes: int) -> list[dict]:

@@ -64,7 +64,8 @@ def test_planted_passages_are_found_and_others_left_alone(spark):
     docs = rows()
     got = {r.doc_id: r for r in S.repeated_passages(spark, frame(spark, docs, clashing=True)).collect()}
     assert set(got) == set(range(20))
-    assert {d for d, r in got.items() if r.spans} == {3, 8, 15}
+    assert {d for d, r in got.items() if r.spans} == {d for d, r in got.items() if r.repeated} == {3, 8, 15}
+    assert [got[d].first_doc_ids for d in (3, 8, 15)] == [[], [3], [3]]
     for d in (3, 8, 15):
         data = dict(docs)[d].encode()
         (span,) = got[d].spans
