@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +12,13 @@ import numpy as np
 from staffline.llm.common import word_blocks
 
 #: Words remembered by each worker process; beyond, it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 TOKENIZER = "word_bpe_49k.json"
+#: The tokenizer always splits between a letter and a sign, so a space there changes nothing.
+_SIGN_AFTER_LETTER = re.compile(rb"(?<=[a-z])[.,;:!?]")
+#: The letters that byte-level models use for bytes: printable Latin-1 as it is, the others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTER_OF_BYTE = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -20,36 +27,41 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer that never joins over white space, so each word is encoded on its own.
+class WordEncoder(dict):
+    """Encodes texts with a tokenizer like the default one: lower case, NFC, byte-level BPE within runs of letters or of
+    signs and never over white space. So each word is encoded on its own, and remembered (word -> ids).
 
     ``ordinary_specials`` makes the special tokens' strings in a text ordinary text.
     """
 
     def __init__(self, path: str, ordinary_specials: bool = False):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_specials
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
 
     def blocks(self, text: bytes) -> Iterator[bytes]:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers, in pieces."""
+        if b"<|" not in text:  # no special token; case does not matter to the tokenizer
+            text = _SIGN_AFTER_LETTER.sub(rb" \g<0>", text.lower())
         for words in word_blocks(text):
-            found = list(map(self.known.get, words))
-            if None in found:
-                self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-                found = list(map(self.known.__getitem__, words))
-            yield b"".join(found)
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, e in zip(new, encoded, strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+            yield b"".join(map(self.__getitem__, words))
+            if len(self) > REMEMBERED:
+                self.clear()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            # One run of lower-case letters: normalising and splitting leave it alone, so only the model is asked.
+            letters = text if text.isascii() else word.decode("latin-1").translate(_LETTER_OF_BYTE)
+            ids = [t.id for t in self.model.tokenize(letters)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self[word] = found = np.array(ids, "<u4").tobytes()
+        return found
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
