@@ -43,8 +43,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(spark, docs.where(~held_out(4, 2)))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = identify(spark, docs.select(F.struct("*").alias("row"), "text"), model, ["row"])
-    return told.where("lang_pred != 'und' AND score >= 0.5").select("row.*")
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
+    told = identify(spark, docs.select(others, "text"), model, ["row", "text"]).where("lang_pred != 'und' AND score >= 0.5")
+    return told.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ BUCKET_BITS = 16
 #: The matrix, and what the driver gathers for it, holds at most this many languages.
 MAX_LANGUAGES = 100
 UNDETERMINED = "und"
-SLICE = 1 << 20
+#: Characters scored together: small enough for the arrays made of them to stay in the processor's cache.
+SLICE = 1 << 16
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -164,16 +165,19 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, keep: l
     """
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [f.name for f in docs.select(*keep).schema.fields]
+    fields = docs.select(*keep).schema.fields
+    kept = [f.name for f in fields]
+    source = "text" if "text" in kept else "__text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = predict_texts(batch.column("__text").to_pylist(), shared.value)
+            names, scores = predict_texts(batch.column(source).to_pylist(), shared.value)
             columns = {k: batch.column(k) for k in kept}
             yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
 
-    schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, schema)
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    read = keep if source == "text" else [*keep, F.col("text").alias("__text")]
+    return docs.select(*read).mapInArrow(score, schema)
 
 
 def held_out(modulus: int, remainder: int) -> Column:
