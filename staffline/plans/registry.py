@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as ops
-from ..schemas import EMPLOYEES, LEAVE
+from ..schemas import BENEFITS, EMPLOYEES, LEAVE, REVIEWS, TABLE_NAMES
 from ..sources.fixtures import AS_OF, fixture_tables
 from . import params as P
 
@@ -26,9 +26,10 @@ def _flat_benefits(df: DataFrame) -> DataFrame:
                      *[F.col(f"filtered_benefits.{c}").alias(f"filtered_{c}") for c in inner])
 
 
-def _q(build: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+def _q(build: Callable[[dict[str, DataFrame]], DataFrame], *names: str) -> Query:
+    """A report over the fixture tables ``names`` (all of them if none is given)."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(fixture_tables(spark, sf_dir))
+        return build(fixture_tables(spark, sf_dir, names or TABLE_NAMES))
     run.__doc__ = build.__doc__
     return run
 
@@ -63,56 +64,56 @@ def queries() -> dict[str, Query]:
         "employee_profile_one": _q(lambda t: ops.employee_profile(t, ids=P.ONE_EMPLOYEE)),
         "employee_profile_exact_one": _q(lambda t: ops.employee_profile_exact(t, ids=[P.ONE_EMPLOYEE])),
         # R2
-        "benefits_all": _q(lambda t: ops.employee_benefits(t)),
-        "benefits_by_id": _q(lambda t: ops.employee_benefits(t, ids=_pending_requesters(t))),
-        "benefits_health": _q(lambda t: _flat_benefits(ops.employee_benefits(t, benefit_type="health"))),
-        "benefits_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(t, benefit_type="401k"))),
+        "benefits_all": _q(lambda t: ops.employee_benefits(t), EMPLOYEES, BENEFITS),
+        "benefits_by_id": _q(lambda t: ops.employee_benefits(t, ids=_pending_requesters(t)), EMPLOYEES, BENEFITS, LEAVE),
+        "benefits_health": _q(lambda t: _flat_benefits(ops.employee_benefits(t, benefit_type="health")), EMPLOYEES, BENEFITS),
+        "benefits_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(t, benefit_type="401k")), EMPLOYEES, BENEFITS),
         "benefits_by_id_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(
-            t, ids=_pending_requesters(t), benefit_type="retirement"))),
-        "benefits_one": _q(lambda t: ops.employee_benefits(t, ids=P.ONE_EMPLOYEE)),
+            t, ids=_pending_requesters(t), benefit_type="retirement")), EMPLOYEES, BENEFITS, LEAVE),
+        "benefits_one": _q(lambda t: ops.employee_benefits(t, ids=P.ONE_EMPLOYEE), EMPLOYEES, BENEFITS),
         # R3
         "search_department": _q(lambda t: ops.search_employees(
-            t, department=P.SEARCH_DEPARTMENT, limit=P.SEARCH_LIMIT)),
-        "search_role": _q(lambda t: ops.search_employees(t, role=P.SEARCH_ROLE, limit=P.SEARCH_LIMIT)),
+            t, department=P.SEARCH_DEPARTMENT, limit=P.SEARCH_LIMIT), EMPLOYEES),
+        "search_role": _q(lambda t: ops.search_employees(t, role=P.SEARCH_ROLE, limit=P.SEARCH_LIMIT), EMPLOYEES),
         "search_office": _q(lambda t: ops.search_employees(
-            t, office_location=P.SEARCH_OFFICE, limit=P.SEARCH_LIMIT)),
+            t, office_location=P.SEARCH_OFFICE, limit=P.SEARCH_LIMIT), EMPLOYEES),
         "search_combined": _q(lambda t: ops.search_employees(
             t, department=P.SEARCH_DEPARTMENT, role=P.SEARCH_ROLE, office_location=P.SEARCH_OFFICE,
-            limit=P.SEARCH_LIMIT)),
-        "search_top_limit": _q(lambda t: ops.search_employees(t, limit=P.WIDE_LIMIT)),
+            limit=P.SEARCH_LIMIT), EMPLOYEES),
+        "search_top_limit": _q(lambda t: ops.search_employees(t, limit=P.WIDE_LIMIT), EMPLOYEES),
         # R4
-        "leave_recent": _q(lambda t: ops.leave_requests(t, limit=P.LEAVE_LIMIT)),
-        "leave_by_status": _q(lambda t: ops.leave_requests(t, status=P.LEAVE_STATUS, limit=P.LEAVE_LIMIT)),
-        "leave_by_employee": _q(lambda t: ops.leave_requests(t, ids=_inactive(t), limit=P.LEAVE_LIMIT)),
+        "leave_recent": _q(lambda t: ops.leave_requests(t, limit=P.LEAVE_LIMIT), EMPLOYEES, LEAVE),
+        "leave_by_status": _q(lambda t: ops.leave_requests(t, status=P.LEAVE_STATUS, limit=P.LEAVE_LIMIT), EMPLOYEES, LEAVE),
+        "leave_by_employee": _q(lambda t: ops.leave_requests(t, ids=_inactive(t), limit=P.LEAVE_LIMIT), EMPLOYEES, LEAVE),
         "leave_days_back": _q(lambda t: ops.leave_requests(
-            t, days_back=P.LEAVE_DAYS_BACK, as_of=AS_OF, limit=P.LEAVE_LIMIT)),
+            t, days_back=P.LEAVE_DAYS_BACK, as_of=AS_OF, limit=P.LEAVE_LIMIT), EMPLOYEES, LEAVE),
         "leave_combined": _q(lambda t: ops.leave_requests(
             t, ids=_inactive(t), status=P.COMBINED_STATUS, days_back=P.SUMMARY_DAYS_LONG, as_of=AS_OF,
-            limit=P.WIDE_LIMIT)),
-        "leave_one": _q(lambda t: ops.leave_requests(t, ids=P.ONE_EMPLOYEE, limit=P.LEAVE_LIMIT)),
+            limit=P.WIDE_LIMIT), EMPLOYEES, LEAVE),
+        "leave_one": _q(lambda t: ops.leave_requests(t, ids=P.ONE_EMPLOYEE, limit=P.LEAVE_LIMIT), EMPLOYEES, LEAVE),
         # R5
-        "reviews_recent": _q(lambda t: ops.performance_reviews(t, limit=P.REVIEW_LIMIT)),
+        "reviews_recent": _q(lambda t: ops.performance_reviews(t, limit=P.REVIEW_LIMIT), EMPLOYEES, REVIEWS),
         "reviews_by_period": _q(lambda t: ops.performance_reviews(
-            t, review_period=P.REVIEW_PERIOD, limit=P.REVIEW_LIMIT)),
-        "reviews_by_employee": _q(lambda t: ops.performance_reviews(t, ids=_remote(t), limit=P.REVIEW_LIMIT)),
+            t, review_period=P.REVIEW_PERIOD, limit=P.REVIEW_LIMIT), EMPLOYEES, REVIEWS),
+        "reviews_by_employee": _q(lambda t: ops.performance_reviews(t, ids=_remote(t), limit=P.REVIEW_LIMIT), EMPLOYEES, REVIEWS),
         "reviews_combined": _q(lambda t: ops.performance_reviews(
-            t, ids=_remote(t), review_period=P.COMBINED_PERIOD, limit=P.WIDE_LIMIT)),
-        "reviews_one": _q(lambda t: ops.performance_reviews(t, ids=P.ONE_EMPLOYEE, limit=P.REVIEW_LIMIT)),
+            t, ids=_remote(t), review_period=P.COMBINED_PERIOD, limit=P.WIDE_LIMIT), EMPLOYEES, REVIEWS),
+        "reviews_one": _q(lambda t: ops.performance_reviews(t, ids=P.ONE_EMPLOYEE, limit=P.REVIEW_LIMIT), EMPLOYEES, REVIEWS),
         # R6
-        "headcount_total": _q(ops.headcount_total),
-        "headcount_by_department": _q(ops.headcount_by_department),
-        "health_plan_distribution": _q(ops.health_plan_distribution),
-        "retirement_plan_distribution": _q(ops.retirement_plan_distribution),
-        "avg_company_match": _q(ops.average_company_match),
-        "leave_window_total": _q(lambda t: ops.leave_window_total(t, sd, as_of=AS_OF)),
-        "leave_status_breakdown": _q(lambda t: ops.leave_status_breakdown(t, sd, as_of=AS_OF)),
-        "review_window_total": _q(lambda t: ops.review_window_total(t, rw, as_of=AS_OF)),
-        "review_score_averages": _q(lambda t: ops.review_score_averages(t, rw, as_of=AS_OF)),
+        "headcount_total": _q(ops.headcount_total, EMPLOYEES),
+        "headcount_by_department": _q(ops.headcount_by_department, EMPLOYEES),
+        "health_plan_distribution": _q(ops.health_plan_distribution, BENEFITS),
+        "retirement_plan_distribution": _q(ops.retirement_plan_distribution, BENEFITS),
+        "avg_company_match": _q(ops.average_company_match, BENEFITS),
+        "leave_window_total": _q(lambda t: ops.leave_window_total(t, sd, as_of=AS_OF), LEAVE),
+        "leave_status_breakdown": _q(lambda t: ops.leave_status_breakdown(t, sd, as_of=AS_OF), LEAVE),
+        "review_window_total": _q(lambda t: ops.review_window_total(t, rw, as_of=AS_OF), REVIEWS),
+        "review_score_averages": _q(lambda t: ops.review_score_averages(t, rw, as_of=AS_OF), REVIEWS),
         "hr_summary": _q(lambda t: ops.hr_summary(t, sd, as_of=AS_OF)),
         "hr_summary_week": _q(lambda t: ops.hr_summary(t, P.SUMMARY_DAYS_SHORT, as_of=AS_OF)),
         "hr_summary_year": _q(lambda t: ops.hr_summary(t, P.SUMMARY_DAYS_LONG, as_of=AS_OF)),
         "leave_status_breakdown_year": _q(lambda t: ops.leave_status_breakdown(
-            t, P.SUMMARY_DAYS_LONG, as_of=AS_OF)),
+            t, P.SUMMARY_DAYS_LONG, as_of=AS_OF), LEAVE),
         # Q1
         "domain_rule_report": _q(lambda t: ops.domain_rule_report(t)),
         "domain_rule_report_narrow": _q(lambda t: ops.domain_rule_report(

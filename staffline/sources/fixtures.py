@@ -9,13 +9,14 @@ stay in step.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import (
     BENEFITS, DEPARTMENTS, EMPLOYEES, LEAVE, LEAVE_STATUSES, OFFICE_LOCATIONS, REVIEW_PERIODS, REVIEWS,
+    TABLE_NAMES,
 )
 
 # Fixed clock of the fixture: the last leave request is dated this day.
@@ -101,12 +102,17 @@ def performance_reviews(events: DataFrame) -> DataFrame:
     )
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four HR tables for one scale-factor folder of driver tables."""
-    customer = _read(spark, sf_dir, "customer")
-    return {
-        EMPLOYEES: employees(customer),
-        BENEFITS: employee_benefits(customer),
-        LEAVE: leave_requests(_read(spark, sf_dir, "orders")),
-        REVIEWS: performance_reviews(_read(spark, sf_dir, "events")),
-    }
+#: Each HR table: the driver table it is made of, and how.
+_MADE_OF = {
+    EMPLOYEES: ("customer", employees),
+    BENEFITS: ("customer", employee_benefits),
+    LEAVE: ("orders", leave_requests),
+    REVIEWS: ("events", performance_reviews),
+}
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] = TABLE_NAMES) -> dict[str, DataFrame]:
+    """The HR tables ``names`` for one scale-factor folder of driver tables; only the driver tables they need are opened."""
+    names = list(names)
+    opened = {source: _read(spark, sf_dir, source) for source in dict.fromkeys(_MADE_OF[n][0] for n in names)}
+    return {n: _MADE_OF[n][1](opened[_MADE_OF[n][0]]) for n in names}
