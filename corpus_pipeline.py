@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm.common import file_locator, shared_folder, stored, table
+from staffline.llm.common import file_locator, shared_folder, small_side, stored, table
 from staffline.llm.decontaminate import contained_items
 from staffline.llm.exact_dedup import exact_dedup
 from staffline.llm.language_id import fit, held_out, identify
@@ -31,10 +31,11 @@ def on_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+def without(spark: SparkSession, docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose locator is not in ``gone`` (locator), in all their columns."""
+    gone = stored(gone.select("locator"), f"{shared_folder(spark)}/gone")
     rows = docs.select(F.struct("*").alias("row"), file_locator().alias("locator"))
-    return rows.join(gone.select("locator"), "locator", "left_anti").select("row.*")
+    return rows.join(small_side(gone), "locator", "left_anti").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,19 +52,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one document stays."""
     docs = on_files(spark, docs)
-    return without(docs, exact_dedup(spark, docs, file_locator()).where("NOT kept"))
+    return without(spark, docs, exact_dedup(spark, docs, file_locator()).where("NOT kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (fingerprints of 3-word shingles, linked at 2 bits), one document stays."""
     docs = on_files(spark, docs)
-    return without(docs, near_duplicates(spark, docs, file_locator()).where("NOT kept"))
+    return without(spark, docs, near_duplicates(spark, docs, file_locator()).where("NOT kept"))
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain an item of ``benchmark``."""
     docs = on_files(spark, docs)
-    return without(docs, contained_items(spark, docs, table(spark, sf_dir, "benchmark"), file_locator()).select("locator").distinct())
+    return without(spark, docs, contained_items(spark, docs, table(spark, sf_dir, "benchmark"), file_locator()).select("locator").distinct())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

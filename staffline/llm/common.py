@@ -48,6 +48,16 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a side of a join is broadcast: some 15 MB, for rows that hold little more than a locator.
+FEW = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, a stored table, to be broadcast if it has at most FEW rows and else never. The size of its files says
+    little: locators compress to a small part of what they take in memory."""
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
+
+
 def file_locator() -> Column:
     """Where a row of a file-based DataFrame lies: its file and its place in it. Unique, and the same on every read."""
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm.common import file_locator, shared_folder, stored
+from staffline.llm.common import file_locator, shared_folder, small_side, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -65,8 +65,8 @@ def contained_items(
     ``docs``: doc_id, text; ``benchmark``: item_id, text. Words are runs of letters and digits in lower case.
     Null and empty texts, and texts with fewer words than a shingle, contain nothing and are contained in
     nothing. Repeated rows on either side are reported each. Without ``locator``, ``docs`` is first written to the
-    shared folder. The whole of every text is searched. Spark broadcasts the signatures only below its size limit;
-    beyond, the hashes are joined by a shuffle, where its skew handling splits hashes that many documents share.
+    shared folder. The whole of every text is searched. Signatures and candidates are broadcast up to a number of
+    rows; more are joined by a shuffle, where Spark's skew handling splits hashes that many documents share.
     """
     folder = shared_folder(spark)
     if locator is None:
@@ -78,9 +78,9 @@ def contained_items(
     index = stored(signatures(items.select("item", "hashes"), threshold), f"{folder}/signatures")
 
     hashes = placed.select("locator", F.explode(shingle_hashes(F.col("text"), shingle)).alias("hash"))
-    candidates = stored(hashes.join(index, "hash").select("locator", "item").distinct(), f"{folder}/candidates")
+    candidates = stored(hashes.join(small_side(index), "hash").select("locator", "item").distinct(), f"{folder}/candidates")
 
-    paired = placed.join(candidates, "locator").join(items.select("item", "item_id", "wanted"), "item")
+    paired = placed.join(small_side(candidates), "locator").join(items.select("item", "item_id", "wanted"), "item")
     common = F.size(F.array_intersect("wanted", shingle_texts(F.col("text"), shingle)))
     counted = paired.select("doc_id", "locator", "item_id", F.size("wanted").alias("n_shingles"), common.alias("n_common"))
     return counted.withColumn("containment", F.col("n_common") / F.col("n_shingles")).where(F.col("containment") >= threshold)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from staffline.llm.common import word_blocks
 
 #: Words remembered by each worker process; beyond, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 TOKENIZER = "word_bpe_49k.json"
 #: An ASCII sign but the apostrophe after a letter from a to z or from U+00C0 to U+017F (bar two signs). The tokenizer always
 #: splits there, so a space changes nothing; without the sign there are fewer different words.

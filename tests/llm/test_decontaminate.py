@@ -72,3 +72,14 @@ def test_no_python_in_the_plan(spark):
     some = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = D.contained_items(spark, frame(spark, [(1, "a")]), some)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_large_sides_are_joined_by_a_shuffle(spark, monkeypatch):
+    from staffline.llm import common
+
+    docs, some = frame(spark, documents()), spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted(map(str, D.contained_items(spark, docs, some).drop("locator").collect()))
+    monkeypatch.setattr(common, "FEW", 0)
+    found = D.contained_items(spark, docs, some).drop("locator")
+    assert sorted(map(str, found.collect())) == want
+    assert "SortMergeJoin" in found._jdf.queryExecution().toString()
