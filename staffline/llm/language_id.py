@@ -25,6 +25,8 @@ BUCKET_BITS = 16
 #: The matrix, and what the driver gathers for it, holds at most this many languages.
 MAX_LANGUAGES = 100
 UNDETERMINED = "und"
+#: Rows of a batch whose texts are Python strings at the same time.
+ROWS = 500
 #: Characters scored together: small enough for the arrays made of them to stay in the processor's cache.
 SLICE = 1 << 16
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -171,9 +173,11 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, keep: l
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = predict_texts(batch.column(source).to_pylist(), shared.value)
-            columns = {k: batch.column(k) for k in kept}
-            yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                names, scores = predict_texts(part.column(source).to_pylist(), shared.value)
+                columns = {k: part.column(k) for k in kept}
+                yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
 
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     read = keep if source == "text" else [*keep, F.col("text").alias("__text")]
