@@ -13,9 +13,10 @@ from staffline.llm.common import word_blocks
 #: Words remembered by each worker process; beyond, it starts afresh.
 REMEMBERED = 500_000
 TOKENIZER = "word_bpe_49k.json"
-#: An ASCII sign but the apostrophe after a letter from a to z or from U+00C0 to U+017F (bar two signs). The tokenizer always
-#: splits there, so a space changes nothing; without the sign there are fewer different words.
-_SIGN_AFTER_LETTER = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].)|(?<=[\xc4\xc5][\x80-\xbf].))")
+#: An ASCII sign but the apostrophe after a letter from a to z or from U+00C0 to U+017F (bar two signs and U+0130). The tokenizer
+#: always splits there, so a space changes nothing; without the sign there are fewer different words. U+0130 is lower-cased to
+#: i and a combining dot, which is no letter and stays with the sign.
+_SIGN_AFTER_LETTER = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].)|(?<=\xc4[\x80-\xaf\xb1-\xbf].)|(?<=\xc5[\x80-\xbf].))")
 #: The letters that byte-level models use for bytes: printable Latin-1 as it is, the others from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER_OF_BYTE = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))

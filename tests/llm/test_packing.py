@@ -65,6 +65,17 @@ def test_against_plain_tokenising(spark):
         assert n >= -(-sum(r.length for r in got) // capacity)
 
 
+def test_every_letter_before_every_sign():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(tokenizer_path()), WordEncoder(tokenizer_path())
+    letters = [chr(c) for c in (*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0xC0, 0x180))]
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [f"s{a}{b} k{a}{b}x" for a in letters for b in signs] + ["SAHİBİ. ADRESİ: X"]
+    wrong = [t for t in texts if b"".join(own.blocks(t.encode())) != np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert wrong == []
+
+
 def test_blocks_and_forgetting_do_not_change_ids(monkeypatch):
     from staffline.llm import tokens
 
