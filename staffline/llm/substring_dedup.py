@@ -157,13 +157,13 @@ def _bytes_in(spans: Column) -> Column:
 
 
 def passages(hits: list[dict], least_bytes: int) -> list[dict]:
-    """Runs of neighbouring chunks that make up at least ``least_bytes``, split where ``drop`` changes."""
+    """Runs of neighbouring chunks that make up at least ``least_bytes``, split where ``first_doc_id`` or ``drop`` changes."""
     runs: list[dict] = []
     out: list[dict] = []
     for hit in sorted(hits, key=lambda h: h["start"]):
         end = hit["start"] + hit["length"]
         if runs and runs[-1]["end"] == hit["start"]:
-            if runs[-1]["drop"] == hit["drop"]:
+            if (runs[-1]["first_doc_id"], runs[-1]["drop"]) == (hit["first_doc_id"], hit["drop"]):
                 runs[-1]["end"] = end
                 continue
         else:

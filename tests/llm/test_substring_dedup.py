@@ -87,3 +87,11 @@ def test_copies_null_empty_and_shared_ids(spark):
     assert sorted(r.repeated_bytes for r in got) == [0, 0, 0] + [size] * 4
     assert {r.doc_id: r.n_chunks for r in got if r.doc_id in (7, 8, 9)} == {7: 0, 8: 0, 9: len(S.cuts(b"short"))}
     assert S.repeated_passages(spark, frame(spark, [])).collect() == []
+
+
+def test_every_document_that_keeps_a_part_is_named(spark):
+    first, second = text(60), text(60)
+    docs = [(1, f"{text(30)} {first} {text(30)}"), (2, f"{text(30)} {first} {second} {text(30)}"), (3, f"{text(30)} {first} {second} {text(30)}")]
+    got = {r.doc_id: r for r in S.repeated_passages(spark, frame(spark, docs)).collect()}
+    assert [got[d].first_doc_ids for d in (1, 2, 3)] == [[], [1], [1, 2]]
+    assert [[(s.first_doc_id, s.drop) for s in got[d].spans] for d in (1, 2, 3)] == [[(1, False)], [(1, True), (2, False)], [(1, True), (2, True)]]
