@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark, table(spark, sf_dir, "documents"))
+    return repeated_passages(spark, table(spark, sf_dir, "documents"), locator=file_locator())
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

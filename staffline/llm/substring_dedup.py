@@ -3,16 +3,18 @@
 The gear hash of a place depends on the 16 bytes that end there. A chunk ends where the hash is the smallest within
 ``RADIUS`` bytes on either side, so a boundary depends on its surroundings alone: text inserted or removed elsewhere
 shifts chunks without changing them, and equal passages are cut alike from a few bytes after they begin. Chunks are
-deduplicated by digest (with length); runs of neighbouring repeated chunks are passages.
+deduplicated by digest (with length); runs of neighbouring repeated chunks are the seeds of passages. A passage's edges lie
+outside its seed, so both ends of every seed, however short, are compared with the bytes beside the same chunk in another
+document, and what is equal belongs to the passage.
 
-What is shuffled is one short row a chunk. Digests are reduced in each task before their shuffle, and the join that
+What is shuffled is one short row a chunk, and up to ``REACH`` bytes for either side of a seed's ends. Digests are reduced in each task before their shuffle, and the join that
 finds the repeated chunks is one that Spark's skew handling can split, so a passage that a third of all
 documents share makes no task large.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from staffline.llm.common import shared_folder, ship_package, stored
+from staffline.llm.common import file_locator, shared_folder, ship_package, small_side, stored
 
 WINDOW = 16
 RADIUS = 20
 #: A longer chunk (text that repeats itself has no smallest place) is cut every so many bytes.
 LONGEST = 1024
 SLICE = 1 << 20
+#: Bytes beside a seed that are compared. A chunk's cuts depend on less than that, unless text repeats itself.
+REACH = 128
+BLANK = b" \t\n\r\x0b\x0c"
 GEAR = np.random.default_rng(23).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -79,8 +85,8 @@ def cuts(data: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, n_bytes, ends and digests (arrays, one entry for each chunk) of each row of ``docs`` (doc_id, text)."""
-    key = docs.schema["doc_id"]
+    """uid, doc_id, locator, n_bytes, ends and digests (arrays, one entry for each chunk) of each row of ``docs`` (doc_id, locator, text)."""
+    key, place = docs.schema["doc_id"], docs.schema["locator"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,48 +101,66 @@ def chunks(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
+                        "locator": part.column("locator"),
                         "n_bytes": pa.array(map(len, texts), pa.int64()),
                         "ends": pa.array(ends, pa.list_(pa.int64())),
                         "digests": pa.array(digests, pa.list_(pa.int64())),
                     }
                 )
 
-    schema = T.StructType([key]).add("n_bytes", T.LongType()).add("ends", T.ArrayType(T.LongType())).add("digests", T.ArrayType(T.LongType()))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
+    schema = T.StructType([key, place]).add("n_bytes", T.LongType()).add("ends", T.ArrayType(T.LongType())).add("digests", T.ArrayType(T.LongType()))
+    rows = docs.select("doc_id", "locator", F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
     return rows.withColumn("uid", F.monotonically_increasing_id())
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 128) -> DataFrame:
+def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 128, locator: Column | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, repeated (whether it has a passage that occurs elsewhere), first_doc_ids
     (the documents that keep passages dropped here), spans, n_bytes, n_chunks, repeated_bytes, dropped_bytes.
 
-    ``spans`` are the document's passages (start, end in bytes of the UTF-8 text) of at least ``least_bytes`` whose
-    chunks all occur in another document too. ``first_doc_id`` is the document in which the passage's first chunk comes first
-    (smallest doc_id, null last); ``drop`` is false in that document, which keeps the passage, and true elsewhere.
-    A passage ends where that changes. Repetition inside one document alone is left as it is. A null text is empty; empty
-    and short texts have no spans. Repeated rows are documents that repeat each other. Whole texts are cut, however long.
+    ``spans`` are the document's passages (start, end in bytes of the UTF-8 text): runs of chunks that all occur in another
+    document too, which make up at least ``least_bytes`` with the equal bytes beside them (a passage without a whole chunk
+    inside is not seen). A span is the run and the whole words of those bytes. ``first_doc_id`` is the document in which the passage's
+    first chunk comes first (smallest doc_id, null last); ``drop`` is false in that document, which keeps the passage, and true
+    elsewhere. A passage ends where that changes. Repetition inside one document alone is left as it is. A null text is empty;
+    empty and short texts have no spans. Repeated rows are documents that repeat each other. Whole texts are cut, however long.
+    ``locator`` names each row's place; without it, ``docs`` is first written to the shared folder.
     """
     ship_package(spark)
     folder = shared_folder(spark)
+    if locator is None:
+        docs = stored(docs.select("doc_id", "text"), f"{folder}/docs")
+        locator = file_locator()
+    docs = docs.select("doc_id", "text", locator.alias("locator"))
     rows = stored(chunks(docs), f"{folder}/chunks")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.size("ends") - 1))
     places = F.arrays_zip(F.col("digests").alias("digest"), starts.alias("start"), F.col("ends").alias("end"))
     flat = rows.where(F.size("ends") > 0).select("uid", "doc_id", F.explode(places).alias("c"))
     occurring = flat.select("uid", "doc_id", "c.digest", "c.start", (F.col("c.end") - F.col("c.start")).cast("int").alias("length"))
 
-    rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "uid")
-    groups = occurring.groupBy("digest", "length").agg(F.min(rank).alias("first"), F.min("uid").alias("a"), F.max("uid").alias("b"))
-    repeated = groups.where("a != b").select("digest", "length", F.col("first.doc_id").alias("first_doc_id"), F.col("first.uid").alias("first_uid"))
-    hits = occurring.join(repeated, ["digest", "length"]).select("uid", F.struct("start", "length", "first_doc_id", (F.col("uid") != F.col("first_uid")).alias("drop")).alias("hit"))
+    rank, place = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "uid", "start"), F.struct("uid", "start")
+    groups = occurring.groupBy("digest", "length").agg(F.min(rank).alias("first"), F.min(place).alias("a"), F.max(place).alias("b"))
+    other = F.when(F.col("b.uid") != F.col("first.uid"), F.col("b")).otherwise(F.col("a"))
+    repeated = groups.where("a.uid != b.uid").select("digest", "length", "first", other.alias("other"))
+    drop = F.col("uid") != F.col("first.uid")
+    beside = F.when(drop, F.struct("first.uid", "first.start")).otherwise(F.col("other"))
+    hit = F.struct("start", "length", F.col("first.doc_id").alias("first_doc_id"), drop.alias("drop"), beside.alias("beside"))
+    hits = occurring.join(repeated, ["digest", "length"]).select("uid", hit.alias("hit"))
     by_document = hits.groupBy("uid").agg(F.collect_list("hit").alias("hits"))  # a document's own chunks, no more
+    span, edge = "struct<start: long, end: long, first_doc_id: long, drop: boolean>", "struct<at: long, after: boolean, uid: long, place: long>"
+    seeds = stored(_by_row(by_document, lambda row: runs(row["hits"]), f"uid long, runs array<array<{span}>>, edges array<{edge}>"), f"{folder}/seeds")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", pa.int64()), ("drop", pa.bool_())]))
-        for batch in batches:
-            spans = [passages(hits, least_bytes) for hits in batch.column("hits").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "spans": pa.array(spans, kind)})
+    edges = seeds.select("uid", F.explode("edges").alias("e")).select("uid", "e.at", "e.after", F.col("e.uid").alias("other"), "e.place")
+    asked = edges.select("uid", "at", "after").union(edges.select("other", "place", "after")).distinct()
+    asked = asked.join(rows.select("uid", "locator", "n_bytes"), "uid").where("if(after, at < n_bytes, at > 0)")
+    asked = stored(asked.groupBy("uid", "locator").agg(F.collect_list(F.struct("at", "after")).alias("asked")), f"{folder}/asked")
+    texts = docs.select("locator", F.col("text").cast("binary").alias("text")).join(small_side(asked), "locator")
+    read = stored(_sides(texts.select("uid", "asked", "text")), f"{folder}/sides")
+    theirs = read.select(F.col("uid").alias("other"), F.col("at").alias("place"), "after", F.col("side").alias("their_side"))
+    both = edges.join(read, ["uid", "at", "after"]).join(theirs, ["other", "place", "after"]).select("uid", "at", "after", "side", "their_side")
+    grown = _by_row(both, lambda row: [row["at"], row["after"], *common(row["side"], row["their_side"], row["after"])], "uid long, at long, after boolean, same int, words int")
+    growth = grown.groupBy("uid").agg(F.collect_list(F.struct("at", "after", "same", "words")).alias("growth"))
+    spans = _by_row(seeds.select("uid", "runs").join(growth, "uid", "left"), lambda row: [passages(row["runs"], row["growth"] or [], least_bytes)], f"uid long, spans array<{span}>")
 
-    spans = by_document.mapInArrow(join, "uid long, spans array<struct<start: long, end: long, first_doc_id: long, drop: boolean>>")
     whole = rows.select("uid", "doc_id", "n_bytes", F.size("ends").alias("n_chunks")).join(spans, "uid", "left")
     none = F.array().cast(spans.schema["spans"].dataType)
     dropped = F.filter("spans", lambda s: s["drop"])
@@ -152,29 +176,96 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 1
     )
 
 
+def _by_row(df: DataFrame, made: Callable[[dict], list], schema: str) -> DataFrame:
+    """uid of each row, and what ``made`` makes of the row for the other columns of ``schema``."""
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                rows = batch.slice(first, 1000).to_pylist()
+                columns = zip(*([row["uid"], *made(row)] for row in rows), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], names=kinds.names)
+
+    return df.mapInArrow(make, schema)
+
+
+def _sides(texts: DataFrame) -> DataFrame:
+    """(uid, at, after, side): up to ``REACH`` bytes after or before each place asked for in ``texts`` (uid, asked, text)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, asked, text in zip(*batch.columns, strict=True):
+                data, places = text.as_buffer(), asked.as_py()
+                sides = [data[p["at"] : p["at"] + REACH] if p["after"] else data[max(0, p["at"] - REACH) : p["at"]] for p in places]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "uid": pa.array([uid.as_py()] * len(places), pa.int64()),
+                        "at": pa.array([p["at"] for p in places], pa.int64()),
+                        "after": pa.array([p["after"] for p in places], pa.bool_()),
+                        "side": pa.array([bytes(x) for x in sides], pa.binary()),
+                    }
+                )
+
+    return texts.mapInArrow(read, "uid long, at long, after boolean, side binary")
+
+
 def _bytes_in(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def passages(hits: list[dict], least_bytes: int) -> list[dict]:
-    """Runs of neighbouring chunks that make up at least ``least_bytes``, split where ``first_doc_id`` or ``drop`` changes."""
-    runs: list[dict] = []
-    out: list[dict] = []
+def runs(hits: list[dict]) -> list[list]:
+    """Runs of neighbouring chunks, split where ``first_doc_id`` or ``drop`` changes, and the places of their ends here and beside
+    the same chunk of another document."""
+    found: list[list[dict]] = []
+    edges: list[dict] = []
+    last = None
     for hit in sorted(hits, key=lambda h: h["start"]):
-        end = hit["start"] + hit["length"]
-        if runs and runs[-1]["end"] == hit["start"]:
-            if (runs[-1]["first_doc_id"], runs[-1]["drop"]) == (hit["first_doc_id"], hit["drop"]):
-                runs[-1]["end"] = end
-                continue
+        start, end, other = hit["start"], hit["start"] + hit["length"], hit["beside"]
+        run = found[-1] if found and found[-1][-1]["end"] == start else None
+        if run is None:
+            found.append(run := [])
+            edges += [last] if last else []
+            edges.append({"at": start, "after": False, "uid": other["uid"], "place": other["start"]})
+        last = {"at": end, "after": True, "uid": other["uid"], "place": other["start"] + hit["length"]}
+        if run and (run[-1]["first_doc_id"], run[-1]["drop"]) == (hit["first_doc_id"], hit["drop"]):
+            run[-1]["end"] = end
         else:
-            out += _long_enough(runs, least_bytes)
-            runs = []
-        runs.append({"start": hit["start"], "end": end, "first_doc_id": hit["first_doc_id"], "drop": hit["drop"]})
-    return out + _long_enough(runs, least_bytes)
+            run.append({"start": start, "end": end, "first_doc_id": hit["first_doc_id"], "drop": hit["drop"]})
+    return [found, [*edges, last] if last else edges]
+
 
+def common(own: bytes, other: bytes, after: bool) -> tuple[int, int]:
+    """How many bytes are equal from the seed on, and how many of them are whole words."""
+    if not after:
+        own, other = own[::-1], other[::-1]
+    same = next((i for i, (x, y) in enumerate(zip(own, other, strict=False)) if x != y), min(len(own), len(other)))
+    if same < REACH and all(same == len(x) or x[same] in BLANK for x in (own, other)):
+        return same, same
+    return same, next((i for i in range(same - 1, 0, -1) if own[i] in BLANK), 0)
 
-def _long_enough(runs: list[dict], least_bytes: int) -> list[dict]:
-    return runs if runs and runs[-1]["end"] - runs[0]["start"] >= least_bytes else []
+
+def passages(seeds: list[list[dict]], growth: list[dict], least_bytes: int) -> list[dict]:
+    """The entries of the ``seeds`` that make up at least ``least_bytes`` with the equal bytes beside them, grown by whole words.
+    Seeds that meet so are one passage."""
+    same = {(g["at"], g["after"]): g["same"] for g in growth}
+    words = {(g["at"], g["after"]): g["words"] for g in growth}
+    met: list[list] = []  # start, end, seeds
+    for run in seeds:
+        start, end = run[0]["start"] - same.get((run[0]["start"], False), 0), run[-1]["end"] + same.get((run[-1]["end"], True), 0)
+        if met and start <= met[-1][1]:
+            met[-1][1] = max(end, met[-1][1])
+            met[-1][2].append(run)
+        else:
+            met.append([start, end, [run]])
+    kept = [run for start, end, own in met if end - start >= least_bytes for run in own]
+    at = 0
+    for i, run in enumerate(kept):
+        stop = kept[i + 1][0]["start"] if i + 1 < len(kept) else run[-1]["end"] + REACH
+        start, end = run[0]["start"], run[-1]["end"]
+        run[0]["start"] = max(at, start - words.get((start, False), 0))
+        run[-1]["end"] = at = min(stop, end + words.get((end, True), 0))
+    return [entry for run in kept for entry in run]
 
 
 def without_spans(text: bytes, spans: list[dict]) -> bytes:

@@ -95,3 +95,29 @@ def test_every_document_that_keeps_a_part_is_named(spark):
     got = {r.doc_id: r for r in S.repeated_passages(spark, frame(spark, docs)).collect()}
     assert [got[d].first_doc_ids for d in (1, 2, 3)] == [[], [1], [1, 2]]
     assert [[(s.first_doc_id, s.drop) for s in got[d].spans] for d in (1, 2, 3)] == [[(1, False)], [(1, True), (2, False)], [(1, True), (2, True)]]
+
+
+@pytest.mark.parametrize("letters", [(2, 5), (2, 7)])
+def test_passages_of_51_words_are_found(spark, letters):
+    """Short words, 4.5 and 5.5 bytes with the space after; every passage is in two documents and nothing else is."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randint(*letters))) for _ in range(5000)]
+
+    def words(n):
+        return " ".join(rng.choices(vocabulary, k=n))
+
+    planted = [words(51) for _ in range(300)]
+    docs = [(i, f"{words(40)} {planted[i % 300]} {words(40)}") for i in range(600)]
+    got = {r.doc_id: r for r in S.repeated_passages(spark, frame(spark, docs)).collect()}
+    lost = [i for i in range(600) if not got[i].spans]
+    assert lost == []
+    assert all(got[i + 300].first_doc_ids == [i] for i in range(300))
+    shares = [sum(s.end - s.start for s in got[i].spans) / len(planted[i % 300]) for i in range(600)]
+    assert min(shares) > 0.9 and max(shares) < 1.2
+
+
+def test_common_bytes_and_whole_words():
+    assert S.common(b"rest of it. Next", b"rest of it. Now", True) == (13, 11)
+    assert S.common(b"ab", b"ab cd", True) == (2, 2)
+    assert S.common(b"x some", b"y some", False) == (5, 4)
+    assert S.common(b"abc", b"abd", True) == (2, 0)
