@@ -188,20 +188,20 @@ def clause_counts(text: str, lexicon: Lexicon) -> np.ndarray:
 
 
 class Lexicon(dict):
-    """Token -> class. A word that begins with a learned stem is an insult; looked-up words are remembered."""
+    """Token -> class. A word that begins with a learned stem is an insult, or is one that is shorter than STEM_LENGTHS; looked-up words are remembered."""
 
     REMEMBERED = 300_000
 
     def __init__(self, stems: list[str]):
         super().__init__(base_classes())
         self.stems = frozenset(stems)
-        self.lengths = sorted({len(x) for x in stems})
+        self.lengths = sorted({len(x) for x in stems if len(x) >= STEM_LENGTHS[0]})
 
     def __missing__(self, token: str) -> int:
         if len(self) > self.REMEMBERED:
             self.clear()
             self.update(base_classes())
-        self[token] = found = INSULT if any(token[:n] in self.stems for n in self.lengths) else OTHER
+        self[token] = found = INSULT if token in self.stems or any(token[:n] in self.stems for n in self.lengths) else OTHER
         return found
 
 
@@ -274,9 +274,9 @@ def learned_stems(sample: DataFrame, support: int = 3, least_z: float = 3.5, lea
     taken: dict[str, int] = {}
     for row in found.orderBy(F.desc("z"), F.desc(F.length("stem")), "stem").limit(20 * most).collect():
         stem, n = row["stem"], row["toxic"]
-        if any(stem[:k] in taken for k in range(1, len(stem))):
+        if any(stem[:k] in taken for k in range(STEM_LENGTHS[0], len(stem))):
             continue
-        if 1.05 * sum(m for longer, m in taken.items() if longer.startswith(stem)) >= n:
+        if len(stem) >= STEM_LENGTHS[0] and 1.05 * sum(m for longer, m in taken.items() if longer.startswith(stem)) >= n:
             continue
         taken[stem] = n
     return list(taken)[:most]

@@ -57,6 +57,11 @@ def test_learned_stems_and_weights(spark):
     assert got == [("1", 1, True), ("2", 0, True), ("3", 0, True), ("3", 0, True), ("None", 0, True)]
 
 
+def test_short_stems_are_whole_words():
+    lexicon = X.Lexicon(["fat", "zorg"])
+    assert [lexicon[w] == X.INSULT for w in ("fat", "father", "fatal", "zorg", "zorgling", "zor")] == [True, False, False, True, True, False]
+
+
 def test_without_labels_the_prior_weights_stand(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = X.fit(spark, frame(spark, [(1, "x")]), labels)
