@@ -218,8 +218,8 @@ def hr_summary(
     rows = spark.createDataFrame(skeleton, ENTRY)
     for s in built:
         rows = rows.unionByName(_section_entries(tables, s, days_back, as_of))
-    # A few dozen grouped rows are left: they are added up and sorted in one partition, without a sampling job.
-    added = rows.repartition(1).groupBy("section", "metric", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    # Keys are free text, so there may be many grouped rows; Spark makes one partition of them where they are few.
+    added = rows.groupBy("section", "metric", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     value = (
         F.when(F.col("metric") == "error", F.lit(None).cast("double"))
         .when(F.col("metric").isin(*COUNT_METRICS), F.col("n").cast("double"))

@@ -46,6 +46,11 @@ def test_search_pushdown_and_topk(stored):
            "office_location:string,employment_status:string>" in p
 
 
+def test_summary_keys_are_not_forced_into_one_task(stored):
+    p = plan(hr_summary(stored, 30, as_of="2024-01-31 00:00:00"))
+    assert "REPARTITION_BY_NUM" not in p and "rangepartitioning" in p
+
+
 def test_leave_lookback_reaches_scan(stored):
     p = plan(leave_requests(stored, days_back=30, status="Pending", as_of="2024-01-31 00:00:00"))
     assert "GreaterThanOrEqual(submitted_timestamp,2024-01-01T00:00)" in p
