@@ -14,6 +14,7 @@ from staffline.llm.language_id import fit as fit_languages
 from staffline.llm.language_id import held_out, identify
 from staffline.llm.language_model import fit as fit_language_model
 from staffline.llm.language_model import score
+from staffline.llm.merkle import FIELDS, folded_root, leaf_hash, manifest, witness_hash
 from staffline.llm.packing import pack
 from staffline.llm.simhash import near_duplicates
 from staffline.llm.substring_dedup import repeated_passages
@@ -133,6 +134,65 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering deletes the line ends of a text."""
+    untouched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 != 0
+    tampered = leaf_hash(*(F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in FIELDS))
+    rows = manifest(spark, table(spark, sf_dir, "documents"), {"tampered": F.when(~untouched, tampered)})
+    folded = folded_root(F.coalesce("tampered", "leaf"), F.col("witness"))
+    checked = rows.withColumn("proof_sha256", witness_hash(F.col("witness"))).withColumn("folded_root", folded)
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce('=' || source, '') AS tree,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS f,
+    coalesce(list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)) & 1 = 1, false) AS tampered,
+    replace(text, chr(10), '') AS cut
+  FROM documents, crc
+), leaves AS (
+  SELECT row, doc_id, tree, sha256(array_to_string(f, '')) AS leaf,
+    CASE WHEN tampered THEN sha256(array_to_string(f[:4], '') || coalesce(strlen(cut) || ':' || cut, '-')) ELSE sha256(array_to_string(f, '')) END AS later
+  FROM d
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes AS (
+  SELECT tree, 0 AS level, rank AS idx, leaf AS digest, n FROM ranked
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3, n
+), subroots AS (
+  SELECT tree, digest, level, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, rank AS idx, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, idx // 3, n
+), steps AS (
+  SELECT a.tree, a.level, a.idx, string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx) AS before, string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx) AS after
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT NULL, a.level, a.idx, string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx)
+  FROM upper a JOIN upper b ON a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+), path AS (
+  SELECT row, tree, 0 AS level, rank AS idx, later AS node, '' AS proof FROM ranked
+  UNION ALL
+  SELECT p.row, p.tree, p.level + 1, p.idx // 3, sha256(coalesce(s.before, '') || p.node || coalesce(s.after, '')), p.proof || coalesce(s.before, '') || coalesce(s.after, '')
+  FROM path p JOIN steps s ON p.tree = s.tree AND p.level = s.level AND p.idx = s.idx
+), climb AS (
+  SELECT p.row, 0 AS level, s.rank AS idx, p.node, p.proof FROM path p JOIN subroots s ON p.tree = s.tree AND p.level = s.level
+  UNION ALL
+  SELECT c.row, c.level + 1, c.idx // 3, sha256(coalesce(s.before, '') || c.node || coalesce(s.after, '')), c.proof || coalesce(s.before, '') || coalesce(s.after, '')
+  FROM climb c JOIN steps s ON s.tree IS NULL AND c.level = s.level AND c.idx = s.idx
+)
+SELECT r.doc_id, r.leaf, s.digest AS subroot, u.digest AS root, sha256(c.proof) AS proof_sha256, c.node AS folded_root, c.node = u.digest AS verified
+FROM ranked r JOIN subroots s ON r.tree = s.tree JOIN upper u ON u.n = 1 JOIN climb c ON c.row = r.row AND c.level = u.level
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -145,8 +205,9 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op7_decontaminate": OP7_SQL, "op13_merkle_manifest": OP13_SQL}

@@ -12,7 +12,7 @@ from tests.conftest import SF_ORACLE
 
 def test_one_query_for_each_operator():
     names = sorted(llm.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert set(entry.queries()) == set(plans.queries()) | set(names) | {"pipeline"}
 
 
