@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.llm.common import file_locator, shared_folder, table
+from staffline.llm.conversation_repair import conversations, repair, repaired_sha256
 from staffline.llm.decontaminate import contained_items
 from staffline.llm.exact_dedup import exact_dedup
 from staffline.llm.language_id import fit as fit_languages
@@ -134,6 +135,81 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` as the contract damages them: rows dropped, emptied, cut short, repeated or said to be the user's."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fault = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"]).cast("binary")) % 20
+    role = F.when(fault == 4, "user").otherwise(text["role"])
+    now = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text["text"], "[.!?]", "")).otherwise(text["text"])
+    times = F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))
+    return turns.where(fault != 0).select("conv_id", "turn", role.alias("role"), now.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    audits, rows = repair(spark, damaged(turns))
+    return conversations(turns, audits, repaired_sha256(rows, audits))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce([4294967295] || list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS fault
+  FROM told, crc
+), lines AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM lines
+), marked AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS pair
+  FROM placed
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN seen THEN 'd' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM marked
+), insertions(p, q, icost, letters, turns) AS (
+  VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+    (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (3, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']),
+    (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])
+), edits AS (
+  SELECT conv_id, pos, p, p AS q, 3 AS ecost, 'D' AS letter, []::VARCHAR[] AS turn FROM judged, (VALUES (0), (1), (2), (3)) s(p)
+  UNION ALL
+  SELECT conv_id, pos, p, q, (fault = 't')::INT, 'K', [role || ':' || text]
+  FROM judged JOIN (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')) s(p, q, initial) ON role[1] = initial WHERE fault IN ('', 't')
+  UNION ALL
+  SELECT conv_id, pos, p, q, 2 + (fault = 't')::INT, 'R', [role2 || ':' || text]
+  FROM judged, (VALUES (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')) s(p, q, role2) WHERE fault IN ('', 't')
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0 AS state, '0000000000' AS key, []::VARCHAR[] AS turns FROM judged GROUP BY conv_id
+  UNION ALL
+  SELECT w.conv_id, w.pos + 1, e.q, min(n.key), arg_min(list_concat(w.turns, list_concat(i.turns, e.turn)), n.key)
+  FROM ways w JOIN insertions i ON w.state = i.p JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.pos = w.pos + 1 AND e.p = i.q,
+    LATERAL (SELECT lpad((substr(w.key, 1, 10)::BIGINT + i.icost + e.ecost)::VARCHAR, 10, '0') || substr(w.key, 11) || i.letters || e.letter AS key) n
+  GROUP BY w.conv_id, w.pos, e.q
+), ended AS (
+  SELECT w.conv_id, min(n.key) AS key, arg_min(list_concat(w.turns, i.turns), n.key) AS turns
+  FROM ways w JOIN insertions i ON w.state = i.p AND i.q IN (0, 3) JOIN (SELECT conv_id, max(pos) AS n FROM judged GROUP BY conv_id) s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos = s.n,
+    LATERAL (SELECT lpad((substr(w.key, 1, 10)::BIGINT + i.icost)::VARCHAR, 10, '0') || substr(w.key, 11) || i.letters AS key) n
+  GROUP BY w.conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(substr(key, 1, 10)::BIGINT, 0) AS cost, coalesce(substr(key, 11), '') AS audit,
+  sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counted c ON ids.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON ids.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering deletes the line ends of a text."""
     untouched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 != 0
@@ -205,9 +281,16 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_conversation_repair": op11_conversation_repair,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op7_decontaminate": OP7_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op4_warc": OP4_SQL,
+        "op7_decontaminate": OP7_SQL,
+        "op11_conversation_repair": OP11_SQL,
+        "op13_merkle_manifest": OP13_SQL,
+    }
