@@ -11,6 +11,7 @@ from staffline.llm.common import file_locator, shared_folder, table
 from staffline.llm.conversation_repair import conversations, repair, repaired_sha256
 from staffline.llm.decontaminate import contained_items
 from staffline.llm.exact_dedup import exact_dedup
+from staffline.llm.html_text import extract
 from staffline.llm.language_id import fit as fit_languages
 from staffline.llm.language_id import held_out, identify
 from staffline.llm.language_model import fit as fit_language_model
@@ -210,6 +211,10 @@ FROM ids LEFT JOIN counted c ON ids.conv_id IS NOT DISTINCT FROM c.conv_id LEFT
 """
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark, table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering deletes the line ends of a text."""
     untouched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 != 0
@@ -282,6 +287,7 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_html_extraction": op12_html_extraction,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 

@@ -1,0 +1,133 @@
+"""HTML extraction: what is no article, malformed pages, the given pages against a plain reading, awkward rows."""
+
+import html
+import re
+import time
+
+import pytest
+
+from staffline.llm.html_text import extract, main_text, tree
+from staffline.llm.queries import op12_html_extraction
+from tests.conftest import SF_ORACLE
+
+P1 = "A paragraph of the article, with commas, words and a full stop, long enough to count for something."
+P2 = "Another paragraph that goes on, and on, so that the container of both is the best of the page."
+ARTICLE = f"<article><h1>Title</h1><p>{P1}</p><p>{P2}</p></article>"
+WANT = f"Title\n{P1}\n{P2}"
+LONG = "Much text, with commas, that would win, if it were not known for what it is, by its name, or place. " * 9
+
+
+@pytest.mark.parametrize(
+    "other",
+    [
+        f"<nav><p>{LONG}</p></nav>",
+        f"<header><h1>Site</h1><p>{LONG}</p></header>",
+        f"<footer>{LONG}</footer>",
+        f"<aside><p>{LONG}</p></aside>",
+        f'<div class="ad">{LONG}</div>',
+        f'<div class="banner-ads top"><p>{LONG}</p></div>',
+        f'<div id="cookieNotice"><p>{LONG}</p></div>',
+        f'<section class="notice">{LONG}</section>',
+        f"<form><p>{LONG}</p><textarea>{LONG}</textarea></form>",
+        f"<script>var a = '<p>{LONG}</p>';</script><style>p {{}}</style><noscript>{LONG}</noscript>",
+        f'<section id="comments"><article class="comment"><p>{LONG}</p></article></section>',
+        f'<div class="user-comments"><div class="comment"><p>{LONG}</p></div></div>',
+        f'<div role="navigation"><p>{LONG}</p></div>',
+        f'<div style="display: none"><p>{LONG}</p></div><div hidden>{LONG}</div>',
+        f"<!-- <article><p>{LONG}</p></article> -->",
+        f'<div class="left-sidebar"><p>{LONG}</p></div><ul><li><a href="/">Home, home</a></li><li><a href="/b">{LONG}</a></li></ul>',
+    ],
+)
+def test_what_is_no_article(other):
+    assert main_text(f"<html><head><title>{LONG}</title></head><body>{other}{ARTICLE}</body></html>") == WANT
+    assert main_text(f"<html><body>{ARTICLE}{other}") == WANT
+    inside = ARTICLE.replace("<p>Another", f"{other}<p>Another")
+    assert main_text(f"<body>{inside}</body>") == (WANT.replace("Title", "Title").replace(f"\n{P2}", f"\nSite\n{P2}") if "Site" in other else WANT)
+
+
+def test_without_an_article_element():
+    page = f"<body><div id=top><a href=/>Home</a> <a href=/x>More</a></div><div><h1>Title</h1><div class=text><p>{P1}<p>{P2}</div><div><p><a href=/>{P1}</a></p></div></div><p>Imprint</p></body>"
+    assert main_text(page) == WANT
+    wrapped = f"<div id=menu-open-page><div class=sidebar><article><p>{LONG}</p></article></div><div class=modal>{ARTICLE}</div></div>"
+    assert main_text(wrapped) == WANT
+    sections = f"<body class=has-sidebar><main><section><p>{P1}</p></section><section><p>{P2}</p></section></main><div class=sidebar>{P1}</div></body>"
+    assert main_text(sections) == f"{P1}\n{P2}"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("", ""),
+        ("   \n", ""),
+        ("<html></html>", ""),
+        ("plain  text\n only", "plain text only"),
+        ("<p>a &lt;b&gt; &amp; &eacute;&#233;&#x1F600; &copy 5 < 6 &unknown;</p>", "a <b> & éé😀 © 5 < 6 &unknown;"),
+        ("<article><p><b>bold<br><p>next <i>one</i>word</p></article>", "bold\nnext oneword"),
+        ("<article><p>a<br>b</p>tail<div>c</div>end</article>", "a b\ntail\nc\nend"),
+        ("<article><p>cut <b>off <a href='x", "cut off"),
+        ("<article><p>one<!-- never closed <p>two", "one"),
+        ("<article><!--><p>x</p><!doctype y><?php z ?></article>", "x"),
+        ("<article><p title='a > b'>quoted</p><p it's fine>odd</p></article>", "quoted\nodd"),
+        ("<ARTICLE><P CLASS=x>Upper</P></ARTICLE>", "Upper"),
+        ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table></article>", "one\ntwo\na\nb\nc"),
+        ("<article><pre><code><span class='token comment'># x</span>  y</code></pre></article>", "# x y"),
+        ("<article><b><p>in</b> out</p></article>", "in out"),
+        ("<head><title>t</title>text without body", "text without body"),
+        ("<title>never closed <p>x</p>", ""),
+        ("<body><article><header><p>by us</p><h2>Head</h2></header>x</article></body>", "Head\nx"),
+        ("<article><p>only <a href=/>link</a></p></article>", "only link"),
+        ("<article></p>a</div></span></article>", "a"),
+    ],
+)
+def test_small_pages(page, text):
+    assert main_text(page) == text
+
+
+def plain(page):
+    """Main text of the given pages: they have one flat article of headings and paragraphs."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    found = (" ".join(html.unescape(re.sub(r"<br>|</?b>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(x for x in found if x)
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet(f"{SF_ORACLE}/pages.parquet")
+    got = {(r.page_id, r.url, r.text, r.n_chars) for r in op12_html_extraction(spark, SF_ORACLE).collect()}
+    assert got == {(r.page_id, r.url, plain(r.html), len(plain(r.html))) for r in pages.collect()}
+
+
+def test_rows_and_columns(spark):
+    rows = [(1, "u", ARTICLE), (1, "u", ARTICLE), (None, None, None), (2, "", ""), (3, "v", "<article>" + f"<p>{P1}</p>" * 20_000 + "</article>")]
+    pages = spark.createDataFrame([(*r, "old", 5, "x") for r in rows], "page_id long, url string, html string, text string, n_chars int, __page string")
+    got = sorted(extract(spark, pages, ["page_id", "url", "text"]).collect(), key=repr)
+    want = [(1, "u", WANT), (1, "u", WANT), (None, None, ""), (2, "", ""), (3, "v", "\n".join([P1] * 20_000))]
+    assert [tuple(r) for r in got] == sorted(((a, b, t, len(t)) for a, b, t in want), key=lambda r: "Row(page_id=%r" % (r[0],))
+    assert extract(spark, pages.where("false"), ["page_id"]).collect() == []
+
+
+@pytest.mark.parametrize("part", ["<div>", "</b>", "<a href='", "<!--", "<p><b>", "<li>x", "<script>", "&", "<", "<i><div></i>", "<table><td>", "<a x=\">\" ", "</"])
+def test_time_is_linear(part):
+    """A page of many open, stray or broken parts takes time in proportion to its length."""
+    took = []
+    for n in (20_000, 80_000):
+        page = "<article><p>" + part * n
+        best = min(_timed(page) for _ in range(2))
+        took.append(best)
+    assert took[1] < 12 * took[0] + 0.3
+
+
+def _timed(page):
+    start = time.perf_counter()
+    main_text(page)
+    return time.perf_counter() - start
+
+
+def test_nesting_is_bounded():
+    assert max(_depth(n) for n in tree("<div>" * 5000 + "x")) <= 512
+
+
+def _depth(node):
+    n = 0
+    while node.parent:
+        node, n = node.parent, n + 1
+    return n
