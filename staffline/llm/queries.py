@@ -20,7 +20,7 @@ from staffline.llm.merkle import FIELDS, folded_root, leaf_hash, manifest, witne
 from staffline.llm.packing import pack
 from staffline.llm.simhash import near_duplicates
 from staffline.llm.substring_dedup import repeated_passages
-from staffline.llm.token_scan import numbered, scan_token_files, write_token_files
+from staffline.llm.token_scan import named_counts, write_token_files
 from staffline.llm.toxicity import fit as fit_toxicity
 from staffline.llm.toxicity import toxicity
 from staffline.llm.warc import page_of, read_archives, write_archives
@@ -87,12 +87,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token files of all documents, scanned; each count is given its doc_id by the order of the documents' own files."""
+    """Token files of all documents, scanned; each count has the doc_id that was written beside it."""
     folder = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
-    write_token_files(spark, docs, folder)
-    counts = scan_token_files(spark, folder).withColumn("part", F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("int"))
-    return numbered(docs).join(counts, ["part", "doc_no"]).select("doc_id", "part", "doc_no", "start", "n_tokens")
+    write_token_files(spark, table(spark, sf_dir, "documents"), folder, name="doc_id")
+    return named_counts(spark, folder).select(F.col("name").alias("doc_id"), "file", "doc_no", "start", "n_tokens")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
