@@ -58,9 +58,11 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
 
 
-def file_locator() -> Column:
-    """Where a row of a file-based DataFrame lies: its file and its place in it. Unique, and the same on every read."""
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+def file_locator(df: DataFrame) -> Column:
+    """Where a row of a file-based DataFrame lies: its file and its place in it. Unique, and the same on every read. A column of the table's own
+    that is called ``_metadata`` does no harm."""
+    place = df.metadataColumn("_metadata")
+    return F.struct(place["file_path"].alias("file"), place["row_index"].alias("row"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

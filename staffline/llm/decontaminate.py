@@ -71,10 +71,10 @@ def contained_items(
     folder = shared_folder(spark)
     if locator is None:
         docs = stored(docs.select("doc_id", "text"), f"{folder}/staged")
-        locator = file_locator()
+        locator = file_locator(docs)
     placed = docs.select("doc_id", locator.alias("locator"), "text")
     items = stored(benchmark.select("item_id", shingle_texts(F.col("text"), shingle).alias("wanted"), F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("hashes")), f"{folder}/items")
-    items = items.select("item_id", "wanted", "hashes", file_locator().alias("item"))
+    items = items.select("item_id", "wanted", "hashes", file_locator(items).alias("item"))
     index = stored(signatures(items.select("item", "hashes"), threshold), f"{folder}/signatures")
 
     hashes = placed.select("locator", F.explode(shingle_hashes(F.col("text"), shingle)).alias("hash"))

@@ -57,7 +57,7 @@ def exact_dedup(
     folder = shared_folder(spark)
     if locator is None:
         docs = stored(docs.select("doc_id", "text"), f"{folder}/staged")
-        locator = file_locator()
+        locator = file_locator(docs)
     texts = docs.select("doc_id", locator.alias("locator"), normalised(F.col("text")).alias("norm"))
     texts = texts.withColumn("digest", digest(F.col("norm")))
     rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "locator")

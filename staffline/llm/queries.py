@@ -29,11 +29,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark, table(spark, sf_dir, "documents"), locator=file_locator())
+    docs = table(spark, sf_dir, "documents")
+    return repeated_passages(spark, docs, locator=file_locator(docs))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = exact_dedup(spark, table(spark, sf_dir, "documents"), file_locator())
+    docs = table(spark, sf_dir, "documents")
+    result = exact_dedup(spark, docs, file_locator(docs))
     return result.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -94,7 +96,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), file_locator())
+    docs = table(spark, sf_dir, "documents")
+    found = contained_items(spark, docs, table(spark, sf_dir, "benchmark"), file_locator(docs))
     return found.select("doc_id", "item_id", "n_shingles", "n_common", "containment")
 
 
@@ -120,7 +123,8 @@ FROM common c JOIN sizes s ON c.item_id = s.id WHERE c.n::DOUBLE / s.n >= 0.8
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = near_duplicates(spark, table(spark, sf_dir, "documents"), file_locator())
+    docs = table(spark, sf_dir, "documents")
+    result = near_duplicates(spark, docs, file_locator(docs))
     return result.select("doc_id", "fingerprint", "component_id")
 
 

@@ -170,7 +170,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, locator: Column | None
     folder = shared_folder(spark)
     if locator is None:
         docs = stored(docs.select("doc_id", "text"), f"{folder}/staged")
-        locator = file_locator()
+        locator = file_locator(docs)
     placed = docs.select("doc_id", locator.alias("locator"), "text")
     prints = stored(fingerprints(spark, placed, ["doc_id", "locator"], shingle), f"{folder}/fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "locator")

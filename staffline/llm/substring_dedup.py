@@ -2,37 +2,48 @@
 
 The gear hash of a place depends on the 16 bytes that end there. A chunk ends where the hash is the smallest within
 ``RADIUS`` bytes on either side, so a boundary depends on its surroundings alone: text inserted or removed elsewhere
-shifts chunks without changing them, and equal passages are cut alike from a few bytes after they begin. Chunks are
+shifts chunks without changing them, and equal passages are cut alike from a few bytes after they begin. Text with a short period has equally
+small hashes, one a period; it is cut at every so many of them, so all its chunks hold the same bytes wherever the text stands. Chunks are
 deduplicated by digest (with length); runs of neighbouring repeated chunks are the seeds of passages. A passage's edges lie
-outside its seed, so both ends of every seed, however short, are compared with the bytes beside the same chunk in another
-document, and what is equal belongs to the passage.
-
-What is shuffled is one short row a chunk, and up to ``REACH`` bytes for either side of a seed's ends. Digests are reduced in each task before their shuffle, and the join that
-finds the repeated chunks is one that Spark's skew handling can split, so a passage that a third of all
-documents share makes no task large.
+outside its seed. Each chunk carries hashes of the 16 bytes on either side of it, by which an end of a seed finds documents that go on
+alike; only then, or where the seed is nearly long enough already, are the bytes beside it fetched and compared, and what is equal
+belongs to the passage.
+
+What is shuffled is a digest and two numbers a chunk, once, to find which digests repeat; of the chunks themselves only those that a
+bitmap of these digests lets through, and of the texts those that seeds ask for, by another bitmap. The bitmaps have a fixed size; what they let
+through by mistake is found out by joins. Digests are reduced in each task before their shuffle. The reduced side of every join is a table, so Spark's skew handling
+can split the other side: a passage that a third of all documents share makes no task large.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from staffline.llm.common import file_locator, shared_folder, ship_package, small_side, stored
+from staffline.llm.common import FEW, file_locator, shared_folder, ship_package, small_side, stored
 
 WINDOW = 16
 RADIUS = 20
-#: A longer chunk (text that repeats itself has no smallest place) is cut every so many bytes.
+#: Text with a period of up to RADIUS bytes is cut every so many periods that this many bytes are reached.
+PERIODS = 32
+#: A chunk without any smallest place is cut every so many bytes.
 LONGEST = 1024
 SLICE = 1 << 20
-#: Bytes beside a seed that are compared. A chunk's cuts depend on less than that, unless text repeats itself.
+#: Bytes beside a chunk that its side hashes stand for.
+SIDE = 16
+#: Bytes beside a seed that are compared. A chunk's cuts depend on less than that.
 REACH = 128
+#: Bits of the bitmaps that say which digests repeat (collected, 8 MB) and which rows are asked for (broadcast as 262,144 rows at most).
+DIGEST_BITS, ROW_BITS = 26, 24
 BLANK = b" \t\n\r\x0b\x0c"
 GEAR = np.random.default_rng(23).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -61,16 +72,35 @@ def _least_before(h: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+class _Thinned:
+    """Smallest places in order, slice by slice, less those that only repeat a short period. Where one follows another of the same hash,
+    within RADIUS, every so many stay, counted from the first; a new period counts anew."""
+
+    def __init__(self):
+        self.place, self.gap, self.number = -(1 << 40), 0, 0
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        if not len(places):
+            return places
+        gaps = np.diff(places, prepend=self.place)
+        before = np.concatenate([[self.gap], gaps[:-1]])
+        fresh = (gaps > RADIUS) | ((before <= RADIUS) & (gaps != before))
+        at = np.arange(len(places))
+        number = at - np.maximum.accumulate(np.where(fresh, at, -1 - self.number))
+        self.place, self.gap, self.number = int(places[-1]), int(gaps[-1]), int(number[-1])
+        return places[fresh | (number % -(-PERIODS // np.maximum(gaps, 1)) == 0)]
+
+
 def cuts(data: bytes) -> np.ndarray:
     """Where chunks end, in order; the last is the length of ``data``. No cut is inside a UTF-8 character."""
     whole, size = np.frombuffer(data, np.uint8), len(data)
-    found = []
+    found, thinned = [], _Thinned()
     for a in range(0, size, SLICE):
         b, start = min(size, a + SLICE), max(0, a - RADIUS - WINDOW + 1)
         h = gear_hashes(whole[start : min(size, b + RADIUS)])
-        smallest = (h < _least_before(h, RADIUS)) & (h <= _least_before(h[::-1], RADIUS)[::-1])
+        smallest = (h <= _least_before(h, RADIUS)) & (h <= _least_before(h[::-1], RADIUS)[::-1])
         places = np.flatnonzero(smallest) + start
-        found.append(places[(places >= a) & (places < b)] + 1)
+        found.append(thinned(places[(places >= a) & (places < b)]) + 1)
     ends = np.append(np.concatenate(found or [np.empty(0, np.int64)]), size)
     gaps = np.diff(ends, prepend=0)
     if (gaps > LONGEST).any():
@@ -84,8 +114,19 @@ def cuts(data: bytes) -> np.ndarray:
     return ends[ends > 0]
 
 
+def side_hashes(data: bytes, places: np.ndarray) -> np.ndarray:
+    """(places, 2): hashes of the SIDE bytes before and after each place, zeros beyond the text's ends."""
+    padded = np.concatenate([np.zeros(SIDE, np.uint8), np.frombuffer(data, np.uint8), np.zeros(SIDE, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, SIDE)
+    words = np.ascontiguousarray(np.stack([windows[places], windows[places + SIDE]], axis=1)).view("<u8")
+    mixed = words[..., 0] * np.uint64(0x9E3779B97F4A7C15) ^ (words[..., 1] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, locator, n_bytes, ends and digests (arrays, one entry for each chunk) of each row of ``docs`` (doc_id, locator, text)."""
+    """uid, doc_id, locator, n_bytes and arrays with an entry for each chunk: ends, digests, before and after (side hashes), of each row of
+    ``docs`` (doc_id, locator, text)."""
     key, place = docs.schema["doc_id"], docs.schema["locator"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +135,13 @@ def chunks(docs: DataFrame) -> DataFrame:
                 part = batch.slice(first, 500)
                 texts = [t.as_py() or b"" for t in part.column("text")]
                 ends = [cuts(t) for t in texts]
-                digests = []
+                digests, before, after = [], [], []
                 for text, own in zip(texts, ends, strict=True):
-                    starts = np.concatenate([[0], own[:-1]]).tolist() if len(own) else []
-                    digests.append(np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(starts, own.tolist(), strict=True)), np.uint64, len(own)).view(np.int64))
+                    places = np.concatenate([[0], own]).astype(np.int64) if len(own) else np.zeros(0, np.int64)
+                    digests.append(np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in pairwise(places.tolist())), np.uint64, len(own)).view(np.int64))
+                    sides = side_hashes(text, places)
+                    before.append(sides[:-1, 0])
+                    after.append(sides[1:, 1])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
@@ -105,14 +149,86 @@ def chunks(docs: DataFrame) -> DataFrame:
                         "n_bytes": pa.array(map(len, texts), pa.int64()),
                         "ends": pa.array(ends, pa.list_(pa.int64())),
                         "digests": pa.array(digests, pa.list_(pa.int64())),
+                        "before": pa.array(before, pa.list_(pa.int32())),
+                        "after": pa.array(after, pa.list_(pa.int32())),
                     }
                 )
 
-    schema = T.StructType([key, place]).add("n_bytes", T.LongType()).add("ends", T.ArrayType(T.LongType())).add("digests", T.ArrayType(T.LongType()))
+    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    schema = T.StructType([key, place]).add("n_bytes", T.LongType()).add("ends", longs).add("digests", longs).add("before", ints).add("after", ints)
     rows = docs.select("doc_id", "locator", F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
     return rows.withColumn("uid", F.monotonically_increasing_id())
 
 
+# ---------------------------------------------------------------- bitmaps
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> DataFrame:
+    """(word, set): 64-bit words of a bitmap of 2 ** ``bits`` bits, in which the two places of each hash (its one long column) are set."""
+    low = F.lit((1 << bits) - 1)
+    value = F.col(hashes.columns[0])
+    place = F.explode(F.array(value.bitwiseAND(low), F.shiftrightunsigned(value, bits).bitwiseAND(low)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    return hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("set"))
+
+
+def _repeated_chunks(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """uid, doc_id, digest, start, length, before and after of the chunks whose digest is in a bitmap of ``again`` (digest)."""
+    words = _bitmap(again.select("digest"), DIGEST_BITS).toArrow()
+    bitmap = np.zeros(1 << (DIGEST_BITS - 6), np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    packed = rows.sparkSession.sparkContext.broadcast(bitmap)
+    key, low = rows.schema["doc_id"], np.uint64((1 << DIGEST_BITS) - 1)
+
+    def told(digests: np.ndarray) -> np.ndarray:
+        found = np.ones(len(digests), bool)
+        for place in (digests & low, digests >> np.uint64(DIGEST_BITS) & low):
+            found &= (packed.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                digests, sizes = part.column("digests").flatten(), pa.compute.list_value_length(part.column("digests")).to_numpy()
+                kept = np.flatnonzero(told(digests.to_numpy().view(np.uint64)))
+                ends = part.column("ends").flatten().to_numpy()
+                starts = np.concatenate([[0], ends[:-1]])
+                starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+                owner = pa.array(np.repeat(np.arange(len(sizes)), sizes)[kept])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": part.column("doc_id").take(owner),
+                        "uid": part.column("uid").take(owner),
+                        "digest": digests.take(pa.array(kept)),
+                        "start": pa.array(starts[kept]),
+                        "length": pa.array((ends - starts)[kept].astype(np.int32)),
+                        "before": part.column("before").flatten().take(pa.array(kept)),
+                        "after": part.column("after").flatten().take(pa.array(kept)),
+                    }
+                )
+
+    schema = T.StructType([key]).add("uid", T.LongType()).add("digest", T.LongType()).add("start", T.LongType()).add("length", T.IntegerType())
+    schema = schema.add("before", T.IntegerType()).add("after", T.IntegerType())
+    return rows.select("doc_id", "uid", "ends", "digests", "before", "after").mapInArrow(pick, schema)
+
+
+def _asked_rows(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (locator, text) that join ``asked`` (locator), with little else shuffled."""
+    if asked.count() <= FEW:
+        return texts.join(F.broadcast(asked), "locator")
+    hashed = F.xxhash64("locator.file", "locator.row")
+    words = _bitmap(asked.select(hashed.alias("hash")), ROW_BITS)
+    low = F.lit((1 << ROW_BITS) - 1)
+    places = {"p": hashed.bitwiseAND(low), "q": F.shiftrightunsigned(hashed, ROW_BITS).bitwiseAND(low)}
+    some = texts.withColumns(places)
+    for name in places:
+        one = words.select(F.col("word").alias("w"), F.col("set").alias("s"))
+        bit = F.call_function("shiftrightunsigned", F.col("s"), F.col(name).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+        some = some.join(F.broadcast(one), (F.shiftright(name, 6) == F.col("w")) & (bit == 1), "left_semi")
+    return some.drop(*places).join(asked.hint("merge"), "locator")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 128, locator: Column | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, repeated (whether it has a passage that occurs elsewhere), first_doc_ids
     (the documents that keep passages dropped here), spans, n_bytes, n_chunks, repeated_bytes, dropped_bytes.
@@ -129,31 +245,52 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 1
     folder = shared_folder(spark)
     if locator is None:
         docs = stored(docs.select("doc_id", "text"), f"{folder}/docs")
-        locator = file_locator()
+        locator = file_locator(docs)
     docs = docs.select("doc_id", "text", locator.alias("locator"))
     rows = stored(chunks(docs), f"{folder}/chunks")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.size("ends") - 1))
-    places = F.arrays_zip(F.col("digests").alias("digest"), starts.alias("start"), F.col("ends").alias("end"))
-    flat = rows.where(F.size("ends") > 0).select("uid", "doc_id", F.explode(places).alias("c"))
-    occurring = flat.select("uid", "doc_id", "c.digest", "c.start", (F.col("c.end") - F.col("c.start")).cast("int").alias("length"))
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    # Which digests are in more than one document, and all chunks with these.
+    spread = rows.select("uid", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("uid").alias("a"), F.max("uid").alias("b"))
+    again = stored(spread.where("a != b").select("digest"), f"{folder}/again")
+    shared = stored(_repeated_chunks(rows, again).join(small_side(again), "digest"), f"{folder}/shared")
 
     rank, place = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "uid", "start"), F.struct("uid", "start")
-    groups = occurring.groupBy("digest", "length").agg(F.min(rank).alias("first"), F.min(place).alias("a"), F.max(place).alias("b"))
+    groups = shared.groupBy("digest", "length").agg(F.min(rank).alias("first"), F.min(place).alias("a"), F.max(place).alias("b")).where("a.uid != b.uid")
     other = F.when(F.col("b.uid") != F.col("first.uid"), F.col("b")).otherwise(F.col("a"))
-    repeated = groups.where("a.uid != b.uid").select("digest", "length", "first", other.alias("other"))
+    groups = stored(groups.select("digest", "length", "first", other.alias("other")), f"{folder}/groups")
     drop = F.col("uid") != F.col("first.uid")
     beside = F.when(drop, F.struct("first.uid", "first.start")).otherwise(F.col("other"))
-    hit = F.struct("start", "length", F.col("first.doc_id").alias("first_doc_id"), drop.alias("drop"), beside.alias("beside"))
-    hits = occurring.join(repeated, ["digest", "length"]).select("uid", hit.alias("hit"))
+    hit = F.struct("start", "length", F.col("first.doc_id").alias("first_doc_id"), drop.alias("drop"), beside.alias("beside"), "digest", "before", "after")
+    hits = shared.join(small_side(groups), ["digest", "length"]).select("uid", hit.alias("hit"))
     by_document = hits.groupBy("uid").agg(F.collect_list("hit").alias("hits"))  # a document's own chunks, no more
-    span, edge = "struct<start: long, end: long, first_doc_id: long, drop: boolean>", "struct<at: long, after: boolean, uid: long, place: long>"
-    seeds = stored(_by_row(by_document, lambda row: runs(row["hits"]), f"uid long, runs array<array<{span}>>, edges array<{edge}>"), f"{folder}/seeds")
-
-    edges = seeds.select("uid", F.explode("edges").alias("e")).select("uid", "e.at", "e.after", F.col("e.uid").alias("other"), "e.place")
+    span = f"struct<start: long, end: long, first_doc_id: {key}, drop: boolean>"
+    end = "struct<at: long, digest: long, length: int, side: int, uid: long, start: long>"
+    found = f"uid long, runs array<array<{span}>>, ends array<struct<size: long, before: {end}, after: {end}>>"
+    seeds = stored(_by_row(by_document, lambda row: runs(row["hits"]), found), f"{folder}/seeds")
+
+    # Documents that go on alike beside the ends of a seed: up to two that have the chunk and its side hash.
+    ends = seeds.select("uid", F.explode("ends").alias("e")).select("uid", "e.size", "e.before", "e.after")
+    for which in ("before", "after"):
+        alike = shared.groupBy("digest", "length", F.col(which).alias("side")).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a.uid != b.uid")
+        alike = stored(alike, f"{folder}/alike-{which}")
+        ends = ends.withColumns({k: F.col(f"{which}.{k}") for k in ("digest", "length", "side")}).join(small_side(alike), ["digest", "length", "side"], "left")
+        like = F.filter(F.array("a", "b"), lambda p: p["uid"] != F.col("uid"))
+        ends = ends.withColumn(f"like_{which}", like).drop("digest", "length", "side", "a", "b")
+    near = (F.col("size") >= least_bytes - 2 * (SIDE - 1)) | (F.size("like_before") > 0) | (F.size("like_after") > 0)
+
+    def side_of(which: str) -> Column:
+        """The place of this end, and the same place in the documents to compare with; without one that goes on alike, in any that has the chunk."""
+        one = F.col(which)
+        like = F.when(F.size(f"like_{which}") > 0, F.col(f"like_{which}")).otherwise(F.array(F.struct(one["uid"].alias("uid"), one["start"].alias("start"))))
+        shift = one["length"] if which == "after" else F.lit(0)
+        return F.transform(F.array_distinct(like), lambda p: F.struct(one["at"].alias("at"), F.lit(which == "after").alias("after"), p["uid"].alias("other"), (p["start"] + shift).alias("place")))
+
+    edges = stored(ends.where(near).select("uid", F.explode(F.concat(side_of("before"), side_of("after"))).alias("e")).select("uid", "e.*"), f"{folder}/edges")
     asked = edges.select("uid", "at", "after").union(edges.select("other", "place", "after")).distinct()
     asked = asked.join(rows.select("uid", "locator", "n_bytes"), "uid").where("if(after, at < n_bytes, at > 0)")
     asked = stored(asked.groupBy("uid", "locator").agg(F.collect_list(F.struct("at", "after")).alias("asked")), f"{folder}/asked")
-    texts = docs.select("locator", F.col("text").cast("binary").alias("text")).join(small_side(asked), "locator")
+    texts = _asked_rows(docs.select("locator", F.col("text").cast("binary").alias("text")), asked)
     read = stored(_sides(texts.select("uid", "asked", "text")), f"{folder}/sides")
     theirs = read.select(F.col("uid").alias("other"), F.col("at").alias("place"), "after", F.col("side").alias("their_side"))
     both = edges.join(read, ["uid", "at", "after"]).join(theirs, ["other", "place", "after"]).select("uid", "at", "after", "side", "their_side")
@@ -215,24 +352,23 @@ def _bytes_in(spans: Column) -> Column:
 
 
 def runs(hits: list[dict]) -> list[list]:
-    """Runs of neighbouring chunks, split where ``first_doc_id`` or ``drop`` changes, and the places of their ends here and beside
-    the same chunk of another document."""
+    """Runs of neighbouring chunks, split where ``first_doc_id`` or ``drop`` changes; and of each run its size and its ends: the place, the chunk
+    there with its side hash, and where another document has that chunk."""
     found: list[list[dict]] = []
-    edges: list[dict] = []
-    last = None
+    ends: list[dict] = []
     for hit in sorted(hits, key=lambda h: h["start"]):
-        start, end, other = hit["start"], hit["start"] + hit["length"], hit["beside"]
+        start, end = hit["start"], hit["start"] + hit["length"]
+        chunk = {"digest": hit["digest"], "length": hit["length"], **hit["beside"]}
         run = found[-1] if found and found[-1][-1]["end"] == start else None
         if run is None:
             found.append(run := [])
-            edges += [last] if last else []
-            edges.append({"at": start, "after": False, "uid": other["uid"], "place": other["start"]})
-        last = {"at": end, "after": True, "uid": other["uid"], "place": other["start"] + hit["length"]}
+            ends.append({"size": 0, "before": {"at": start, "side": hit["before"], **chunk}})
+        ends[-1] |= {"size": ends[-1]["size"] + hit["length"], "after": {"at": end, "side": hit["after"], **chunk}}
         if run and (run[-1]["first_doc_id"], run[-1]["drop"]) == (hit["first_doc_id"], hit["drop"]):
             run[-1]["end"] = end
         else:
             run.append({"start": start, "end": end, "first_doc_id": hit["first_doc_id"], "drop": hit["drop"]})
-    return [found, [*edges, last] if last else edges]
+    return [found, ends]
 
 
 def common(own: bytes, other: bytes, after: bool) -> tuple[int, int]:
@@ -248,6 +384,7 @@ def common(own: bytes, other: bytes, after: bool) -> tuple[int, int]:
 def passages(seeds: list[list[dict]], growth: list[dict], least_bytes: int) -> list[dict]:
     """The entries of the ``seeds`` that make up at least ``least_bytes`` with the equal bytes beside them, grown by whole words.
     Seeds that meet so are one passage."""
+    growth = sorted(growth, key=lambda g: (g["same"], g["words"]))  # of two documents compared, the one that goes on longer
     same = {(g["at"], g["after"]): g["same"] for g in growth}
     words = {(g["at"], g["after"]): g["words"] for g in growth}
     met: list[list] = []  # start, end, seeds

@@ -1,7 +1,11 @@
+import collections
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from staffline.llm import common
 from staffline.llm import substring_dedup as S
 
 from .helpers import frame
@@ -16,8 +20,18 @@ def text(n):
 
 def plain_cuts(data):
     h = [sum(int(S.GEAR[data[i - j]]) << j for j in range(S.WINDOW) if i >= j) & 0xFFFFFFFF for i in range(len(data))]
+    least = [i for i in range(len(data)) if all(h[i] <= x for x in h[max(0, i - S.RADIUS) : i + 1 + S.RADIUS])]
+    chosen, last, period, count = [], -(10**9), 0, 0
+    for i in least:
+        gap = i - last
+        if gap > S.RADIUS or (period <= S.RADIUS and gap != period):
+            count = 0
+        else:
+            count += 1
+        if count % math.ceil(S.PERIODS / gap) == 0:
+            chosen.append(i + 1)
+        last, period = i, gap
     ends, at = [], 0
-    chosen = [i + 1 for i in range(len(data)) if all(h[i] < x for x in h[max(0, i - S.RADIUS) : i]) and all(h[i] <= x for x in h[i + 1 : i + 1 + S.RADIUS])]
     for end in sorted({*chosen, len(data)} - {0}):
         while end - at > S.LONGEST:
             at += S.LONGEST
@@ -32,7 +46,8 @@ def plain_cuts(data):
 @pytest.mark.parametrize("slice_bytes", [1 << 20, 100, 37])
 def test_cuts_against_plain_version(monkeypatch, slice_bytes):
     monkeypatch.setattr(S, "SLICE", slice_bytes)
-    for data in (b"", b"a", b"a" * 5000, text(1).encode(), text(300).encode(), ("é" * 700).encode(), ("日本" * 900 + text(20)).encode()):
+    words = b"".join(text(2).encode() + w * 40 for w in (b"ab", b"word ", b"seven b", b"twenty byte periods ", b"twenty-one byte period"))
+    for data in (b"", b"a", b"a" * 5000, words, text(1).encode(), text(300).encode(), ("é" * 700).encode(), ("日本" * 900 + text(20)).encode()):
         assert S.cuts(data).tolist() == plain_cuts(data)
 
 
@@ -121,3 +136,74 @@ def test_common_bytes_and_whole_words():
     assert S.common(b"ab", b"ab cd", True) == (2, 2)
     assert S.common(b"x some", b"y some", False) == (5, 4)
     assert S.common(b"abc", b"abd", True) == (2, 0)
+
+
+@pytest.mark.parametrize("word", ["a", "la ", "word ", "twelve byte ", "nineteen byte long ", "é"])
+def test_repetitive_passages_are_found_wherever_they_stand(spark, word):
+    """One word, or sign, over and over, each time after another text of another length."""
+    docs = [(i, text(20 + i) + "x" * (i % 7) + " " + word * (480 // len(word)) + " " + text(30)) for i in range(20)] + [(99, text(200))]
+    got = {r.doc_id: r for r in S.repeated_passages(spark, frame(spark, docs)).collect()}
+    assert [i for i in range(20) if not got[i].spans] == [] and not got[99].spans
+    assert all(got[i].repeated_bytes > 350 for i in range(20))
+
+
+def brute_force(docs, least):
+    """For each document the places that lie in a stretch of ``least`` bytes or more that is in another document too."""
+    data = {d: t.encode() for d, t in docs}
+    at = collections.defaultdict(list)
+    for d, t in data.items():
+        for i in range(len(t) - 15):
+            at[t[i : i + 16]].append((d, i))
+    covered = {d: set() for d in data}
+    for places in at.values():
+        for d, i in places:
+            for e, j in places:
+                if d == e or (i and j and data[d][i - 1] == data[e][j - 1]):
+                    continue
+                x, y, n = data[d], data[e], 16
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                if n >= least:
+                    covered[d].update(range(i, i + n))
+    return data, covered
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_spans_against_all_pairs(spark, seed):
+    """Passages of many lengths, repeated, nested and beside each other. A stretch clearly long enough is covered but for a word at either end; what is covered repeats
+    elsewhere."""
+    rng = random.Random(seed)
+    passages = [" ".join(rng.choices(VOCABULARY, k=rng.randint(8, 70))) for _ in range(12)] + ["ha " * 70, "=-" * 110]
+    passages += [p[len(p) // 3 :] for p in passages[:4]]
+    docs = []
+    for i in range(50):
+        parts = [text(rng.randint(5, 40)) if rng.random() < 0.6 else rng.choice(passages) for _ in range(6)]
+        docs.append((i, " ".join(parts)))
+    data, covered = brute_force(docs, 170)
+    short = brute_force(docs, 24)[1]
+    for r in S.repeated_passages(spark, frame(spark, docs)).collect():
+        found = {b for s in r.spans for b in range(s.start, s.end)}
+        lost = sorted(covered[r.doc_id] - found)
+        stretches = sum(1 for a, b in zip([-9, *lost], lost) if b != a + 1)
+        assert len(lost) <= 32 * max(stretches, 1) and len(lost) <= 0.2 * len(covered[r.doc_id]) + 40, (r.doc_id, len(lost))
+        assert len(found - short[r.doc_id]) <= 2 * len(r.spans)
+
+
+def test_ids_of_any_type_and_clashing_names(spark, tmp_path):
+    docs = frame(spark, [(1, f"{text(9)} {PASSAGE} {text(9)}"), (2, f"{text(5)} {PASSAGE}"), (3, text(50))])
+    docs = docs.withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id").cast("string"))).withColumn("_metadata", F.lit("x")).withColumn("digests", F.lit(1))
+    got = {r.doc_id: r.first_doc_ids for r in S.repeated_passages(spark, docs).collect() if r.repeated}
+    assert got == {"n1": [], "n2": ["n1"]}
+
+
+def test_rows_are_asked_for_by_bitmap(spark, monkeypatch):
+    """Above FEW rows the texts go through bitmaps, and nothing is lost."""
+    docs = rows()
+    want = sorted(map(repr, S.repeated_passages(spark, frame(spark, docs)).collect()))
+    monkeypatch.setattr(S, "FEW", 0)
+    monkeypatch.setattr(common, "FEW", 0)
+    assert sorted(map(repr, S.repeated_passages(spark, frame(spark, docs)).collect())) == want
+    for bits in (6, 8):  # full bitmaps let everything through
+        monkeypatch.setattr(S, "DIGEST_BITS", bits)
+        monkeypatch.setattr(S, "ROW_BITS", bits)
+        assert sorted(map(repr, S.repeated_passages(spark, frame(spark, docs)).collect())) == want
