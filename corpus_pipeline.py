@@ -25,7 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def on_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` if its rows lie in files, else written to the shared folder: rows are told apart by their place."""
     try:
-        docs.select(file_locator())
+        docs.select(file_locator(docs))
     except AnalysisException:
         return stored(docs, f"{shared_folder(spark)}/documents")
     return docs
@@ -34,7 +34,7 @@ def on_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def without(spark: SparkSession, docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose locator is not in ``gone`` (locator), in all their columns."""
     gone = stored(gone.select("locator"), f"{shared_folder(spark)}/gone")
-    rows = docs.select(F.struct("*").alias("row"), file_locator().alias("locator"))
+    rows = docs.select(F.struct("*").alias("row"), file_locator(docs).alias("locator"))
     return rows.join(small_side(gone), "locator", "left_anti").select("row.*")
 
 
@@ -52,19 +52,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one document stays."""
     docs = on_files(spark, docs)
-    return without(spark, docs, exact_dedup(spark, docs, file_locator()).where("NOT kept"))
+    return without(spark, docs, exact_dedup(spark, docs, file_locator(docs)).where("NOT kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (fingerprints of 3-word shingles, linked at 2 bits), one document stays."""
     docs = on_files(spark, docs)
-    return without(spark, docs, near_duplicates(spark, docs, file_locator()).where("NOT kept"))
+    return without(spark, docs, near_duplicates(spark, docs, file_locator(docs)).where("NOT kept"))
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain an item of ``benchmark``."""
     docs = on_files(spark, docs)
-    return without(spark, docs, contained_items(spark, docs, table(spark, sf_dir, "benchmark"), file_locator()).select("locator").distinct())
+    return without(spark, docs, contained_items(spark, docs, table(spark, sf_dir, "benchmark"), file_locator(docs)).select("locator").distinct())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
