@@ -5,9 +5,11 @@ makes the files whole when executors are lost: the last byte of a member is the
 zero for records below 16 MiB, and that zero is what the sink writes as its line end. A longer record
 keeps its last byte, and the zero after it is padding between members.
 
-The reader checks every member (its CRC, the record's framing, its digests). After a failed check it looks for the
+The reader checks every member (its CRC, the records' framing, their digests). After a failed check it looks for the
 next gzip member or ``WARC/1.`` version line that passes, goes on from there, and reports the bytes between
-as a quarantined gap. Plain and compressed records may alternate in a file.
+as a quarantined gap. Plain and compressed records may alternate in a file, and a member may hold several records, among which the
+search goes on in the same way. The search reads a file once: the ends of heads are looked up in order, a head is read up to its first
+line that is none, and what failed checks may inflate and digest is bounded by a multiple of the file's length.
 """
 
 from __future__ import annotations
@@ -23,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm.common import ship_package
+from staffline.llm.common import shared_folder, ship_package, small_side, stored
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[0-9]+\r\n")
 END = b"\r\n\r\n"
 #: Compressed bytes given to zlib at a time.
 STEP = 4096
+#: Bytes of a record's head at most.
+HEAD = 1 << 16
+#: Bytes that failed checks may inflate and digest: so many times the file's, and some more. Beyond it, a candidate that asks for more is passed over.
+WASTE, WASTE_MORE = 16, 64 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Where a search for the next record may go on: a gzip member or a version line, which then must pass all checks.
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_PADDING = re.compile(rb"\0+")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 READ_SCHEMA = (
     "archive string, start long, end long, gap string, record_type string, record_id string, refers_to string, "
@@ -93,77 +100,105 @@ class Damaged(ValueError):
     pass
 
 
-def plain_record(data: bytes, start: int) -> Found:
-    """The uncompressed record that begins at ``start``; Damaged if any check fails."""
-    head_end = data.find(END, start)
-    if not VERSION.match(data, start) or head_end < 0:
-        raise Damaged("no record head")
-    lines = data[start:head_end].split(b"\r\n")[1:]
-    fields = {}
-    for line in lines:
-        key, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("head line without a colon")
-        fields[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = fields.get("content-length", "")
-    if not re.fullmatch("[0-9]+", length):
-        raise Damaged("no content length")
-    begin = head_end + len(END)
-    end = begin + int(length)
-    if data[end : end + len(END)] != END:
-        raise Damaged("record does not end where its length says")
-    block = data[begin:end]
-    digest = fields.get("warc-block-digest", "").removeprefix("sha1:")
-    if digest and digest != sha1_base32(block):
-        raise Damaged("block digest differs")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if digest and fields.get("warc-type") == "response" and digest != sha1_base32(payload_of(block)):
-        raise Damaged("payload digest differs")
-    return Found(start, end + len(END), None, fields, block)
-
-
-def record_at(data: bytes, start: int) -> Found:
-    if not data.startswith(GZIP, start):
-        return plain_record(data, start)
-    opener, view, at, parts = zlib.decompressobj(31), memoryview(data), start, []
-    try:
-        while not opener.eof:  # in steps, as what follows the member is copied by zlib
-            if at >= len(data):
-                raise Damaged("gzip member is cut off")
-            parts.append(opener.decompress(view[at : at + STEP]))
-            at += STEP
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    record = b"".join(parts)
-    found = plain_record(record, 0)
-    if found.end != len(record):
-        raise Damaged("member holds more than a record")
-    return Found(start, min(at, len(data)) - len(opener.unused_data), None, found.fields, found.block)
+class Reader:
+    """The records of one archive, or of one inflated member."""
+
+    def __init__(self, data: bytes, waste: list[int] | None = None):
+        self.data, self.head_end, self.inside = data, -1, waste is not None
+        self.waste = waste or [WASTE * len(data) + WASTE_MORE]
+
+    def spend(self, size: int) -> None:
+        """Before a check that reads ``size`` bytes; what passes is given back."""
+        if size > self.waste[0]:
+            raise Damaged("failed checks have read too much to check this one")
+        self.waste[0] -= size
+
+    def plain(self, start: int) -> Found:
+        """The uncompressed record that begins at ``start``; Damaged if any check fails."""
+        data = self.data
+        version = VERSION.match(data, start)
+        if not version:
+            raise Damaged("no record head")
+        if self.head_end < start:  # asked for in order, so all searches together read the data once
+            found = data.find(END, start)
+            self.head_end = found if found >= 0 else len(data)
+        if self.head_end == len(data) or self.head_end - start > HEAD:
+            raise Damaged("no record head")
+        fields, at = {}, version.end()
+        while at < self.head_end:
+            stop = data.find(b"\r\n", at, self.head_end)
+            line = data[at : stop if stop >= 0 else self.head_end]
+            key, colon, value = line.partition(b":")
+            if not colon:
+                raise Damaged("head line without a colon")
+            fields[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+            at += len(line) + 2
+        length = fields.get("content-length", "")
+        if not re.fullmatch("[0-9]{1,18}", length):
+            raise Damaged("no content length")
+        begin = self.head_end + len(END)
+        end = begin + int(length)
+        if data[end : end + len(END)] != END:
+            raise Damaged("record does not end where its length says")
+        self.spend(end - begin)
+        block = data[begin:end]
+        digest = fields.get("warc-block-digest", "").removeprefix("sha1:")
+        if digest and digest != sha1_base32(block):
+            raise Damaged("block digest differs")
+        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+        if digest and fields.get("warc-type") == "response" and digest != sha1_base32(payload_of(block)):
+            raise Damaged("payload digest differs")
+        self.waste[0] += end - begin
+        return Found(start, end + len(END), None, fields, block)
+
+    def member(self, start: int) -> list[Found]:
+        """The records, and gaps between them, of the gzip member that begins at ``start``. Damaged if it is not whole or has no record."""
+        data, opener, at, parts, size = memoryview(self.data), zlib.decompressobj(31), start, [], 0
+        try:
+            while not opener.eof:  # in steps, as what follows the member is copied by zlib
+                if at >= len(data):
+                    raise Damaged("gzip member is cut off")
+                parts.append(opener.decompress(data[at : at + STEP]))
+                self.spend(STEP + len(parts[-1]))
+                size += STEP + len(parts[-1])
+                at += STEP
+        except zlib.error as e:
+            raise Damaged(f"gzip: {e}") from None
+        end = min(at, len(data)) - len(opener.unused_data)
+        inside = list(Reader(b"".join(parts), self.waste).records())
+        if all(found.gap is not None for found in inside):
+            raise Damaged(inside[0].gap if inside else "gzip member is empty")
+        self.waste[0] += size
+        return [Found(start, end, found.gap and f"in a member: {found.gap}", found.fields, found.block) for found in inside]
+
+    def records(self) -> Iterator[Found]:
+        """All records, and a gap for each run of bytes that belongs to none."""
+        data, at, size = self.data, 0, len(self.data)
+        why, lost = "", None
+        while at < size:
+            if lost is None and data[at] == 0:  # padding between members
+                at = _PADDING.match(data, at).end()
+                continue
+            try:
+                found = self.member(at) if data.startswith(GZIP, at) and not self.inside else [self.plain(at)]
+            except Damaged as e:
+                if lost is None:
+                    lost, why = at, str(e)
+                following = _START.search(data, at + 1)
+                at = following.start() if following else size
+                continue
+            if lost is not None:
+                yield Found(lost, at, why)
+                lost = None
+            yield from found
+            at = found[-1].end
+        if lost is not None:
+            yield Found(lost, size, why)
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """All records of an archive, and a gap for each run of bytes that belongs to none."""
-    at, size = 0, len(data)
-    why, lost = "", None
-    while at < size:
-        if lost is None and data[at] == 0:  # padding between members
-            at += 1
-            continue
-        try:
-            found = record_at(data, at)
-        except Damaged as e:
-            if lost is None:
-                lost, why = at, str(e)
-            following = _START.search(data, at + 1)
-            at = following.start() if following else size
-            continue
-        if lost is not None:
-            yield Found(lost, at, why)
-            lost = None
-        yield found
-        at = found.end
-    if lost is not None:
-        yield Found(lost, size, why)
+    """All records of an archive, and a gap for each run of bytes that belongs to none. Records of one gzip member have the member's place."""
+    return Reader(data).records()
 
 
 def payload_of(block: bytes) -> bytes:
@@ -181,18 +216,22 @@ def write_archives(
     Of pages with equal payloads of at least ``least_bytes`` the one with the largest page_id becomes the
     response and the others revisits of it; smaller payloads are all responses. A null payload is empty, a
     null page_id comes after all others; rows that share the largest page_id and the payload are all
-    responses. A payload that a third of all pages share costs the grouping one row a task; the join that
-    tells pages their response is one that Spark's skew handling can split. Archives are written where that join
-    leaves the pages; an archive holds the pages of about ``archive_bytes`` of payload at most.
+    responses. Payloads are equal if their SHA-256 and length are. A payload that a third of all pages share costs the grouping one row a task;
+    the payloads that repeat are a table, broadcast if it is small, and else the join that tells pages their response is one that
+    Spark's skew handling can split. Archives are written where that join leaves the pages; an archive holds the pages of about
+    ``archive_bytes`` of payload at most.
     """
     ship_package(spark)
+    folder = shared_folder(spark)
     payload = F.coalesce(F.col("payload"), F.lit(b""))
-    keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    groups = keyed.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.sum(F.octet_length("payload")).alias("bytes"), F.count(F.lit(1)).alias("pages"))
-    size = groups.agg(F.sum("bytes").alias("bytes"), F.sum("pages").alias("pages")).first()
+    keyed = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("size"))
+    groups = keyed.groupBy("digest", "size").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("pages"))
+    groups = stored(groups, f"{folder}/payloads")
+    size = groups.agg(F.sum(F.col("size") * F.col("pages")).alias("bytes"), F.sum("pages").alias("pages")).first()
     each = max(1, archive_bytes * (size["pages"] or 1) // max(1, size["bytes"] or 1))
-    is_revisit: Column = (F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    records = keyed.join(groups.select("digest", "response_id"), "digest").select("page_id", "url", "payload", "response_id", is_revisit.alias("revisit"))
+    repeated = stored(groups.where("pages > 1").select("digest", "size", "response_id", F.lit(True).alias("repeated")), f"{folder}/repeated")
+    is_revisit: Column = F.col("repeated").isNotNull() & (F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
+    records = keyed.join(small_side(repeated), ["digest", "size"], "left").select("page_id", "url", "payload", "response_id", is_revisit.alias("revisit"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,6 +239,10 @@ def write_archives(
             yield pa.RecordBatch.from_pydict({"member": pa.array((member(record_bytes(*row, date)) for row in rows), pa.binary())})
 
     members = records.mapInArrow(pack, "member binary").select(F.col("member").cast("string").alias("value"))
+    written(members, each, path)
+
+
+def written(members: DataFrame, each: int, path: str) -> None:
     members.write.option("lineSep", "\0").option("maxRecordsPerFile", each).text(path)
 
 

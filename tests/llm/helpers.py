@@ -116,3 +116,26 @@ def check_packing(rows, capacity=4096):
             at += length
         assert at <= capacity
     return len(by_sequence)
+
+
+SMALL = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def executed_with_small_thresholds(spark, df):
+    """The plan that ``df`` ran with, where Spark takes little for a skewed partition. ``df`` is made anew in a session of its own settings."""
+    before = {k: spark.conf.get(k) for k in SMALL}
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
+    try:
+        again = df.select("*")
+        again.collect()
+        return again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

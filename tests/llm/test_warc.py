@@ -1,12 +1,17 @@
 import base64
+import gzip
 import hashlib
+import time
 import zlib
 
 import pytest
 
 from staffline.llm import warc as W
+from staffline.llm import common
 from staffline.llm.common import shared_folder
 
+from .helpers import executed_with_small_thresholds
+
 DATE = "2000-01-01T00:00:00Z"
 PAGES = "page_id long, url string, payload binary, digest int, response_id string"
 
@@ -99,3 +104,57 @@ def test_member_of_a_long_record_is_whole():
 def test_a_length_may_lie():
     lying = records(2)[1].replace(b"Content-Length: ", b"Content-Length: 9", 2)
     assert ids(W.salvage(lying + records(1)[0])) == [None, 0]
+
+
+def test_a_member_may_hold_several_records():
+    five = records(5)
+    data = packed(records(7)[6]) + gzip.compress(b"".join(five)) + packed(records(7)[5])
+    found = list(W.salvage(data))
+    assert ids(found) == [6, 0, 1, 2, 3, 4, 5] and len({(f.start, f.end) for f in found}) == 3
+    hurt = bytearray(b"".join(five))
+    hurt[len(five[0]) + len(five[1]) // 2] ^= 0xFF
+    found = list(W.salvage(gzip.compress(bytes(hurt) + b"rest")))
+    assert ids(found) == [0, None, 2, 3, 4, None] and all(f.gap.startswith("in a member: ") for f in found if f.gap)
+    assert ids(W.salvage(gzip.compress(b"no record") + five[0])) == [None, 0]
+    assert 0 in ids(W.salvage(gzip.compress(gzip.compress(five[0]))))  # the inner member is found by the search
+
+
+@pytest.mark.parametrize(
+    "part",
+    [b"WARC/1.0\r\n", b"WARC/1.0\r\nA: b\r\n", b"WARC/1.0\r\nContent-Length: 9\r\n\r\n", b"\x1f\x8b\x08", b"\0", b"\0x", b"WARC/1.", b"\r\n\r\nWARC/1.0\r\nA"],
+)
+def test_time_grows_in_proportion(part):
+    took = []
+    for n in (20_000, 320_000):
+        data = part * n + records(1)[0]
+        start = time.perf_counter()
+        found = list(W.salvage(data))
+        took.append(time.perf_counter() - start)
+        assert ids(found)[-1] == 0 and len(found) <= 2
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_failed_checks_are_bounded():
+    """Nested records that all claim to reach to the same end, with wrong digests: all but a bounded number are passed over unread."""
+    heads, tail = [], b"x" * 50_000 + W.END
+    inside = tail
+    for _ in range(3000):
+        head = b"WARC/1.0\r\nWARC-Block-Digest: sha1:WRONG\r\nContent-Length: %d\r\n\r\n" % (len(inside) - len(W.END))
+        inside = head + inside
+        heads.append(head)
+    reader = W.Reader(inside + records(1)[0])
+    reader.waste = [10 * len(inside)]
+    assert ids(reader.records()) == [None, 0] and reader.waste[0] >= 0
+    bomb = gzip.compress(b"\0" * (100 << 20))
+    start = time.perf_counter()
+    assert ids(W.salvage(bomb * 20 + packed(records(1)[0]))) == [None, 0]
+    assert time.perf_counter() - start < 20
+
+
+def test_a_payload_that_many_pages_share_is_split(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 0)
+    rows = [(i, "u", b"same " * 300 if i % 2 else b"%d" % i * 50) for i in range(4000)] + [(i, "u", b"%d" % (i % 100) * 60) for i in range(5000, 5400)]
+    made = []
+    monkeypatch.setattr(W, "written", lambda df, *a: made.append(df), raising=True)
+    W.write_archives(spark, pages(spark, rows).repartition(16), shared_folder(spark))
+    assert "skew=true" in executed_with_small_thresholds(spark, made[0])
