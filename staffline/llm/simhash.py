@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staffline.llm.common import file_locator, shared_folder, ship_package, stored, word_blocks
+from staffline.llm.common import file_locator, shared_folder, ship_package, small_side, stored, word_blocks
 from staffline.llm.components import roots
 
 SEED = 42
@@ -176,10 +176,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, locator: Column | None
     rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "locator")
     distinct = stored(prints.groupBy("fp").agg(F.min(rank).alias("first")), f"{folder}/distinct")
     root = roots(spark, links(spark, distinct.select("fp"), folder, busy), folder)
-    member = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    first = member.groupBy("root").agg(F.min("first").alias("first"))
-    classes = stored(member.drop("first").join(first, "root").select("fp", "first"), f"{folder}/classes")
-    return prints.join(classes, "fp").select(
+    linked = distinct.join(small_side(root.withColumnRenamed("node", "fp")), "fp", "left")
+    member = stored(linked.select("fp", "first", F.coalesce("root", "fp").alias("root")), f"{folder}/members")
+    first = stored(member.groupBy("root").agg(F.min("first").alias("first")), f"{folder}/roots")
+    classes = stored(member.drop("first").join(small_side(first), "root").select("fp", "first"), f"{folder}/classes")
+    return prints.join(small_side(classes), "fp").select(
         "doc_id",
         "locator",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from staffline.llm import simhash as S
 from staffline.llm.components import roots
@@ -95,3 +96,20 @@ def test_long_path_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(5, 5), (1, 0), (300, 301)], "a long, b long")
     got = {r.node: r.root for r in roots(spark, links, folder).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {301: 300}
+
+
+def test_links_of_a_hub_are_split(spark, tmp_path, monkeypatch):
+    from staffline.llm import common, components
+
+    from .helpers import executed_with_small_thresholds
+
+    monkeypatch.setattr(common, "FEW", 0)
+    star = spark.range(1, 20_000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    other = spark.range(30_000, 34_000).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    star.union(other).repartition(16).write.parquet(f"{tmp_path}/links")
+    links = spark.read.parquet(f"{tmp_path}/links")
+    assert "skew=true" in executed_with_small_thresholds(spark, components._large_star(links, f"{tmp_path}/large"))
+    turned = links.select(F.lit(99_999_999).cast("long").alias("a"), F.col("a").alias("b")).union(links)
+    assert "skew=true" in executed_with_small_thresholds(spark, components._small_star(turned, f"{tmp_path}/small"))
+    got = components.roots(spark, links.repartition(3), f"{tmp_path}/r")
+    assert got.groupBy("root").count().orderBy("root").collect() == [(0, 19_999), (30_000, 4000)]
