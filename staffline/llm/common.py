@@ -58,6 +58,43 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
 
 
+#: Bits of a bitmap at least and at most; at most 1,048,576 rows of two numbers are broadcast.
+LEAST_BITS, MOST_BITS = 16, 26
+
+
+def bitmap(hashes: DataFrame, bits: int) -> DataFrame:
+    """(word, set): 64-bit words of a bitmap of 2 ** ``bits`` bits, in which two places are set for each hash (the one column, a long)."""
+    low = F.lit((1 << bits) - 1)
+    value = F.col(hashes.columns[0])
+    place = F.explode(F.array(value.bitwiseAND(low), F.shiftrightunsigned(value, bits).bitwiseAND(low)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    return hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("set"))
+
+
+def in_bitmap(rows: DataFrame, hashed: Column, hashes: DataFrame, bits: int | None = None) -> DataFrame:
+    """The ``rows`` whose ``hashed`` (a long) may be in ``hashes`` (one long column, a stored table): all that are, and others by chance. Nothing of
+    ``rows`` is shuffled. The bitmap is broadcast; it grows with the hashes up to a fixed size, beyond which more pass by chance."""
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, (16 * hashes.count()).bit_length()))
+    words = bitmap(hashes, bits)
+    low = F.lit((1 << bits) - 1)
+    rows = rows.withColumns({"_p": hashed.bitwiseAND(low), "_q": F.shiftrightunsigned(hashed, bits).bitwiseAND(low)})
+    for place in ("_p", "_q"):
+        one = words.select(F.col("word").alias("_word"), F.col("set").alias("_set"))
+        bit = F.call_function("shiftrightunsigned", F.col("_set"), F.col(place).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+        rows = rows.join(F.broadcast(one), (F.shiftright(place, 6) == F.col("_word")) & (bit == 1), "left_semi")
+    return rows.drop("_p", "_q")
+
+
+def asked_rows(rows: DataFrame, asked: DataFrame, bits: int | None = None) -> DataFrame:
+    """``rows`` (locator and others) joined with ``asked`` (locator and others, a stored table), by a broadcast of few rows or else by a shuffle
+    of what may be asked for and little more."""
+    if asked.count() <= FEW:
+        return rows.join(F.broadcast(asked), "locator")
+    hashed = F.xxhash64("locator.file", "locator.row")
+    return in_bitmap(rows, hashed, asked.select(hashed.alias("hash")), bits).join(asked.hint("merge"), "locator")
+
+
 def file_locator(df: DataFrame) -> Column:
     """Where a row of a file-based DataFrame lies: its file and its place in it. Unique, and the same on every read. A column of the table's own
     that is called ``_metadata`` does no harm."""

@@ -14,10 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm.common import file_locator, shared_folder, small_side, stored
+from staffline.llm import common as limits
+from staffline.llm.common import asked_rows, file_locator, in_bitmap, shared_folder, small_side, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Bytes of the items' shingles up to which they are broadcast.
+ITEM_BYTES = 32 << 20
 #: Anything but letters and digits separates words.
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
@@ -66,7 +69,8 @@ def contained_items(
     Null and empty texts, and texts with fewer words than a shingle, contain nothing and are contained in
     nothing. Repeated rows on either side are reported each. Without ``locator``, ``docs`` is first written to the
     shared folder. The whole of every text is searched. Signatures and candidates are broadcast up to a number of
-    rows; more are joined by a shuffle, where Spark's skew handling splits hashes that many documents share.
+    rows; more are joined by a shuffle of the shingles and texts that a bitmap lets through, where Spark's skew handling splits hashes that
+    many documents share.
     """
     folder = shared_folder(spark)
     if locator is None:
@@ -77,10 +81,16 @@ def contained_items(
     items = items.select("item_id", "wanted", "hashes", file_locator(items).alias("item"))
     index = stored(signatures(items.select("item", "hashes"), threshold), f"{folder}/signatures")
 
+    # Above FEW rows the signatures' hashes alone, as a bitmap, decide which shingles are shuffled.
     hashes = placed.select("locator", F.explode(shingle_hashes(F.col("text"), shingle)).alias("hash"))
+    if index.count() > limits.FEW:
+        hashes = in_bitmap(hashes, F.col("hash"), index.select("hash"))
     candidates = stored(hashes.join(small_side(index), "hash").select("locator", "item").distinct(), f"{folder}/candidates")
 
-    paired = placed.join(small_side(candidates), "locator").join(items.select("item", "item_id", "wanted"), "item")
+    # Items are broadcast by the bytes of their shingles, as one item may have many.
+    held = items.agg(F.sum(F.octet_length(F.array_join("wanted", "")) + 24 * F.size("wanted"))).first()[0] or 0
+    wanted = items.select("item", "item_id", "wanted")
+    paired = asked_rows(placed, candidates).join(F.broadcast(wanted) if held <= ITEM_BYTES else wanted.hint("merge"), "item")
     common = F.size(F.array_intersect("wanted", shingle_texts(F.col("text"), shingle)))
     counted = paired.select("doc_id", "locator", "item_id", F.size("wanted").alias("n_shingles"), common.alias("n_common"))
     return counted.withColumn("containment", F.col("n_common") / F.col("n_shingles")).where(F.col("containment") >= threshold)

@@ -6,7 +6,7 @@ Equal digests are hits; their full texts are compared byte by byte, and texts th
 equal digests are separated by their bytes.
 
 The arrivals reach the state through a partial aggregate, so a text that a third of all rows share is
-one row for each task before the shuffle. The same holds for the comparison of full bytes.
+one row for each task before the shuffle. The same holds for the comparison of full bytes, which reads the texts of hits alone.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm.common import file_locator, shared_folder, stored
+from staffline.llm.common import asked_rows, file_locator, shared_folder, small_side, stored
 
 #: Keyed state on disk. Without preallocation, as a partition of the state may be far smaller than the
 #: 4 MB that RocksDB would set aside for each one's manifest.
@@ -69,7 +69,11 @@ def exact_dedup(
         entries = state.select("key.digest", F.col("value.min").alias("keep"), F.col("value.count").alias("group_size"))
         register = stored(entries, f"{folder}/register")
 
-    # Hits: rows that share a digest. Grouping by the text itself compares full bytes.
+    # Hits: rows that share a digest. Only their texts are read again; grouping by the text itself compares full bytes.
+    hits = stored(register.where("group_size > 1").select("digest"), f"{folder}/hits")
+    suspects = stored(arrivals.join(small_side(hits), "digest").select("locator", "digest"), f"{folder}/suspects")
+    placed = docs.select("doc_id", locator.alias("locator"), "text")
+    texts = asked_rows(placed, suspects).select("doc_id", "locator", "digest", normalised(F.col("text")).alias("norm"))
     by_bytes = texts.groupBy("digest", "norm").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     contents = by_bytes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     collided = stored(contents.where("texts > 1").select("digest"), f"{folder}/collided")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from staffline.llm.common import FEW, file_locator, shared_folder, ship_package, small_side, stored
+from staffline.llm.common import asked_rows, bitmap, file_locator, shared_folder, ship_package, small_side, stored
 
 WINDOW = 16
 RADIUS = 20
@@ -42,8 +42,8 @@ SLICE = 1 << 20
 SIDE = 16
 #: Bytes beside a seed that are compared. A chunk's cuts depend on less than that.
 REACH = 128
-#: Bits of the bitmaps that say which digests repeat (collected, 8 MB) and which rows are asked for (broadcast as 262,144 rows at most).
-DIGEST_BITS, ROW_BITS = 26, 24
+#: Bits of the bitmap that says which digests repeat: 8 MB, collected and broadcast.
+DIGEST_BITS = 26
 BLANK = b" \t\n\r\x0b\x0c"
 GEAR = np.random.default_rng(23).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -160,21 +160,9 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.withColumn("uid", F.monotonically_increasing_id())
 
 
-# ---------------------------------------------------------------- bitmaps
-
-
-def _bitmap(hashes: DataFrame, bits: int) -> DataFrame:
-    """(word, set): 64-bit words of a bitmap of 2 ** ``bits`` bits, in which the two places of each hash (its one long column) are set."""
-    low = F.lit((1 << bits) - 1)
-    value = F.col(hashes.columns[0])
-    place = F.explode(F.array(value.bitwiseAND(low), F.shiftrightunsigned(value, bits).bitwiseAND(low)))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
-    return hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("set"))
-
-
 def _repeated_chunks(rows: DataFrame, again: DataFrame) -> DataFrame:
     """uid, doc_id, digest, start, length, before and after of the chunks whose digest is in a bitmap of ``again`` (digest)."""
-    words = _bitmap(again.select("digest"), DIGEST_BITS).toArrow()
+    words = bitmap(again.select("digest"), DIGEST_BITS).toArrow()
     bitmap = np.zeros(1 << (DIGEST_BITS - 6), np.uint64)
     bitmap[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
     packed = rows.sparkSession.sparkContext.broadcast(bitmap)
@@ -213,22 +201,6 @@ def _repeated_chunks(rows: DataFrame, again: DataFrame) -> DataFrame:
     return rows.select("doc_id", "uid", "ends", "digests", "before", "after").mapInArrow(pick, schema)
 
 
-def _asked_rows(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of ``texts`` (locator, text) that join ``asked`` (locator), with little else shuffled."""
-    if asked.count() <= FEW:
-        return texts.join(F.broadcast(asked), "locator")
-    hashed = F.xxhash64("locator.file", "locator.row")
-    words = _bitmap(asked.select(hashed.alias("hash")), ROW_BITS)
-    low = F.lit((1 << ROW_BITS) - 1)
-    places = {"p": hashed.bitwiseAND(low), "q": F.shiftrightunsigned(hashed, ROW_BITS).bitwiseAND(low)}
-    some = texts.withColumns(places)
-    for name in places:
-        one = words.select(F.col("word").alias("w"), F.col("set").alias("s"))
-        bit = F.call_function("shiftrightunsigned", F.col("s"), F.col(name).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-        some = some.join(F.broadcast(one), (F.shiftright(name, 6) == F.col("w")) & (bit == 1), "left_semi")
-    return some.drop(*places).join(asked.hint("merge"), "locator")
-
-
 def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 128, locator: Column | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, repeated (whether it has a passage that occurs elsewhere), first_doc_ids
     (the documents that keep passages dropped here), spans, n_bytes, n_chunks, repeated_bytes, dropped_bytes.
@@ -290,7 +262,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 1
     asked = edges.select("uid", "at", "after").union(edges.select("other", "place", "after")).distinct()
     asked = asked.join(rows.select("uid", "locator", "n_bytes"), "uid").where("if(after, at < n_bytes, at > 0)")
     asked = stored(asked.groupBy("uid", "locator").agg(F.collect_list(F.struct("at", "after")).alias("asked")), f"{folder}/asked")
-    texts = _asked_rows(docs.select("locator", F.col("text").cast("binary").alias("text")), asked)
+    texts = asked_rows(docs.select("locator", F.col("text").cast("binary").alias("text")), asked)
     read = stored(_sides(texts.select("uid", "asked", "text")), f"{folder}/sides")
     theirs = read.select(F.col("uid").alias("other"), F.col("at").alias("place"), "after", F.col("side").alias("their_side"))
     both = edges.join(read, ["uid", "at", "after"]).join(theirs, ["other", "place", "after"]).select("uid", "at", "after", "side", "their_side")

@@ -83,3 +83,25 @@ def test_large_sides_are_joined_by_a_shuffle(spark, monkeypatch):
     found = D.contained_items(spark, docs, some).drop("locator")
     assert sorted(map(str, found.collect())) == want
     assert "SortMergeJoin" in found._jdf.queryExecution().toString()
+
+
+def test_only_what_a_bitmap_lets_through_is_shuffled(spark, tmp_path, monkeypatch):
+    """Above FEW signature rows, shingles pass the bitmap before any exchange."""
+    from staffline.llm import common
+
+    frame(spark, [(i, text(400)) for i in range(60)] + [(99, text(50) + " " + ITEMS[3][1])]).write.parquet(f"{tmp_path}/d")
+    docs, some = spark.read.parquet(f"{tmp_path}/d"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    monkeypatch.setattr(common, "FEW", 0)
+    passed = []
+    monkeypatch.setattr(D, "in_bitmap", lambda *a: passed.append(common.in_bitmap(*a)) or passed[0])
+    assert {(r.doc_id, r.item_id) for r in D.contained_items(spark, docs, some, common.file_locator(docs)).collect()} >= {(99, ITEMS[3][0])}
+    assert passed[0].count() < 60 * 396 / 10
+    plan = passed[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and "hashpartitioning(hash" not in plan
+
+
+def test_columns_called_metadata(spark):
+    some = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, _metadata string")
+    docs = frame(spark, documents()).selectExpr("*", "'x' AS _metadata")
+    got = D.contained_items(spark, docs, some).select("doc_id", "item_id").collect()
+    assert sorted(map(str, got)) == sorted(map(str, D.contained_items(spark, frame(spark, documents()), some.drop("_metadata")).select("doc_id", "item_id").collect()))

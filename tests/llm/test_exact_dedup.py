@@ -57,3 +57,13 @@ def test_settings_are_put_back(spark):
     before = spark.conf.get(name)
     exact_dedup(spark, frame(spark, [(1, "a")]))
     assert spark.conf.get(name) == before
+
+
+def test_many_hits_are_read_through_a_bitmap(spark, monkeypatch):
+    from staffline.llm import common
+
+    monkeypatch.setattr(common, "FEW", 0)
+    df = frame(spark, ROWS).selectExpr("*", "'x' AS _metadata")
+    for digest in (None, lambda c: F.substring(F.md5(c), 1, 1)):
+        got = exact_dedup(spark, df) if digest is None else exact_dedup(spark, df, digest=digest)
+        assert result(got) == expected(ROWS)

@@ -200,10 +200,10 @@ def test_rows_are_asked_for_by_bitmap(spark, monkeypatch):
     """Above FEW rows the texts go through bitmaps, and nothing is lost."""
     docs = rows()
     want = sorted(map(repr, S.repeated_passages(spark, frame(spark, docs)).collect()))
-    monkeypatch.setattr(S, "FEW", 0)
     monkeypatch.setattr(common, "FEW", 0)
     assert sorted(map(repr, S.repeated_passages(spark, frame(spark, docs)).collect())) == want
     for bits in (6, 8):  # full bitmaps let everything through
         monkeypatch.setattr(S, "DIGEST_BITS", bits)
-        monkeypatch.setattr(S, "ROW_BITS", bits)
+        monkeypatch.setattr(common, "LEAST_BITS", bits)
+        monkeypatch.setattr(common, "MOST_BITS", bits)
         assert sorted(map(repr, S.repeated_passages(spark, frame(spark, docs)).collect())) == want
