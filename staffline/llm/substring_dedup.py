@@ -5,7 +5,7 @@ The gear hash of a place depends on the 16 bytes that end there. A chunk ends wh
 shifts chunks without changing them, and equal passages are cut alike from a few bytes after they begin. Text with a short period has equally
 small hashes, one a period; it is cut at every so many of them, so all its chunks hold the same bytes wherever the text stands. Chunks are
 deduplicated by digest (with length); runs of neighbouring repeated chunks are the seeds of passages. A passage's edges lie
-outside its seed. Each chunk carries hashes of the 16 bytes on either side of it, by which an end of a seed finds documents that go on
+outside its seed. Each chunk carries hashes of the 32 bytes on either side of it, by which an end of a seed finds documents that go on
 alike; only then, or where the seed is nearly long enough already, are the bytes beside it fetched and compared, and what is equal
 belongs to the passage.
 
@@ -38,14 +38,15 @@ PERIODS = 32
 #: A chunk without any smallest place is cut every so many bytes.
 LONGEST = 1024
 SLICE = 1 << 20
-#: Bytes beside a chunk that its side hashes stand for.
-SIDE = 16
+#: Bytes beside a chunk that its side hashes stand for, a multiple of 8.
+SIDE = 32
 #: Bytes beside a seed that are compared. A chunk's cuts depend on less than that.
 REACH = 128
 #: Bits of the bitmap that says which digests repeat: 8 MB, collected and broadcast.
 DIGEST_BITS = 26
 BLANK = b" \t\n\r\x0b\x0c"
 GEAR = np.random.default_rng(23).integers(0, 1 << 32, 256, dtype=np.uint32)
+_FACTORS = np.random.default_rng(24).integers(0, 1 << 64, SIDE // 8, dtype=np.uint64) | np.uint64(1)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -119,7 +120,7 @@ def side_hashes(data: bytes, places: np.ndarray) -> np.ndarray:
     padded = np.concatenate([np.zeros(SIDE, np.uint8), np.frombuffer(data, np.uint8), np.zeros(SIDE, np.uint8)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, SIDE)
     words = np.ascontiguousarray(np.stack([windows[places], windows[places + SIDE]], axis=1)).view("<u8")
-    mixed = words[..., 0] * np.uint64(0x9E3779B97F4A7C15) ^ (words[..., 1] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = ((words ^ (words >> np.uint64(29))) * _FACTORS).sum(axis=-1, dtype=np.uint64)
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
@@ -163,9 +164,9 @@ def chunks(docs: DataFrame) -> DataFrame:
 def _repeated_chunks(rows: DataFrame, again: DataFrame) -> DataFrame:
     """uid, doc_id, digest, start, length, before and after of the chunks whose digest is in a bitmap of ``again`` (digest)."""
     words = bitmap(again.select("digest"), DIGEST_BITS).toArrow()
-    bitmap = np.zeros(1 << (DIGEST_BITS - 6), np.uint64)
-    bitmap[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
-    packed = rows.sparkSession.sparkContext.broadcast(bitmap)
+    bits = np.zeros(1 << (DIGEST_BITS - 6), np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    packed = rows.sparkSession.sparkContext.broadcast(bits)
     key, low = rows.schema["doc_id"], np.uint64((1 << DIGEST_BITS) - 1)
 
     def told(digests: np.ndarray) -> np.ndarray:
@@ -227,38 +228,33 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 1
     again = stored(spread.where("a != b").select("digest"), f"{folder}/again")
     shared = stored(_repeated_chunks(rows, again).join(small_side(again), "digest"), f"{folder}/shared")
 
-    rank, place = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "uid", "start"), F.struct("uid", "start")
-    groups = shared.groupBy("digest", "length").agg(F.min(rank).alias("first"), F.min(place).alias("a"), F.max(place).alias("b")).where("a.uid != b.uid")
-    other = F.when(F.col("b.uid") != F.col("first.uid"), F.col("b")).otherwise(F.col("a"))
-    groups = stored(groups.select("digest", "length", "first", other.alias("other")), f"{folder}/groups")
-    drop = F.col("uid") != F.col("first.uid")
-    beside = F.when(drop, F.struct("first.uid", "first.start")).otherwise(F.col("other"))
-    hit = F.struct("start", "length", F.col("first.doc_id").alias("first_doc_id"), drop.alias("drop"), beside.alias("beside"), "digest", "before", "after")
-    hits = shared.join(small_side(groups), ["digest", "length"]).select("uid", hit.alias("hit"))
-    by_document = hits.groupBy("uid").agg(F.collect_list("hit").alias("hits"))  # a document's own chunks, no more
-    span = f"struct<start: long, end: long, first_doc_id: {key}, drop: boolean>"
-    end = "struct<at: long, digest: long, length: int, side: int, uid: long, start: long>"
-    found = f"uid long, runs array<array<{span}>>, ends array<struct<size: long, before: {end}, after: {end}>>"
-    seeds = stored(_by_row(by_document, lambda row: runs(row["hits"]), found), f"{folder}/seeds")
+    place = F.struct("uid", "start")
+    rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "uid", "start")
+    groups = shared.groupBy("digest", "length").agg(F.min(rank).alias("first"), F.min(place).alias("a"), F.max(place).alias("b"))
+    groups = stored(groups.where("a.uid != b.uid"), f"{folder}/groups")
+    hits = shared.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "digest", "before", "after")).alias("hits"))  # a document's own chunks, no more
+    seeds = stored(_seeds(hits), f"{folder}/seeds")
 
     # Documents that go on alike beside the ends of a seed: up to two that have the chunk and its side hash.
-    ends = seeds.select("uid", F.explode("ends").alias("e")).select("uid", "e.size", "e.before", "e.after")
+    ends = seeds.drop("chunks")
     for which in ("before", "after"):
         alike = shared.groupBy("digest", "length", F.col(which).alias("side")).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a.uid != b.uid")
         alike = stored(alike, f"{folder}/alike-{which}")
         ends = ends.withColumns({k: F.col(f"{which}.{k}") for k in ("digest", "length", "side")}).join(small_side(alike), ["digest", "length", "side"], "left")
-        like = F.filter(F.array("a", "b"), lambda p: p["uid"] != F.col("uid"))
-        ends = ends.withColumn(f"like_{which}", like).drop("digest", "length", "side", "a", "b")
-    near = (F.col("size") >= least_bytes - 2 * (SIDE - 1)) | (F.size("like_before") > 0) | (F.size("like_after") > 0)
-
-    def side_of(which: str) -> Column:
-        """The place of this end, and the same place in the documents to compare with; without one that goes on alike, in any that has the chunk."""
-        one = F.col(which)
-        like = F.when(F.size(f"like_{which}") > 0, F.col(f"like_{which}")).otherwise(F.array(F.struct(one["uid"].alias("uid"), one["start"].alias("start"))))
-        shift = one["length"] if which == "after" else F.lit(0)
-        return F.transform(F.array_distinct(like), lambda p: F.struct(one["at"].alias("at"), F.lit(which == "after").alias("after"), p["uid"].alias("other"), (p["start"] + shift).alias("place")))
-
-    edges = stored(ends.where(near).select("uid", F.explode(F.concat(side_of("before"), side_of("after"))).alias("e")).select("uid", "e.*"), f"{folder}/edges")
+        ends = ends.withColumn(f"like_{which}", F.filter(F.array("a", "b"), lambda p: p["uid"] != F.col("uid"))).drop("digest", "length", "side", "a", "b")
+    near = (F.col("end") - F.col("start") >= least_bytes - 2 * (SIDE - 1)) | (F.size("like_before") > 0) | (F.size("like_after") > 0)
+    ends = stored(ends.where(near), f"{folder}/ends")
+
+    def sides(which: str) -> DataFrame:
+        """The place of this end of the near seeds, and the same place in documents to compare with; where none goes on alike, in another that has the chunk."""
+        one = ends.select("uid", F.col("end" if which == "after" else "start").alias("at"), F.col(f"{which}.digest").alias("digest"), F.col(f"{which}.length").alias("length"), F.col(f"like_{which}").alias("like"))
+        other = one.where("size(like) = 0").join(small_side(groups.select("digest", "length", "a", "b")), ["digest", "length"])
+        other = other.withColumn("like", F.slice(F.filter(F.array("a", "b"), lambda p: p["uid"] != F.col("uid")), 1, 1)).select(one.columns)
+        each = one.where("size(like) > 0").unionByName(other).select("uid", "at", "length", F.explode(F.array_distinct("like")).alias("p"))
+        shift = F.col("length") if which == "after" else F.lit(0)
+        return each.select("uid", "at", F.lit(which == "after").alias("after"), F.col("p.uid").alias("other"), (F.col("p.start") + shift).alias("place"))
+
+    edges = stored(sides("before").unionByName(sides("after")), f"{folder}/edges")
     asked = edges.select("uid", "at", "after").union(edges.select("other", "place", "after")).distinct()
     asked = asked.join(rows.select("uid", "locator", "n_bytes"), "uid").where("if(after, at < n_bytes, at > 0)")
     asked = stored(asked.groupBy("uid", "locator").agg(F.collect_list(F.struct("at", "after")).alias("asked")), f"{folder}/asked")
@@ -268,7 +264,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 1
     both = edges.join(read, ["uid", "at", "after"]).join(theirs, ["other", "place", "after"]).select("uid", "at", "after", "side", "their_side")
     grown = _by_row(both, lambda row: [row["at"], row["after"], *common(row["side"], row["their_side"], row["after"])], "uid long, at long, after boolean, same int, words int")
     growth = grown.groupBy("uid").agg(F.collect_list(F.struct("at", "after", "same", "words")).alias("growth"))
-    spans = _by_row(seeds.select("uid", "runs").join(growth, "uid", "left"), lambda row: [passages(row["runs"], row["growth"] or [], least_bytes)], f"uid long, spans array<{span}>")
+
+    # Seeds that make a passage; only of their chunks it is asked who had them first.
+    candidates = ends.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("runs")).join(growth, "uid", "left")
+    made = _by_row(candidates, lambda row: [passages(row["runs"], row["growth"] or [], least_bytes)], "uid long, passages array<struct<run: long, start: long, end: long>>")
+    made = stored(made.select("uid", F.explode("passages").alias("p")).select("uid", F.col("p.run").alias("run"), F.col("p.start").alias("from"), F.col("p.end").alias("to")), f"{folder}/passages")
+    chunk = seeds.select("uid", F.col("start").alias("run"), "chunks").join(small_side(made), ["uid", "run"]).select("uid", "run", "from", "to", F.explode("chunks").alias("c"))
+    drop = F.col("uid") != F.col("first.uid")
+    owned = chunk.select("uid", "run", "from", "to", "c.start", "c.length", "c.digest").join(small_side(groups.select("digest", "length", "first")), ["digest", "length"])
+    owned = owned.groupBy("uid").agg(F.collect_list(F.struct("run", "from", "to", "start", "length", F.col("first.doc_id").alias("first_doc_id"), drop.alias("drop"))).alias("chunks"))
+    span = f"struct<start: long, end: long, first_doc_id: {key}, drop: boolean>"
+    spans = _by_row(owned, lambda row: [entries(row["chunks"])], f"uid long, spans array<{span}>")
 
     whole = rows.select("uid", "doc_id", "n_bytes", F.size("ends").alias("n_chunks")).join(spans, "uid", "left")
     none = F.array().cast(spans.schema["spans"].dataType)
@@ -323,24 +329,39 @@ def _bytes_in(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def runs(hits: list[dict]) -> list[list]:
-    """Runs of neighbouring chunks, split where ``first_doc_id`` or ``drop`` changes; and of each run its size and its ends: the place, the chunk
-    there with its side hash, and where another document has that chunk."""
-    found: list[list[dict]] = []
-    ends: list[dict] = []
-    for hit in sorted(hits, key=lambda h: h["start"]):
-        start, end = hit["start"], hit["start"] + hit["length"]
-        chunk = {"digest": hit["digest"], "length": hit["length"], **hit["beside"]}
-        run = found[-1] if found and found[-1][-1]["end"] == start else None
-        if run is None:
-            found.append(run := [])
-            ends.append({"size": 0, "before": {"at": start, "side": hit["before"], **chunk}})
-        ends[-1] |= {"size": ends[-1]["size"] + hit["length"], "after": {"at": end, "side": hit["after"], **chunk}}
-        if run and (run[-1]["first_doc_id"], run[-1]["drop"]) == (hit["first_doc_id"], hit["drop"]):
-            run[-1]["end"] = end
-        else:
-            run.append({"start": start, "end": end, "first_doc_id": hit["first_doc_id"], "drop": hit["drop"]})
-    return [found, ends]
+def _seeds(hits: DataFrame) -> DataFrame:
+    """One row for each run of neighbouring chunks of a document (uid, hits): uid, start, end, the chunk at either end (before, after) with its side
+    hash, and all its chunks. A batch of documents is cut into runs at once."""
+    end = "struct<digest: long, length: int, side: int>"
+    schema = f"uid long, start long, end long, before {end}, after {end}, chunks array<struct<start: long, length: int, digest: long>>"
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                hit = part.column("hits").flatten()
+                row = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column("hits")).to_numpy())
+                field = {f.name: hit.field(f.name).to_numpy() for f in hit.type}
+                order = np.lexsort((field["start"], row))
+                row, field = row[order], {k: v[order] for k, v in field.items()}
+                ends = field["start"] + field["length"]
+                fresh = np.append(True, (row[1:] != row[:-1]) | (field["start"][1:] != ends[:-1])) if len(row) else np.zeros(0, bool)
+                heads = np.flatnonzero(fresh)
+                tails = np.append(heads[1:], len(row)) - 1 if len(heads) else heads
+                offsets = pa.array(np.append(heads, len(row)).astype(np.int32))
+                inner = kinds.field("chunks").type.value_type
+                chunks = pa.StructArray.from_arrays([pa.array(field[f.name], f.type) for f in inner], fields=list(inner))
+                sides = [
+                    pa.StructArray.from_arrays([pa.array(field["digest"][at]), pa.array(field["length"][at]), pa.array(field[name][at])], fields=list(kinds.field(name).type))
+                    for name, at in (("before", heads), ("after", tails))
+                ]
+                uid = part.column("uid").take(pa.array(row[heads]))
+                yield pa.RecordBatch.from_arrays(
+                    [uid, pa.array(field["start"][heads]), pa.array(ends[tails]), *sides, pa.ListArray.from_arrays(offsets, chunks, type=kinds.field("chunks").type)], schema=kinds
+                )
+
+    return hits.mapInArrow(find, schema)
 
 
 def common(own: bytes, other: bytes, after: bool) -> tuple[int, int]:
@@ -353,28 +374,48 @@ def common(own: bytes, other: bytes, after: bool) -> tuple[int, int]:
     return same, next((i for i in range(same - 1, 0, -1) if own[i] in BLANK), 0)
 
 
-def passages(seeds: list[list[dict]], growth: list[dict], least_bytes: int) -> list[dict]:
-    """The entries of the ``seeds`` that make up at least ``least_bytes`` with the equal bytes beside them, grown by whole words.
-    Seeds that meet so are one passage."""
+def passages(runs: list[dict], growth: list[dict], least_bytes: int) -> list[dict]:
+    """The ``runs`` (start, end) that make up at least ``least_bytes`` with the equal bytes beside them, grown by whole words. Runs that meet so are one
+    passage."""
     growth = sorted(growth, key=lambda g: (g["same"], g["words"]))  # of two documents compared, the one that goes on longer
     same = {(g["at"], g["after"]): g["same"] for g in growth}
     words = {(g["at"], g["after"]): g["words"] for g in growth}
-    met: list[list] = []  # start, end, seeds
-    for run in seeds:
-        start, end = run[0]["start"] - same.get((run[0]["start"], False), 0), run[-1]["end"] + same.get((run[-1]["end"], True), 0)
+    met: list[list] = []  # start, end, runs
+    for run in sorted(runs, key=lambda r: r["start"]):
+        start, end = run["start"] - same.get((run["start"], False), 0), run["end"] + same.get((run["end"], True), 0)
         if met and start <= met[-1][1]:
             met[-1][1] = max(end, met[-1][1])
             met[-1][2].append(run)
         else:
             met.append([start, end, [run]])
     kept = [run for start, end, own in met if end - start >= least_bytes for run in own]
-    at = 0
+    found, at = [], 0
     for i, run in enumerate(kept):
-        stop = kept[i + 1][0]["start"] if i + 1 < len(kept) else run[-1]["end"] + REACH
-        start, end = run[0]["start"], run[-1]["end"]
-        run[0]["start"] = max(at, start - words.get((start, False), 0))
-        run[-1]["end"] = at = min(stop, end + words.get((end, True), 0))
-    return [entry for run in kept for entry in run]
+        stop = kept[i + 1]["start"] if i + 1 < len(kept) else run["end"] + REACH
+        start = max(at, run["start"] - words.get((run["start"], False), 0))
+        at = min(stop, run["end"] + words.get((run["end"], True), 0))
+        found.append({"run": run["start"], "start": start, "end": at})
+    return found
+
+
+def entries(chunks: list[dict]) -> list[dict]:
+    """A document's passages from their chunks, divided where ``first_doc_id`` or ``drop`` changes."""
+    found: list[dict] = []
+    run = None
+    for c in sorted(chunks, key=lambda c: c["start"]):
+        who = {"first_doc_id": c["first_doc_id"], "drop": c["drop"]}
+        if run != c["run"]:
+            if found:
+                found[-1]["end"] = to
+            run, to = c["run"], c["to"]
+            found.append({"start": c["from"], "end": c["start"] + c["length"], **who})
+        elif {k: found[-1][k] for k in who} == who:
+            found[-1]["end"] = c["start"] + c["length"]
+        else:
+            found.append({"start": c["start"], "end": c["start"] + c["length"], **who})
+    if found:
+        found[-1]["end"] = to
+    return found
 
 
 def without_spans(text: bytes, spans: list[dict]) -> bytes:

@@ -102,6 +102,7 @@ def test_only_what_a_bitmap_lets_through_is_shuffled(spark, tmp_path, monkeypatc
 
 def test_columns_called_metadata(spark):
     some = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, _metadata string")
-    docs = frame(spark, documents()).selectExpr("*", "'x' AS _metadata")
+    plain = documents()
+    docs = frame(spark, plain).selectExpr("*", "'x' AS _metadata")
     got = D.contained_items(spark, docs, some).select("doc_id", "item_id").collect()
-    assert sorted(map(str, got)) == sorted(map(str, D.contained_items(spark, frame(spark, documents()), some.drop("_metadata")).select("doc_id", "item_id").collect()))
+    assert sorted(map(str, got)) == sorted(map(str, D.contained_items(spark, frame(spark, plain), some.drop("_metadata")).select("doc_id", "item_id").collect()))
