@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Ids, as_ids, restrict_ids
-from ..schemas import BENEFIT_VIEWS, BENEFITS, EMPLOYEES, SANITIZE_TOKENS
+from ..schemas import BENEFIT_VIEWS, BENEFITS, EMPLOYEES, SANITIZE_MAX_LENGTH, SANITIZE_TOKENS
 from ..validate import present
 
-_REMOVED = "|".join(map(re.escape, SANITIZE_TOKENS))
-
-
 def benefit_view(benefit_type: str | None) -> tuple[str, ...] | None:
-    """Columns of the benefit sub-record for a ``benefit_type`` argument, which names a view in any case, with tokens that
-    the sanitiser removes anywhere in it and white space around it; any other value gives no sub-record (and never
+    """Columns of the benefit sub-record for a ``benefit_type`` argument: it names a view in any case, after the sanitiser's tokens
+    are removed from it one after the other, as ``sanitize_column`` does; any other value gives no sub-record (and never
     changes the row count)."""
     if not present(benefit_type):
         return None
-    inside, around = f"(?:{_REMOVED})*", rf"(?:{_REMOVED}|\s)*"
-    for name, columns in BENEFIT_VIEWS.items():
-        if re.fullmatch(around + inside.join(name) + around, str(benefit_type).lower()):
-            return columns
-    return None
+    bare = reduce(lambda text, token: "".join(text.split(token)), SANITIZE_TOKENS, str(benefit_type).lower())
+    return BENEFIT_VIEWS.get(bare.strip()[:SANITIZE_MAX_LENGTH])
 
 
 def employee_benefits(

@@ -7,9 +7,12 @@ looking its two names up, the summary by one query per metric.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from ..functions.text import STRIP_CHARS
 from ..schemas import (
-    BENEFIT_COLUMNS, DEPARTMENTS, EMPLOYEE_COLUMNS, EMPLOYEE_ID_RANGE, LEAVE_STATUSES, OFFICE_LOCATIONS, REVIEW_PERIODS, SANITIZE_TOKENS,
+    BENEFIT_COLUMNS, DEPARTMENTS, EMPLOYEE_COLUMNS, EMPLOYEE_ID_RANGE, LEAVE_STATUSES, OFFICE_LOCATIONS, PERFORMANCE_FIELDS, REVIEW_PERIODS,
+    SANITIZE_TOKENS,
 )
 from ..sources.fixtures import AS_OF, LEAVE_DATE_SHIFT_DAYS
 from . import params as P
@@ -60,6 +63,10 @@ NOW = f"TIMESTAMP '{AS_OF}'"
 TODAY = f"CAST({NOW} AS DATE)"
 
 EMP, BEN = EMPLOYEE_COLUMNS, BENEFIT_COLUMNS
+# The lists' columns in the order of their JSON text.
+LEAVE_JSON = ("request_id", "employee_id", "approver_id", "leave_type", "status", "submitted_timestamp", "employee_name", "department", "approver_name")
+REVIEWS_JSON = ("review_id", "employee_id", "reviewer_id", "review_period", "review_date", "goals_achievement", "technical_skills", "communication",
+                "overall_rating", "employee_name", "department", "reviewer_name")
 EMP_NO_SALARY = tuple(c for c in EMP if c != "salary")
 
 
@@ -146,6 +153,37 @@ LEFT JOIN nw ON e.employee_id = nw.employee_id
 """)
 
 
+def _renamed(inner: str, parts: dict[str, tuple[str, ...]]) -> str:
+    """The columns of ``inner`` under the names that they have in the nested form."""
+    shown = ", ".join(f"{c} AS {part}_{c}" for part, columns in parts.items() for c in columns)
+    return f"SELECT employee_id, {shown} FROM ({inner})"
+
+
+def _json_text(column: str, kind: str = "") -> str:
+    value = f"strftime({column}, '%Y-%m-%dT%H:%M:%S.%g')" if kind == "timestamp" else column
+    return f"""'"{column}":' || to_json({value})::VARCHAR"""
+
+
+def _json_object(columns: Iterable[str], sparse: bool = False, timestamps: tuple[str, ...] = ()) -> str:
+    members = [_json_text(c, "timestamp" if c in timestamps else "") for c in columns]
+    if not sparse:
+        members = [f"""coalesce({m}, '"{c}":null')""" for c, m in zip(columns, members, strict=True)]
+    return f"'{{' || array_to_string(list_filter([{', '.join(members)}], lambda m: m IS NOT NULL), ',') || '}}'"
+
+
+def _profile_json(inner: str, basic: tuple[str, ...], with_benefits: bool = True) -> str:
+    """The profile as JSON text: null fields are kept in the employee's part only."""
+    parts = [f"""'"employee_id":' || employee_id""", f"""'"basic_info":' || {_json_object(basic)}"""]
+    if with_benefits:
+        parts.append(f"""'"benefits":' || {_json_object(BEN, sparse=True)}""")
+    parts.append(f"""'"performance_summary":' || {_json_object(PERFORMANCE_FIELDS, sparse=True)}""")
+    return f"SELECT '{{' || concat_ws(',', {', '.join(parts)}) || '}}' AS json FROM ({inner})"
+
+
+def _rows_json(inner: str, columns: Iterable[str], timestamps: tuple[str, ...] = ()) -> str:
+    return f"SELECT {_json_object(list(columns), timestamps=timestamps)} AS json FROM ({inner})"
+
+
 # --- R2 ---------------------------------------------------------------------
 
 def _looked_up(column: str, person: str) -> str:
@@ -309,6 +347,21 @@ def report_sql() -> dict[str, str]:
             where="WHERE e.employee_id IN (SELECT approver_id FROM leave_requests)"),
         "employee_profile_one": _profile_fanout(EMP_NO_SALARY, True, f"WHERE who.employee_id = {P.ONE_EMPLOYEE}"),
         "employee_profile_exact_one": _profile_exact(where=f"WHERE e.employee_id = {P.ONE_EMPLOYEE}"),
+        "employee_profile_nested": _renamed(_profile_fanout(EMP, True), {
+            "basic_info": (*EMP_NO_SALARY, "salary"), "benefits": tuple(BEN), "performance_summary": PERFORMANCE_FIELDS}),
+        "employee_profile_exact_nested": _renamed(_profile_exact(), {
+            "basic_info": tuple(EMP_NO_SALARY), "benefits": tuple(BEN), "performance_summary": (*PERFORMANCE_FIELDS, "newest_review_rating")}),
+        "employee_profile_json": _profile_json(_profile_fanout(EMP_NO_SALARY, True), tuple(EMP_NO_SALARY)),
+        "employee_profile_json_salary": _profile_json(_profile_fanout(EMP, False), (*EMP_NO_SALARY, "salary"), with_benefits=False),
+        "leave_json": _rows_json(
+            _leave("TRUE", P.LEAVE_LIMIT), LEAVE_JSON, timestamps=("submitted_timestamp",)),
+        "reviews_json": _rows_json(_reviews("TRUE", P.REVIEW_LIMIT), REVIEWS_JSON),
+        "benefits_cleaned_health": _benefits(view=("health_plan", "dental_coverage", "vision_coverage")),
+        "benefits_cleaned_retirement": _benefits(
+            "employee_benefits.employee_id IN (SELECT employee_id FROM leave_requests WHERE status = 'Pending')",
+            view=("retirement_plan", "company_match_percent")),
+        "hr_summary_without_reviews": f"SELECT * FROM ({_summary(P.SUMMARY_DAYS)}) WHERE section <> 'performance_reviews' UNION ALL "
+            "SELECT 'performance_reviews', 'error', 'table performance_reviews is missing', NULL",
         "benefits_one": _benefits(f"employee_benefits.employee_id = {P.ONE_EMPLOYEE}"),
         "leave_one": _leave(f"leave_requests.employee_id = {P.ONE_EMPLOYEE}", P.LEAVE_LIMIT),
         "reviews_one": _reviews(f"performance_reviews.employee_id = {P.ONE_EMPLOYEE}", P.REVIEW_LIMIT),

@@ -6,6 +6,10 @@ from ..schemas import DEPARTMENTS, LEAVE_STATUSES, OFFICE_LOCATIONS, REVIEW_PERI
 # An employee with leave requests and reviews at every scale factor.
 ONE_EMPLOYEE = 10
 
+# Benefit views that only show once the sanitiser's tokens are removed, one after the other.
+UNCLEAN_HEALTH = " He-;-al/'*th "
+UNCLEAN_RETIREMENT = "401<>k'"
+
 SEARCH_DEPARTMENT = "Engineering"
 SEARCH_ROLE = "MACH"
 SEARCH_OFFICE = "Austin"

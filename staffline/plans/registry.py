@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as ops
+from ..functions import json_lines
 from ..schemas import BENEFITS, EMPLOYEES, LEAVE, REVIEWS, TABLE_NAMES
 from ..sources.fixtures import AS_OF, fixture_tables
 from . import params as P
@@ -26,6 +27,12 @@ def _flat_benefits(df: DataFrame) -> DataFrame:
                      *[F.col(f"filtered_benefits.{c}").alias(f"filtered_{c}") for c in inner])
 
 
+def _flat_profile(df: DataFrame) -> DataFrame:
+    """Every field of the nested profile as a column named after its part."""
+    parts = [f.name for f in df.schema if f.name != "employee_id"]
+    return df.select("employee_id", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in parts for c in df.schema[p].dataType.fieldNames()))
+
+
 def _q(build: Callable[[dict[str, DataFrame]], DataFrame], *names: str) -> Query:
     """A report over the fixture tables ``names`` (all of them if none is given)."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +70,13 @@ def queries() -> dict[str, Query]:
         "employee_profile_exact_ids": _q(lambda t: ops.employee_profile_exact(t, ids=_approvers(t))),
         "employee_profile_one": _q(lambda t: ops.employee_profile(t, ids=P.ONE_EMPLOYEE)),
         "employee_profile_exact_one": _q(lambda t: ops.employee_profile_exact(t, ids=[P.ONE_EMPLOYEE])),
+        # The nested form, field by field, and as JSON text
+        "employee_profile_nested": _q(lambda t: _flat_profile(ops.employee_profile(t, include_salary=True, nested=True))),
+        "employee_profile_exact_nested": _q(lambda t: _flat_profile(ops.employee_profile_exact(t, nested=True))),
+        "employee_profile_json": _q(lambda t: json_lines(ops.employee_profile(t, nested=True))),
+        "employee_profile_json_salary": _q(lambda t: json_lines(ops.employee_profile(t, include_salary=True, include_benefits=False, nested=True))),
+        "leave_json": _q(lambda t: json_lines(ops.leave_requests(t, limit=P.LEAVE_LIMIT)), EMPLOYEES, LEAVE),
+        "reviews_json": _q(lambda t: json_lines(ops.performance_reviews(t, limit=P.REVIEW_LIMIT)), EMPLOYEES, REVIEWS),
         # R2
         "benefits_all": _q(lambda t: ops.employee_benefits(t), EMPLOYEES, BENEFITS),
         "benefits_by_id": _q(lambda t: ops.employee_benefits(t, ids=_pending_requesters(t)), EMPLOYEES, BENEFITS, LEAVE),
@@ -70,6 +84,10 @@ def queries() -> dict[str, Query]:
         "benefits_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(t, benefit_type="401k")), EMPLOYEES, BENEFITS),
         "benefits_by_id_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(
             t, ids=_pending_requesters(t), benefit_type="retirement")), EMPLOYEES, BENEFITS, LEAVE),
+        "benefits_cleaned_health": _q(lambda t: _flat_benefits(ops.employee_benefits(
+            t, benefit_type=P.UNCLEAN_HEALTH)), EMPLOYEES, BENEFITS),
+        "benefits_cleaned_retirement": _q(lambda t: _flat_benefits(ops.employee_benefits(
+            t, ids=_pending_requesters(t), benefit_type=P.UNCLEAN_RETIREMENT)), EMPLOYEES, BENEFITS, LEAVE),
         "benefits_one": _q(lambda t: ops.employee_benefits(t, ids=P.ONE_EMPLOYEE), EMPLOYEES, BENEFITS),
         # R3
         "search_department": _q(lambda t: ops.search_employees(
@@ -112,6 +130,7 @@ def queries() -> dict[str, Query]:
         "hr_summary": _q(lambda t: ops.hr_summary(t, sd, as_of=AS_OF)),
         "hr_summary_week": _q(lambda t: ops.hr_summary(t, P.SUMMARY_DAYS_SHORT, as_of=AS_OF)),
         "hr_summary_year": _q(lambda t: ops.hr_summary(t, P.SUMMARY_DAYS_LONG, as_of=AS_OF)),
+        "hr_summary_without_reviews": _q(lambda t: ops.hr_summary({k: v for k, v in t.items() if k != REVIEWS}, sd, as_of=AS_OF)),
         "leave_status_breakdown_year": _q(lambda t: ops.leave_status_breakdown(
             t, P.SUMMARY_DAYS_LONG, as_of=AS_OF), LEAVE),
         # Q1

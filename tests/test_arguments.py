@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from staffline import (
     search_employees,
 )
 from staffline.functions import as_ids, json_lines, parse_as_of
+from staffline.functions.text import sanitize_column
+from staffline.operators.benefits import benefit_view
 from staffline.operators.quality import Rule
-from staffline.schemas import BENEFITS, EMPLOYEES, LEAVE, REVIEWS
+from staffline.schemas import BENEFIT_VIEWS, BENEFITS, EMPLOYEES, LEAVE, REVIEWS, SANITIZE_TOKENS
 from staffline.sources import catalog_tables, qualified_name
 
 from .conftest import benefit, leave_row, make_tables, review_row
@@ -199,3 +202,18 @@ def test_catalog_tables(spark, tables):
     assert set(found) == set(tables) and isinstance(found[BENEFITS].schema, T.StructType)
     assert sorted(employee_profile(found).collect()) == sorted(employee_profile(tables).collect())
     assert leave_requests(found, ids=203).count() == 3
+
+
+def test_benefit_type_is_cleaned_like_a_column(spark):
+    """Random arguments made of view names and the sanitiser's tokens: the view is that of the argument cleaned as a column is."""
+    rng = random.Random(8)
+    pieces = [*SANITIZE_TOKENS, *SANITIZE_TOKENS, "-", "/", "*", " ", "\t", " ", "x"]
+    given = ["he-;-alth", "health/'*", "he/%*alth", "-\\-health", " Medical;", "40\"1k", "", "  ", "';", "health" + " " * 120, "x" * 100 + "health"]
+    for _ in range(400):
+        name = list(rng.choice(["health", "Medical", "RETIREMENT", "401k"]))
+        for _ in range(rng.randint(0, 4)):
+            name.insert(rng.randint(0, len(name)), rng.choice(pieces))
+        given.append("".join(name))
+    cleaned = spark.createDataFrame([(g,) for g in given], "g string").select("g", sanitize_column(F.lower("g")).alias("c")).collect()
+    assert [benefit_view(r.g) for r in cleaned] == [BENEFIT_VIEWS.get(r.c) for r in cleaned]
+    assert [benefit_view(g) is not None for g in given[:6]] == [True, True, False, False, True, True]
