@@ -5,9 +5,9 @@ into one machine: insults and threats mark cores, negation and reported speech q
 transducer holds a core back until it knows whether its clause is aimed at someone. The machine's outputs are matched
 clauses such as ``insult+aimed`` or ``threat+reported``; a text's score is a logistic function of the sum of their weights.
 
-Closed classes are fixed word lists. Insults are seeds and word stems that the labelled rows show to be insults, so
+Closed classes are fixed word lists of four languages. Insults are seeds and word stems that the labelled rows show to be insults, so
 inflected forms and other languages count; the weights of the outputs are fitted to the labelled rows, starting
-from prior weights.
+from prior weights. A quotation goes on over the ends of sentences until it is closed or its paragraph ends.
 """
 
 from __future__ import annotations
@@ -25,18 +25,33 @@ from pyspark.sql import types as T
 
 from staffline.llm.common import shared_folder, ship_package, stored
 
-OTHER, END, QUOTE, INSULT, INTENT, HARM, TARGET, NEGATION, REPORT = range(9)
+OTHER, END, QUOTE, INSULT, INTENT, HARM, TARGET, NEGATION, REPORT, PARAGRAPH = range(10)
+#: Words by class: English, German, French, Spanish.
 CLASSES: dict[int, str] = {
     INSULT: "idiot idiots moron morons stupid imbecile dumb fool foolish loser losers scum trash garbage worthless pathetic disgusting "
-    "vermin pig filth filthy jerk clown clowns dimwit cretin retard retarded bastard bastards bitch asshole",
-    INTENT: "will gonna going shall must should deserve deserves ought",
-    HARM: "kill hurt beat burn destroy shoot stab hang hunt crush murder die punch strangle",
-    TARGET: "you your yours yourself he him his she her they them their these those people everyone",
-    NEGATION: "not no never neither nor without isn't aren't wasn't don't doesn't didn't won't can't cannot",
-    REPORT: "said says say wrote writes claimed claims called calls quoted reported according alleged tweeted",
+    "vermin pig filth filthy jerk clown clowns dimwit cretin retard retarded bastard bastards bitch asshole "
+    "dumm dumme dummer dummkopf trottel arschloch abschaum wertlos "
+    "imbécile imbéciles crétin crétins débile connard connasse salaud salope ordure "
+    "idiota idiotas estúpido estúpida estúpidos imbécil imbéciles pendejo cabrón gilipollas escoria",
+    INTENT: "will gonna going shall must should deserve deserves ought "
+    "werde wirst wird werden sollst sollte verdienst vais vas va vont mérites voy vas vamos van mereces",
+    HARM: "kill hurt beat burn destroy shoot stab hang hunt crush murder die punch strangle "
+    "töten umbringen schlagen verprügeln verbrennen tuer frapper brûler étrangler matar golpear quemar",
+    TARGET: "you your yours yourself he him his she her they them their these those people everyone "
+    "du dich dir dein deine er ihn ihm sie ihnen ihr euch eure tu te toi ton ta tes vous votre vos il lui elle ils elles eux leur leurs "
+    "tú ti tus usted ustedes vosotros él ella ellos ellas",
+    NEGATION: "not no never neither nor without isn't aren't wasn't don't doesn't didn't won't can't cannot "
+    "nicht kein keine keinen keinem keiner nie niemals weder ohne ne pas jamais aucun aucune sans ni nunca jamás tampoco ningún ninguna sin",
+    REPORT: "said says say wrote writes claimed claims called calls quoted reported according alleged tweeted "
+    "sagte sagt schrieb schreibt behauptete behauptet nannte nennt laut angeblich "
+    "dit disait déclare déclaré écrit affirme affirmé appelle appelé selon prétend dijo dice escribió escribe afirma afirmó llamó llama según",
 }
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]")
-_QUOTES = frozenset('"“”«»')
+#: Shortened words that stand before an apostrophe; the word after it has its own class. The first one is a negation.
+ELISIONS = ("n", "l", "d", "j", "m", "t", "s", "c", "qu")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”„‟«»‹›]")
+#: Signs that open a quotation where none is open, and close one where it is: languages use them either way.
+_QUOTES = frozenset('"“”„‟«»‹›')
+_APOSTROPHES = "’ʼ‘´`"
 #: How many words an intent reaches to a harm, and a negation to a core.
 THREAT_REACH, NEGATION_REACH = 4, 3
 
@@ -74,7 +89,7 @@ def insult_step(state: object, symbol: int) -> tuple[object, tuple[int, ...]]:
 
 def threat_step(state: int, symbol: int) -> tuple[int, tuple[int, ...]]:
     """An intent followed within reach by a harm is a threat; a harm alone is an ordinary word."""
-    if symbol in (END, QUOTE):
+    if symbol in (END, PARAGRAPH, QUOTE):
         return 0, (symbol,)
     if symbol == INTENT:
         return THREAT_REACH, (symbol,)
@@ -84,7 +99,7 @@ def threat_step(state: int, symbol: int) -> tuple[int, tuple[int, ...]]:
 
 
 def negation_step(state: int, symbol: int) -> tuple[int, tuple[int, ...]]:
-    if symbol == END:
+    if symbol in (END, PARAGRAPH):
         return 0, (symbol,)
     if symbol == NEGATION:
         return NEGATION_REACH, (symbol,)
@@ -94,9 +109,12 @@ def negation_step(state: int, symbol: int) -> tuple[int, tuple[int, ...]]:
 
 
 def report_step(state: tuple[bool, bool], symbol: int) -> tuple[tuple[bool, bool], tuple[int, ...]]:
-    """What follows a verb of saying in its sentence, or stands in quotes, is reported (unless negated already)."""
+    """What follows a verb of saying in its sentence, or stands in quotes, is reported (unless negated already). Quotes last until they are
+    closed, a paragraph long at most."""
     said, quoted = state
     if symbol == END:
+        return (False, quoted), (symbol,)
+    if symbol == PARAGRAPH:
         return (False, False), (symbol,)
     if symbol == QUOTE:
         return (said, not quoted), (symbol,)
@@ -110,7 +128,7 @@ def report_step(state: tuple[bool, bool], symbol: int) -> tuple[tuple[bool, bool
 def target_step(state: tuple[bool, int], symbol: int) -> tuple[tuple[bool, int], tuple[int, ...]]:
     """Holds the last core of the clause back until a target, another core or the clause's end."""
     aimed, held = state
-    if symbol == END:
+    if symbol in (END, PARAGRAPH):
         return (False, 0), ((held + aimed,) if held else ())
     if symbol == TARGET:
         return (True, held), ()
@@ -133,7 +151,7 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer((first.start, second.start), step)
 
 
-def compiled(machine: Transducer, symbols: range = range(9)) -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
+def compiled(machine: Transducer, symbols: range = range(10)) -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
     """Tables of next states and outputs (as indices of LABELS) over all reachable states; 0 is the start."""
     number, order = {machine.start: 0}, [machine.start]
     following: list[list[int]] = []
@@ -160,27 +178,40 @@ def grammar() -> Transducer:
 
 
 FOLLOWING, OUTPUT = compiled(grammar())
+#: The states in which a clause begins: outside a quotation, and in one.
+BEGIN = (0, FOLLOWING[FOLLOWING[0][QUOTE]][END])
 
 
 # ---------------------------------------------------------------- texts
 
 
 def base_classes() -> dict[str, int]:
-    return {word: c for c, words in CLASSES.items() for word in words.split()} | dict.fromkeys(".!?;:\n", END) | dict.fromkeys(_QUOTES, QUOTE)
+    return {word: c for c, words in CLASSES.items() for word in words.split()} | dict.fromkeys(".!?;:", END) | {"\n": PARAGRAPH} | dict.fromkeys(_QUOTES, QUOTE)
+
+
+def tokens(text: str) -> list[str]:
+    text = text.lower()
+    for sign in _APOSTROPHES:
+        text = text.replace(sign, "'")
+    return _TOKEN.findall(text)
 
 
 def clause_counts(text: str, lexicon: Lexicon) -> np.ndarray:
-    """How often each of LABELS is matched in ``text``. Clauses without a core put nothing out and are passed over."""
+    """How often each of LABELS is matched in ``text``. Clauses without a core put nothing out and are passed over; of what is before a
+    clause only matters whether it leaves a quotation open."""
     counts = np.zeros(len(LABELS))
-    found = [lexicon[token] for token in _TOKEN.findall(text.lower())]
+    found = [lexicon[token] for token in tokens(text)]
     codes = np.array(found, np.uint8)
     cores = np.flatnonzero((codes == INSULT) | (codes == HARM))
     if not len(cores):
         return counts
-    ends = np.concatenate([[-1], np.flatnonzero(codes == END), [len(codes)]])
+    ends = np.concatenate([[-1], np.flatnonzero((codes == END) | (codes == PARAGRAPH)), [len(codes)]])
+    quotes = np.concatenate([[0], np.cumsum(codes == QUOTE)])  # before each place
+    paragraphs = np.concatenate([[0], np.flatnonzero(codes == PARAGRAPH) + 1])
     for clause in np.unique(np.searchsorted(ends, cores)):
-        state = 0
-        for symbol in (*found[ends[clause - 1] + 1 : ends[clause]], END):
+        start = ends[clause - 1] + 1
+        state = BEGIN[(quotes[start] - quotes[paragraphs[np.searchsorted(paragraphs, start, "right") - 1]]) % 2]
+        for symbol in (*found[start : ends[clause]], END):
             for label in OUTPUT[state][symbol]:
                 counts[label] += 1
             state = FOLLOWING[state][symbol]
@@ -201,7 +232,14 @@ class Lexicon(dict):
         if len(self) > self.REMEMBERED:
             self.clear()
             self.update(base_classes())
-        self[token] = found = INSULT if token in self.stems or any(token[:n] in self.stems for n in self.lengths) else OTHER
+        head, apostrophe, tail = token.partition("'")
+        if token in self.stems or any(token[:n] in self.stems for n in self.lengths):
+            found = INSULT
+        elif apostrophe and head in ELISIONS:
+            found = NEGATION if head == ELISIONS[0] else self[tail]
+        else:
+            found = OTHER
+        self[token] = found
         return found
 
 
@@ -239,7 +277,7 @@ STEM_LENGTHS = range(4, 9)
 
 
 def stems_of(text: str) -> set[str]:
-    words = {w for w in _TOKEN.findall(text.lower()) if len(w) > 2}
+    words = {w for w in tokens(text) if len(w) > 2}
     return {w[:n] for w in words for n in STEM_LENGTHS if n <= max(len(w), STEM_LENGTHS[0])}
 
 
