@@ -89,7 +89,7 @@ def in_bitmap(rows: DataFrame, hashed: Column, hashes: DataFrame, bits: int | No
 def asked_rows(rows: DataFrame, asked: DataFrame, bits: int | None = None) -> DataFrame:
     """``rows`` (locator and others) joined with ``asked`` (locator and others, a stored table), by a broadcast of few rows or else by a shuffle
     of what may be asked for and little more."""
-    if asked.count() <= FEW:
+    if asked.count() <= FEW // 6:  # a row of these names a file and may hold a list
         return rows.join(F.broadcast(asked), "locator")
     hashed = F.xxhash64("locator.file", "locator.row")
     return in_bitmap(rows, hashed, asked.select(hashed.alias("hash")), bits).join(asked.hint("merge"), "locator")

@@ -49,9 +49,9 @@ GEAR = np.random.default_rng(23).integers(0, 1 << 32, 256, dtype=np.uint32)
 _FACTORS = np.random.default_rng(24).integers(0, 1 << 64, SIDE // 8, dtype=np.uint64) | np.uint64(1)
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of GEAR[data[i - j]] << j over the last WINDOW bytes (fewer at the start), by doubling."""
-    h = GEAR[data]
+def gear_hashes(data: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+    """h[i] = sum of GEAR[data[i - j]] << j over the last WINDOW bytes (fewer at the start), by doubling. Bytes that are not ``inside`` count as none."""
+    h = GEAR[data] if inside is None else np.where(inside, GEAR[data], np.uint32(0))
     reach = 1
     while reach < WINDOW:
         longer = h.copy()
@@ -102,27 +102,71 @@ def cuts(data: bytes) -> np.ndarray:
         smallest = (h <= _least_before(h, RADIUS)) & (h <= _least_before(h[::-1], RADIUS)[::-1])
         places = np.flatnonzero(smallest) + start
         found.append(thinned(places[(places >= a) & (places < b)]) + 1)
-    ends = np.append(np.concatenate(found or [np.empty(0, np.int64)]), size)
-    gaps = np.diff(ends, prepend=0)
-    if (gaps > LONGEST).any():
-        extra = [np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST], strict=True)]
-        ends = np.sort(np.concatenate([ends, *extra]))
-    for _ in range(3):
-        inside = np.flatnonzero(ends < size)
-        inside = inside[(whole[ends[inside]] & 0xC0) == 0x80]
-        ends[inside] += 1
+    return _bounded(np.append(np.concatenate(found or [np.empty(0, np.int64)]), size), np.zeros(1, np.int64), np.append(whole, np.uint8(0))) if size else np.zeros(0, np.int64)
+
+
+def _bounded(ends: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """``ends`` in order, with cuts in chunks over LONGEST, and moved to the end of a UTF-8 character. ``starts``: where texts begin in ``whole``, which has a
+    zero after each."""
     ends = np.unique(ends)
-    return ends[ends > 0]
+    begins = np.maximum(np.append(0, ends[:-1]), starts[np.searchsorted(starts, ends - 1, "right") - 1]) if len(ends) else ends
+    long = np.flatnonzero(ends - begins > LONGEST)
+    if len(long):
+        ends = np.sort(np.concatenate([ends, *(np.arange(begins[i] + LONGEST, ends[i], LONGEST) for i in long)]))
+    for _ in range(3):
+        ends = ends + ((whole[ends] & 0xC0) == 0x80)
+    return np.unique(ends)
 
 
-def side_hashes(data: bytes, places: np.ndarray) -> np.ndarray:
-    """(places, 2): hashes of the SIDE bytes before and after each place, zeros beyond the text's ends."""
-    padded = np.concatenate([np.zeros(SIDE, np.uint8), np.frombuffer(data, np.uint8), np.zeros(SIDE, np.uint8)])
+def side_hashes(padded: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the SIDE bytes before and of those after each place."""
     windows = np.lib.stride_tricks.sliding_window_view(padded, SIDE)
-    words = np.ascontiguousarray(np.stack([windows[places], windows[places + SIDE]], axis=1)).view("<u8")
-    mixed = ((words ^ (words >> np.uint64(29))) * _FACTORS).sum(axis=-1, dtype=np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def hashes(at: np.ndarray) -> np.ndarray:
+        words = np.ascontiguousarray(windows[at]).view("<u8")
+        mixed = ((words ^ (words >> np.uint64(29))) * _FACTORS).sum(axis=1, dtype=np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    return hashes(places - SIDE), hashes(places)
+
+
+def cut_together(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """``cuts`` of each text, and the side hashes before and after all chunks, with zeros beyond a text's ends. Texts of some megabytes
+    are cut at once, with zeros between them that count as no bytes; a longer one is cut slice by slice."""
+    gap = bytes(SIDE)
+    whole = np.frombuffer(gap + b"".join(t + gap for t in texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    starts = SIDE + np.cumsum(sizes + SIDE) - sizes - SIDE
+    if len(texts) == 1:
+        ends = cuts(texts[0]) + SIDE
+    else:
+        inside = np.zeros(len(whole) + 1, np.int32)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, starts + sizes, -1)
+        inside = np.cumsum(inside[:-1]) > 0
+        h = gear_hashes(whole, inside)
+        h[~inside] = 0xFFFFFFFF
+        smallest = inside & (h <= _least_before(h, RADIUS)) & (h <= _least_before(h[::-1], RADIUS)[::-1])
+        ends = _bounded(np.concatenate([_Thinned()(np.flatnonzero(smallest)) + 1, (starts + sizes)[sizes > 0]]), starts[sizes > 0], whole)
+    first = np.searchsorted(ends, starts, "right")
+    last = np.searchsorted(ends, starts + sizes, "right")
+    begins = np.append(0, ends[:-1]) if len(ends) else ends
+    begins[first[sizes > 0]] = starts[sizes > 0]
+    return [ends[a:b] - s for a, b, s in zip(first, last, starts, strict=True)], side_hashes(whole, begins)[0], side_hashes(whole, ends)[1]
+
+
+def together(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """``texts`` in order, in groups of about SLICE bytes; one that is longer is alone."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > SLICE:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -135,25 +179,19 @@ def chunks(docs: DataFrame) -> DataFrame:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 texts = [t.as_py() or b"" for t in part.column("text")]
-                ends = [cuts(t) for t in texts]
-                digests, before, after = [], [], []
-                for text, own in zip(texts, ends, strict=True):
-                    places = np.concatenate([[0], own]).astype(np.int64) if len(own) else np.zeros(0, np.int64)
-                    digests.append(np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in pairwise(places.tolist())), np.uint64, len(own)).view(np.int64))
-                    sides = side_hashes(text, places)
-                    before.append(sides[:-1, 0])
-                    after.append(sides[1:, 1])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "locator": part.column("locator"),
-                        "n_bytes": pa.array(map(len, texts), pa.int64()),
-                        "ends": pa.array(ends, pa.list_(pa.int64())),
-                        "digests": pa.array(digests, pa.list_(pa.int64())),
-                        "before": pa.array(before, pa.list_(pa.int32())),
-                        "after": pa.array(after, pa.list_(pa.int32())),
-                    }
-                )
+                ends, digests, before, after = [], [], [], []
+                for group in together(texts):
+                    own, *sides = cut_together(group)
+                    ends += own
+                    before.append(sides[0])
+                    after.append(sides[1])
+                    for text, places in zip(group, own, strict=True):
+                        digests += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in pairwise([0, *places.tolist()])]
+                offsets = pa.array(np.cumsum([0, *map(len, ends)]), pa.int32())
+                each = {"ends": np.concatenate(ends), "digests": np.array(digests, np.uint64).view(np.int64), "before": np.concatenate(before), "after": np.concatenate(after)}
+                lists = {k: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32() if k in ("before", "after") else pa.int64())) for k, v in each.items()}
+                kept = {"doc_id": part.column("doc_id"), "locator": part.column("locator"), "n_bytes": pa.array(map(len, texts), pa.int64())}
+                yield pa.RecordBatch.from_pydict(kept | lists)
 
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     schema = T.StructType([key, place]).add("n_bytes", T.LongType()).add("ends", longs).add("digests", longs).add("before", ints).add("after", ints)
@@ -273,8 +311,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 1
     drop = F.col("uid") != F.col("first.uid")
     owned = chunk.select("uid", "run", "from", "to", "c.start", "c.length", "c.digest").join(small_side(groups.select("digest", "length", "first")), ["digest", "length"])
     owned = owned.groupBy("uid").agg(F.collect_list(F.struct("run", "from", "to", "start", "length", F.col("first.doc_id").alias("first_doc_id"), drop.alias("drop"))).alias("chunks"))
-    span = f"struct<start: long, end: long, first_doc_id: {key}, drop: boolean>"
-    spans = _by_row(owned, lambda row: [entries(row["chunks"])], f"uid long, spans array<{span}>")
+    spans = _spans(owned, key)
 
     whole = rows.select("uid", "doc_id", "n_bytes", F.size("ends").alias("n_chunks")).join(spans, "uid", "left")
     none = F.array().cast(spans.schema["spans"].dataType)
@@ -291,6 +328,34 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 1
     )
 
 
+def _spans(owned: DataFrame, key: str) -> DataFrame:
+    """(uid, spans): the passages of each document from their chunks, divided where ``first_doc_id`` or ``drop`` changes. A batch of documents at once."""
+    span = f"struct<start: long, end: long, first_doc_id: {key}, drop: boolean>"
+    kinds = to_arrow_schema(T._parse_datatype_string(f"uid long, spans array<{span}>"))
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                chunk = part.column("chunks").flatten()
+                row = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column("chunks")).to_numpy())
+                field = {k: chunk.field(k).to_numpy(zero_copy_only=False) for k in ("run", "from", "to", "start", "length", "drop")}
+                field["who"] = chunk.field("first_doc_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+                order = np.lexsort((field["start"], row))
+                row, field = row[order], {k: v[order] for k, v in field.items()}
+                begins = np.append(True, (row[1:] != row[:-1]) | (field["run"][1:] != field["run"][:-1]))
+                heads = np.flatnonzero(begins | np.append(True, (field["who"][1:] != field["who"][:-1]) | (field["drop"][1:] != field["drop"][:-1])))
+                tails = np.append(heads[1:], len(row)) - 1
+                start = np.where(begins[heads], field["from"][heads], field["start"][heads])
+                end = np.where(np.append(begins[heads[1:]], True), field["to"][heads], field["start"][tails] + field["length"][tails])
+                who = chunk.field("first_doc_id").take(pa.array(order[heads]))
+                made = pa.StructArray.from_arrays([pa.array(start), pa.array(end), who, pa.array(field["drop"][heads])], fields=list(kinds.field("spans").type.value_type))
+                offsets = pa.array(np.searchsorted(row[heads], np.arange(part.num_rows + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.ListArray.from_arrays(offsets, made, type=kinds.field("spans").type)], schema=kinds)
+
+    return owned.mapInArrow(divide, f"uid long, spans array<{span}>")
+
+
 def _by_row(df: DataFrame, made: Callable[[dict], list], schema: str) -> DataFrame:
     """uid of each row, and what ``made`` makes of the row for the other columns of ``schema``."""
     kinds = to_arrow_schema(T._parse_datatype_string(schema))
@@ -310,17 +375,19 @@ def _sides(texts: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, asked, text in zip(*batch.columns, strict=True):
-                data, places = text.as_buffer(), asked.as_py()
-                sides = [data[p["at"] : p["at"] + REACH] if p["after"] else data[max(0, p["at"] - REACH) : p["at"]] for p in places]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "uid": pa.array([uid.as_py()] * len(places), pa.int64()),
-                        "at": pa.array([p["at"] for p in places], pa.int64()),
-                        "after": pa.array([p["after"] for p in places], pa.bool_()),
-                        "side": pa.array([bytes(x) for x in sides], pa.binary()),
-                    }
-                )
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                places, found = part.column("asked").flatten(), []
+                at, after = places.field("at").to_pylist(), places.field("after").to_pylist()
+                sizes = pa.compute.list_value_length(part.column("asked")).to_numpy()
+                i = 0
+                for text, n in zip(part.column("text"), sizes.tolist(), strict=True):
+                    data = text.as_buffer()
+                    for p, forth in zip(at[i : i + n], after[i : i + n], strict=True):
+                        found.append(bytes(data[p : p + REACH] if forth else data[max(0, p - REACH) : p]))
+                    i += n
+                uid = np.repeat(part.column("uid").to_numpy(), sizes)
+                yield pa.RecordBatch.from_pydict({"uid": pa.array(uid), "at": places.field("at"), "after": places.field("after"), "side": pa.array(found, pa.binary())})
 
     return texts.mapInArrow(read, "uid long, at long, after boolean, side binary")
 
@@ -368,7 +435,9 @@ def common(own: bytes, other: bytes, after: bool) -> tuple[int, int]:
     """How many bytes are equal from the seed on, and how many of them are whole words."""
     if not after:
         own, other = own[::-1], other[::-1]
-    same = next((i for i, (x, y) in enumerate(zip(own, other, strict=False)) if x != y), min(len(own), len(other)))
+    n = min(len(own), len(other))
+    differ = int.from_bytes(own[:n]) ^ int.from_bytes(other[:n])
+    same = n - (differ.bit_length() + 7) // 8
     if same < REACH and all(same == len(x) or x[same] in BLANK for x in (own, other)):
         return same, same
     return same, next((i for i in range(same - 1, 0, -1) if own[i] in BLANK), 0)
@@ -398,26 +467,6 @@ def passages(runs: list[dict], growth: list[dict], least_bytes: int) -> list[dic
     return found
 
 
-def entries(chunks: list[dict]) -> list[dict]:
-    """A document's passages from their chunks, divided where ``first_doc_id`` or ``drop`` changes."""
-    found: list[dict] = []
-    run = None
-    for c in sorted(chunks, key=lambda c: c["start"]):
-        who = {"first_doc_id": c["first_doc_id"], "drop": c["drop"]}
-        if run != c["run"]:
-            if found:
-                found[-1]["end"] = to
-            run, to = c["run"], c["to"]
-            found.append({"start": c["from"], "end": c["start"] + c["length"], **who})
-        elif {k: found[-1][k] for k in who} == who:
-            found[-1]["end"] = c["start"] + c["length"]
-        else:
-            found.append({"start": c["start"], "end": c["start"] + c["length"], **who})
-    if found:
-        found[-1]["end"] = to
-    return found
-
-
 def without_spans(text: bytes, spans: list[dict]) -> bytes:
     """``text`` without the passages to drop."""
     at, parts = 0, []

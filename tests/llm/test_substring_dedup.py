@@ -51,6 +51,18 @@ def test_cuts_against_plain_version(monkeypatch, slice_bytes):
         assert S.cuts(data).tolist() == plain_cuts(data)
 
 
+def test_texts_cut_together_are_cut_alike():
+    rng = random.Random(9)
+    texts = [b"", b"a", b"la " * 300, text(3).encode(), b"", ("é" * 500 + "日本").encode(), text(400).encode(), bytes(range(256)) * 20, b"\0" * 3000, b""]
+    texts += [t[:-1] for t in texts[2:6]] + [text(rng.randint(1, 60)).encode() for _ in range(30)]
+    for group in (texts, texts[::-1], texts[:1], texts[6:7], [b"", b""]):
+        ends, before, after = S.cut_together(group)
+        assert [e.tolist() for e in ends] == [S.cuts(t).tolist() for t in group]
+        alone = [S.cut_together([t]) for t in group]
+        assert before.tolist() == [x for a in alone for x in a[1]] and after.tolist() == [x for a in alone for x in a[2]]
+    assert [len(g) for g in S.together([b"x" * (S.SLICE - 1), b"y", b"z", b"w" * 2 * S.SLICE, b""])] == [2, 1, 1, 1]
+
+
 def test_insertions_leave_other_chunks_alone():
     data = text(2000).encode()
     changed = data[:5000] + b"something new" + data[5000:]
