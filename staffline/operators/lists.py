@@ -23,13 +23,9 @@ from ..functions.time import AsOf, since_now
 from ..schemas import EMPLOYEES, LEAVE, MAX_RECORDS, REVIEWS
 from ..validate import check_limit, check_period, check_status, lookback_days, present
 
-#: Above this limit, which only a raised ``max_records`` allows, the sides of ``limit`` rows are not marked for
-#: broadcast; Spark then decides by their size.
-BROADCAST_ROWS = 100_000
-
-
-def _bounded(df: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(df) if limit <= BROADCAST_ROWS else df
+#: Above these limits, which only a raised ``max_records`` allows, the sides of ``limit`` rows are not marked for
+#: broadcast; Spark then decides by their size. Places have three short columns, asks hold whole rows, twice.
+BROADCAST_PLACES, BROADCAST_ASKS = 100_000, 10_000
 
 
 def _top_rows(facts: DataFrame, owners: DataFrame, key: str, date: str, limit: int) -> DataFrame:
@@ -39,7 +35,7 @@ def _top_rows(facts: DataFrame, owners: DataFrame, key: str, date: str, limit: i
     chosen = places.orderBy(*order).limit(limit).distinct().select(
         *[F.col(c).alias(f"_{c}") for c in (key, "employee_id", date)])
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (key, "employee_id", date)])
-    return facts.join(_bounded(chosen, limit), same, "left_semi").orderBy(*order).limit(limit)
+    return facts.join(F.broadcast(chosen) if limit <= BROADCAST_PLACES else chosen, same, "left_semi").orderBy(*order).limit(limit)
 
 
 def _with_names(facts: DataFrame, employees: DataFrame, ids: IdSet, key: str, date: str, other_id: str, other_name: str,
@@ -61,7 +57,7 @@ def _with_names(facts: DataFrame, employees: DataFrame, ids: IdSet, key: str, da
         )),
     )
     people = employees.select(F.col("employee_id").alias("_who"), "name", "department")
-    found = _bounded(asks, limit).join(people, "_who", "inner")
+    found = (F.broadcast(asks) if limit <= BROADCAST_ASKS else asks).join(people, "_who", "inner")
     named = found.groupBy("_no").agg(
         F.first("_row").alias("_row"),
         F.max(F.when(F.col("_owner"), F.col("name"))).alias("employee_name"),
