@@ -70,6 +70,8 @@ NO_ARTICLE_NAMES = set(
 OTHER_ARTICLES = set("comment comments disqus footer recommended related replies reply respond sidebar sidebars".split())
 #: Names that begin so tell what an element goes with.
 BESIDE = set("has hide is no show with without".split())
+#: Names that end so tell how something is set, not what an element is.
+SETTINGS = set("active closed disabled enabled loaded off on open visible".split())
 #: What paragraphs pass their points to.
 CONTAINERS = set("article blockquote body center details div dd figure html main section td".split())
 MENUS = set("dir div dl menu ol section table ul".split())
@@ -199,7 +201,7 @@ def judge(nodes: list[Node]) -> None:
         elif node.holds < 2 and (node.tag in BLOCK or node.tag in ("a", "ins") or (node.tag == "span" and above.tag not in ("pre", "code"))):
             for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
                 parts = [p.lower() for p in _PARTS.findall(name)]
-                said = NO_ARTICLE_NAMES & {parts[0], parts[-1]} if parts and parts[0] not in BESIDE else set()
+                said = NO_ARTICLE_NAMES & {parts[0], parts[-1]} if parts and parts[0] not in BESIDE and parts[-1] not in SETTINGS else set()
                 if said == {"header"}:
                     header = True
                 elif said and (not node.holds or said & OTHER_ARTICLES):

@@ -50,6 +50,7 @@ def test_without_an_article_element():
     assert main_text(page) == WANT
     wrapped = f"<div id=menu-open-page><div class=sidebar><article><p>{LONG}</p></article></div><div class=modal>{ARTICLE}</div></div>"
     assert main_text(wrapped) == WANT
+    assert main_text(f"<body><div class='text share-enabled'><p>{P1}</p><p>{P2}</p></div><div class=share>{P1}</div>") == f"{P1}\n{P2}"
     sections = f"<body class=has-sidebar><main><section><p>{P1}</p></section><section><p>{P2}</p></section></main><div class=sidebar>{P1}</div></body>"
     assert main_text(sections) == f"{P1}\n{P2}"
 
