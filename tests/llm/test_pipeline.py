@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from staffline.llm.common import shared_folder, stored
 from tests.conftest import SF_SMALL
@@ -40,7 +42,7 @@ def test_columns_stay_and_odd_rows_do_not_break_a_stage(spark, tmp_path):
         (1, words), (2, words + " "), (3, words.replace("word7 ", "other ")), (4, "text with " + item), (5, None), (6, ""), (7, "12 34"),
         (8, "a clean document that stays"), (8, "a clean document that stays"), (None, "another clean one without an id"), (9, "x"),
     ]
-    docs = frame(spark, rows, clashing=True)
+    docs = frame(spark, rows, clashing=True).withColumn("_metadata", F.lit("x"))
     sf = saved(spark, tmp_path, documents=docs, benchmark=spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))
     folder, names = shared_folder(spark), docs.columns
     docs = docs  # not from files: the stages store it themselves

@@ -113,3 +113,13 @@ def test_links_of_a_hub_are_split(spark, tmp_path, monkeypatch):
     assert "skew=true" in executed_with_small_thresholds(spark, components._small_star(turned, f"{tmp_path}/small"))
     got = components.roots(spark, links.repartition(3), f"{tmp_path}/r")
     assert got.groupBy("root").count().orderBy("root").collect() == [(0, 19_999), (30_000, 4000)]
+
+
+def test_a_column_called_metadata(spark, tmp_path):
+    from staffline.llm.common import file_locator
+
+    rows = [(i, t) for i, t in enumerate(BASE + BASE[3:])]
+    frame(spark, rows, clashing=True).withColumn("_metadata", F.lit("x")).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.near_duplicates(spark, docs, file_locator(docs)).collect()}
+    assert got == {r.doc_id: (r.fingerprint, r.component_id) for r in S.near_duplicates(spark, frame(spark, rows)).collect()}
