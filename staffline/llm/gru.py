@@ -118,55 +118,81 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def forward(net: Network, lanes: Lanes, first: int, steps: int, state: np.ndarray, keep: dict | None = None) -> np.ndarray:
+@dataclass
+class Kept:
+    """What the way back needs of a window, each (steps, lanes, hidden): the state before, the gates, the candidate, and the state's part of it."""
+
+    before: np.ndarray
+    z: np.ndarray
+    r: np.ndarray
+    n: np.ndarray
+    un: np.ndarray
+
+    @staticmethod
+    def room(shape: tuple[int, ...]) -> Kept:
+        return Kept(*(np.empty(shape, FLOAT) for _ in fields(Kept)))
+
+
+def forward(net: Network, lanes: Lanes, first: int, steps: int, state: np.ndarray, keep: Kept | None = None) -> np.ndarray:
     """States (steps, lanes, hidden) after each step of a window; ``keep`` takes what the way back needs."""
-    h = state.shape[1]
-    states = np.empty((steps, *state.shape), FLOAT)
+    n_lanes, h = state.shape
+    states = np.empty((steps, n_lanes, h), FLOAT)
+    inputs = net.inputs[lanes.inputs[first : first + steps, :n_lanes]]
+    begins = lanes.begins[first : first + steps, :n_lanes]
+    resets = begins.any(axis=1)
     for t in range(steps):
-        fresh = lanes.begins[first + t, : len(state)]
-        if fresh.any():
-            state = np.where(fresh[:, None], FLOAT(0), state)
-        x, u = net.inputs[lanes.inputs[first + t, : len(state)]], state @ net.gates
+        if resets[t]:
+            state = np.where(begins[t, :, None], FLOAT(0), state)
+        x, u = inputs[t], state @ net.gates
         zr = sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
         z, r = zr[:, :h], zr[:, h:]
         n = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
         if keep is not None:
-            keep[t] = (state, z, r, n, u[:, 2 * h :])
+            keep.before[t], keep.z[t], keep.r[t], keep.n[t], keep.un[t] = state, z, r, n, u[:, 2 * h :]
         state = n + z * (state - n)
         states[t] = state
     return states
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _surprise(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """log softmax of each row at its target; ``logits`` become the gradients of its negation."""
+    if logits.max(initial=0) > 80:  # else no exponential overflows
+        logits -= logits.max(axis=1, keepdims=True)
+    at = np.arange(len(targets)), targets
+    chosen = logits[at]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1, keepdims=True)
+    logits /= total
+    logits[at] -= 1
+    return chosen - np.log(total[:, 0])
 
 
 def output(net: Network, states: np.ndarray, targets: np.ndarray, grads: Network) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probabilities of ``targets``; adds to the output weights' gradients of their negated sum and returns the
     states' as well."""
-    classes, words = targets // WIDTH, targets % WIDTH
-    order = np.argsort(classes, kind="stable")
-    rows = np.arange(len(targets))
-    by_class = log_softmax(states @ net.class_out + net.class_bias)
-    scores = by_class[rows, classes]
-    d = np.exp(by_class)
-    d[rows, classes] -= 1
-    grads.class_out += states.T @ d
+    order = np.argsort((targets // WIDTH).astype(np.uint16), kind="stable")
+    own, classes, words = states[order], targets[order] // WIDTH, targets[order] % WIDTH
+    there, starts = np.unique(classes, return_index=True)
+    parts = list(zip(there, starts, [*starts[1:], len(order)], strict=True))
+
+    d = own @ net.class_out
+    d += net.class_bias
+    found = _surprise(d, classes)
+    grads.class_out += own.T @ d
     grads.class_bias += d.sum(axis=0)
-    back = d @ net.class_out.T
-    there, starts = np.unique(classes[order], return_index=True)
-    for c, a, b in zip(there, starts, [*starts[1:], len(order)], strict=True):
-        at = order[a:b]
-        own = states[at]
-        by_word = log_softmax(own @ net.word_out[c] + net.word_bias[c])
-        inside = np.arange(b - a)
-        scores[at] += by_word[inside, words[at]]
-        d = np.exp(by_word)
-        d[inside, words[at]] -= 1
-        grads.word_out[c] += own.T @ d
-        grads.word_bias[c] += d.sum(axis=0)
-        back[at] += d @ net.word_out[c].T
+    towards = d @ net.class_out.T
+
+    d = np.empty((len(order), WIDTH), FLOAT)
+    for c, a, b in parts:
+        np.matmul(own[a:b], net.word_out[c], out=d[a:b])
+    d += net.word_bias[classes]
+    found += _surprise(d, words)
+    for c, a, b in parts:
+        grads.word_out[c] += own[a:b].T @ d[a:b]
+        towards[a:b] += d[a:b] @ net.word_out[c].T
+    grads.word_bias[there] += np.add.reduceat(d, starts)
+    scores, back = np.empty_like(found), np.empty_like(towards)
+    scores[order], back[order] = found, towards
     return scores, back
 
 
@@ -227,26 +253,34 @@ def document_scores(net: Network, documents: list[np.ndarray], start_symbol: int
 
 def window_gradient(net: Network, lanes: Lanes, first: int, steps: int, state: np.ndarray) -> tuple[float, Network, np.ndarray]:
     """Loss and gradients over one window, truncated at its start, and the state to carry on."""
-    grads = net.like(np.zeros(sum(a.size for a in net.arrays())))
-    kept: dict = {}
-    states = forward(net, lanes, first, steps, state, kept)
+    grads = Network(*(np.zeros_like(a) for a in net.arrays()))
     n_lanes, h = state.shape
+    kept = Kept.room((steps, n_lanes, h))
+    states = forward(net, lanes, first, steps, state, kept)
     scores, back = output(net, states.reshape(-1, h), lanes.targets[first : first + steps, :n_lanes].ravel(), grads)
     back = back.reshape(steps, n_lanes, h)
-    after = np.zeros_like(state)
+
+    # A step's gates have the state's gradient times these: all but the recursion is done for the whole window.
+    by_n = (1 - kept.z) * (1 - kept.n * kept.n)
+    by_z = (kept.before - kept.n) * kept.z * (1 - kept.z)
+    by_r = by_n * kept.un * kept.r * (1 - kept.r)
+    by_gates = np.stack([by_z, by_r, by_n * kept.r], axis=2)
+    du, dh = np.empty((steps, n_lanes, 3 * h), FLOAT), np.empty_like(back)
+    goes_on = ~lanes.begins[first : first + steps, :n_lanes]
+    resets = ~goes_on.all(axis=1)
+    gates, after = np.ascontiguousarray(net.gates.T), np.zeros_like(state)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, un = kept[t]
-        dh = back[t] + after
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        grads.gates += before.T @ du
-        np.add.at(grads.inputs, lanes.inputs[first + t, :n_lanes], np.concatenate([dz, dr, dn], axis=1))
-        after = dh * z + du @ net.gates.T
-        fresh = lanes.begins[first + t, :n_lanes]
-        if fresh.any():
-            after = np.where(fresh[:, None], FLOAT(0), after)
+        dh[t] = back[t] + after
+        du[t] = (dh[t][:, None] * by_gates[t]).reshape(n_lanes, 3 * h)
+        after = dh[t] * kept.z[t] + du[t] @ gates
+        if resets[t]:
+            after *= goes_on[t, :, None]
+    grads.gates += kept.before.reshape(-1, h).T @ du.reshape(-1, 3 * h)
+    du[:, :, 2 * h :] = dh * by_n
+    symbols = lanes.inputs[first : first + steps, :n_lanes].ravel()
+    order = np.argsort(symbols, kind="stable")
+    there, starts = np.unique(symbols[order], return_index=True)
+    grads.inputs[there] += np.add.reduceat(du.reshape(-1, 3 * h)[order], starts)
     return float(-scores.sum()), grads, states[-1]
 
 
@@ -262,9 +296,11 @@ def train(net: Network, documents: list[np.ndarray], start_symbol: int, history:
         active = int(np.searchsorted(-own.lengths, -first))
         steps = int(min(window, own.lengths[active - 1] - first))
         _, grads, state = window_gradient(net, own, first, steps, state[:active])
-        for weights, g, squares in zip(net.arrays(), grads.arrays(), history, strict=True):
-            g /= max(steps * active, lanes)
-            squares += g * g
-            weights -= rate * g / np.sqrt(squares)
+        seen = np.unique(own.inputs[first : first + steps, :active])  # other symbols' gradients are zero and change nothing
+        for part, weights, g, squares in zip(fields(net), net.arrays(), grads.arrays(), history, strict=True):
+            rows = seen if part.name == "inputs" else slice(None)
+            g = g[rows] / FLOAT(max(steps * active, lanes))
+            squares[rows] += g * g
+            weights[rows] -= FLOAT(rate) * g / np.sqrt(squares[rows])
         first += steps
     return history

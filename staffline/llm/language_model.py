@@ -5,7 +5,7 @@ by their corpus counts, so the model is a proper distribution over all words. Co
 documents and stay a distributed table. The most frequent ``head`` words' counts are broadcast; the rare rest of
 each document's words is joined with the table.
 
-The network is trained in shards: every shard of training documents goes through truncated backpropagation in its own task,
+The network is trained on all training documents in shards: every shard goes through truncated backpropagation in its own task,
 and Spark averages the shards' weights, a few rounds of it. Whole documents are scored, the state
 carried from window to window.
 """
@@ -130,17 +130,18 @@ def fit(
     head: int = 200_000,
     symbols: int = 4095,
     hidden: int = 16,
-    share: float = 1 / 16,
-    least_docs: int = 1500,
+    share: float = 1,
+    least_docs: int = 0,
     docs_per_shard: int = 2500,
     rounds: int = 2,
     rate: float = 0.3,
 ) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text). All documents are counted.
 
-    The network's weights are trained on a ``share`` of the documents plus ``least_docs`` of them, drawn by a hash of
-    doc_id and text, so that copies of a text are drawn each for itself, in shards of about ``docs_per_shard``; what training reads grows with the corpus, and each task's part and
-    the weights that the driver takes are bounded by the parameters. A null text is empty; empty documents
+    The network's weights are trained on all documents too, in shards of about ``docs_per_shard``: what training reads grows
+    with the corpus, and each task's part and the weights that the driver takes are bounded by the parameters. A caller who
+    asks for a ``share`` below 1 has that share plus ``least_docs`` of them, drawn by a hash of doc_id and text, so that
+    copies of a text are drawn each for itself. A null text is empty; empty documents
     teach the END token. Without documents every text has the probability 1 of an unseen word.
     """
     ship_package(spark)
@@ -150,33 +151,49 @@ def fit(
     network = gru.Network.untrained(words.symbol_counts, hidden)
 
     n = docs.count()
-    drawn = min(n, n * share + least_docs)
-    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("language model")), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where(place < drawn / max(n, 1))
-    sample = stored(sample, f"{folder}/sample")
+    drawn = docs
+    if n * share + least_docs < n:
+        place = F.pmod(F.xxhash64("doc_id", "text", F.lit("language model")), F.lit(1 << 30)) / float(1 << 30)
+        drawn = docs.where(place < (n * share + least_docs) / n)
+    texts = drawn.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    sample = stored(with_symbols(spark, texts, words), f"{folder}/sample")
     shards = max(1, math.ceil(sample.count() / docs_per_shard))
     for _ in range(rounds if n else 0):
         network = _averaged_round(spark, sample, shards, words, network, rate)
     return LanguageModel(words, network, counts)
 
 
+def with_symbols(spark: SparkSession, texts: DataFrame, words: Vocabulary) -> DataFrame:
+    """``texts`` (text binary) and ``symbols``: the numbers of their symbols, one after the other, little-endian."""
+    shared, kind = spark.sparkContext.broadcast(words), _number(words)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.concatenate([p for p, _ in encoded(t.as_py(), shared.value)]).astype(kind).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(made, pa.binary())], ["text", "symbols"])
+
+    return texts.mapInArrow(encode, "text binary, symbols binary")
+
+
+def _number(words: Vocabulary) -> str:
+    return "<u2" if words.rest < 1 << 16 else "<u4"
+
+
 def _averaged_round(spark: SparkSession, sample: DataFrame, shards: int, words: Vocabulary, network: gru.Network, rate: float) -> gru.Network:
     """Each shard trains from the same weights; the mean of what they reach, weighted by documents."""
-    shared = spark.sparkContext.broadcast((words, network))
+    shared, kind, start = spark.sparkContext.broadcast(network), _number(words), words.start
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, shared_network = shared.value
-        own, history, n = shared_network.like(shared_network.flat()), None, 0
+        own, history, n = shared.value.like(shared.value.flat()), None, 0
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
-                texts = batch.column("text").slice(first, 500).to_pylist()
-                documents = [np.concatenate([p for p, _ in encoded(t, vocabulary)]) for t in texts]
-                history = gru.train(own, documents, vocabulary.start, history, rate)
-                n += len(texts)
+                documents = [np.frombuffer(s, kind) for s in batch.column("symbols").slice(first, 500).to_pylist()]
+                history = gru.train(own, documents, start, history, rate)
+                n += len(documents)
         if n:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "weights": pa.array([own.flat()], pa.list_(pa.float32()))})
 
-    trained = sample.repartition(shards).mapInArrow(learn, "n long, weights array<float>")
+    trained = sample.select("symbols").repartition(shards).mapInArrow(learn, "n long, weights array<float>")
     each = trained.select("n", F.posexplode("weights").alias("place", "weight"))
     mean = each.groupBy("place").agg((F.sum(F.col("weight").cast("double") * F.col("n")) / F.sum("n")).alias("weight"))
     table = stored(mean, f"{shared_folder(spark)}/weights").toArrow()

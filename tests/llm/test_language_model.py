@@ -114,6 +114,43 @@ def test_copies_are_drawn_in_proportion_and_shards_follow_the_sample(spark, monk
     assert shards == math.ceil(len(texts) / 50)
 
 
+def test_the_network_learns_from_every_training_document(spark, monkeypatch):
+    seen, averaged = [], M._averaged_round
+
+    def note(spark, sample, shards, words, network, rate):
+        seen.append((sorted(bytes(r.text) for r in sample.select("text").collect()), shards))
+        assert all(np.frombuffer(r.symbols, "<u2").tolist() == np.concatenate([p for p, _ in M.encoded(bytes(r.text), words)]).tolist() for r in sample.collect())
+        return averaged(spark, sample, shards, words, network, rate)
+
+    monkeypatch.setattr(M, "_averaged_round", note)
+    rows = [(i % 1700, [None, "", "the same text"][i % 9] if i % 9 < 3 else f"text {i} " * (i % 5)) for i in range(3400)]
+    rows.append((None, "without an id"))
+    M.fit(spark, frame(spark, rows), hidden=2)
+    assert seen == [(sorted((t or "").encode() for _, t in rows), 2)] * 2
+
+
+def test_only_the_symbols_of_a_window_move_and_training_is_adagrad():
+    """The weights of symbols that no window has as an input stay; the others follow the gradients of the whole network."""
+    rng = np.random.default_rng(4)
+    documents = [rng.integers(0, 40, n).astype(np.uint16) for n in (9, 4, 20, 1)]
+    net = G.Network.untrained(np.ones(90), 6)
+    for a in net.arrays():
+        a += (rng.normal(size=a.shape) * 0.1).astype(G.FLOAT)
+    want, history = net.like(net.flat()), [np.full(a.shape, 1e-4, G.FLOAT) for a in net.arrays()]
+    own = G.strips(documents, 4, 1)
+    _, grads, _ = G.window_gradient(want, own, 0, int(own.lengths[-1]), np.zeros((len(own.lengths), 6), G.FLOAT))
+    for w, g, h in zip(want.arrays(), grads.arrays(), history, strict=True):
+        g = g / max(own.lengths[-1] * len(own.lengths), 4)
+        h += g * g
+        w -= 0.3 * g / np.sqrt(h)
+    before = net.inputs.copy()
+    G.train(net, documents, 1, None, 0.3, lanes=4, window=int(own.lengths[-1]))
+    unseen = np.setdiff1d(np.arange(90), own.inputs)
+    assert len(unseen) and (net.inputs[unseen] == before[unseen]).all()
+    first_only = np.setdiff1d(own.inputs[: own.lengths[-1]], own.inputs[own.lengths[-1] :])
+    assert np.allclose(net.inputs[first_only], want.inputs[first_only], rtol=1e-4, atol=1e-6)
+
+
 def test_gradients(monkeypatch):
     monkeypatch.setattr(G, "FLOAT", np.float64)
     rng = np.random.default_rng(0)
