@@ -13,6 +13,7 @@ before, with a fresh state.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -72,19 +73,25 @@ class Lanes:
     lengths: np.ndarray  # (lanes,), falling
 
 
+def queues(sizes: np.ndarray, lanes: int) -> list[list[int]]:
+    """Documents of ``sizes`` dealt to lanes, longest first, each to the lane that has least so far; the longest lane first."""
+    heap = [(0, i) for i in range(min(lanes, len(sizes)))]
+    out: list[list[int]] = [[] for _ in heap]
+    for d in np.argsort(-sizes, kind="stable").tolist():
+        length, lane = heap[0]
+        out[lane].append(d)
+        heapq.heapreplace(heap, (length + int(sizes[d]), lane))
+    return sorted(out, key=lambda q: -sizes[q].sum())
+
+
 def dealt(documents: list[np.ndarray], lanes: int, start_symbol: int) -> Lanes:
-    """Deal documents (arrays of symbols, none empty), longest first, each to the lane that has least so far."""
-    heap = [(0, i) for i in range(min(lanes, len(documents)))]
-    queues: list[list[int]] = [[] for _ in heap]
-    for d in sorted(range(len(documents)), key=lambda d: (-len(documents[d]), d)):
-        length, lane = heapq.heappop(heap)
-        queues[lane].append(d)
-        heapq.heappush(heap, (length + len(documents[d]), lane))
-    queues.sort(key=lambda q: -sum(len(documents[d]) for d in q))
-    lengths = np.array([sum(len(documents[d]) for d in q) for q in queues])
-    shape = (lengths[0], len(queues))
+    """Deal documents (arrays of symbols, none empty) to lanes."""
+    sizes = np.array([len(d) for d in documents])
+    dealing = queues(sizes, lanes)
+    lengths = np.array([sizes[q].sum() for q in dealing])
+    shape = (lengths[0], len(dealing))
     out = Lanes(np.full(shape, start_symbol, np.int32), np.zeros(shape, np.int32), np.zeros(shape, bool), np.zeros(shape, np.int32), lengths)
-    for lane, queue in enumerate(queues):
+    for lane, queue in enumerate(dealing):
         at = 0
         for d in queue:
             n = len(documents[d])
@@ -114,91 +121,155 @@ def strips(documents: list[np.ndarray], lanes: int, start_symbol: int) -> Lanes:
     return Lanes(cut(inputs), cut(targets), cut(begins), cut(np.repeat(np.arange(len(documents), dtype=np.int32), sizes)), lengths)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+@dataclass
+class Cell:
+    """The recurrent weights by gate, each gate's in one piece; those of update and reset negated, as their sigmoid is 1 / (1 + exp(-x))."""
+
+    inputs: np.ndarray  # (3, symbols, hidden)
+    gates: np.ndarray  # (3, hidden, hidden)
+
+    @staticmethod
+    def of(net: Network) -> Cell:
+        cell = Cell(by_gate(net.inputs), by_gate(net.gates))
+        for a in (cell.inputs, cell.gates):
+            np.negative(a[:2], out=a[:2])
+        return cell
+
+
+def by_gate(a: np.ndarray) -> np.ndarray:
+    """(rows, 3 * hidden) as (3, rows, hidden)."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, -1).transpose(1, 0, 2))
 
 
 @dataclass
 class Kept:
-    """What the way back needs of a window, each (steps, lanes, hidden): the state before, the gates, the candidate, and the state's part of it."""
+    """What the way back needs of a window: the state before (steps, lanes, hidden), and by gate, (3, steps, lanes, hidden), the update and
+    reset gates and the candidate, and the state's part of them."""
 
     before: np.ndarray
-    z: np.ndarray
-    r: np.ndarray
-    n: np.ndarray
-    un: np.ndarray
+    zrn: np.ndarray
+    u: np.ndarray
 
     @staticmethod
     def room(shape: tuple[int, ...]) -> Kept:
-        return Kept(*(np.empty(shape, FLOAT) for _ in fields(Kept)))
+        return Kept(np.empty(shape, FLOAT), np.empty((3, *shape), FLOAT), np.empty((3, *shape), FLOAT))
 
 
 def forward(net: Network, lanes: Lanes, first: int, steps: int, state: np.ndarray, keep: Kept | None = None) -> np.ndarray:
     """States (steps, lanes, hidden) after each step of a window; ``keep`` takes what the way back needs."""
     n_lanes, h = state.shape
-    states = np.empty((steps, n_lanes, h), FLOAT)
-    inputs = net.inputs[lanes.inputs[first : first + steps, :n_lanes]]
-    begins = lanes.begins[first : first + steps, :n_lanes]
-    resets = begins.any(axis=1)
-    for t in range(steps):
-        if resets[t]:
-            state = np.where(begins[t, :, None], FLOAT(0), state)
-        x, u = inputs[t], state @ net.gates
-        zr = sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        n = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
+    here = (slice(first, first + steps), slice(0, n_lanes))
+    flat = None if keep is None else Kept(keep.before.reshape(-1, h), keep.zrn.reshape(3, -1, h), keep.u.reshape(3, -1, h))
+    return _run(Cell.of(net), lanes.inputs[here].ravel(), lanes.begins[here].ravel(), [n_lanes] * steps, state, flat).reshape(steps, n_lanes, h)
+
+
+def _run(cell: Cell, symbols: np.ndarray, begins: np.ndarray, active: list[int], state: np.ndarray, keep: Kept | None = None) -> np.ndarray:
+    """States (places, hidden) after each of a row of steps that lie one after the other, step i with the first ``active[i]`` lanes. ``keep``
+    has its arrays' steps and lanes as one."""
+    h = state.shape[1]
+    states = np.empty((len(symbols), h), FLOAT)
+    inputs = np.empty((3, len(symbols), h), FLOAT) if keep is None else keep.zrn
+    for g in range(3):
+        np.take(cell.inputs[g], symbols, axis=0, out=inputs[g], mode="clip")
+    resets = np.flatnonzero(begins)
+    ends = np.cumsum(active)
+    of_step = np.searchsorted(resets, [0, *ends]).tolist()
+    room, moved, one, a = np.empty((3, active[0], h), FLOAT), np.empty((active[0], h), FLOAT), FLOAT(1), 0
+    for t, b in enumerate(ends.tolist()):
+        n = b - a
+        before = state[:n]
         if keep is not None:
-            keep.before[t], keep.z[t], keep.r[t], keep.n[t], keep.un[t] = state, z, r, n, u[:, 2 * h :]
-        state = n + z * (state - n)
-        states[t] = state
+            keep.before[a:b] = before
+            before = keep.before[a:b]
+        if of_step[t] < of_step[t + 1]:
+            if keep is None:
+                before = before.copy()
+            before[resets[of_step[t] : of_step[t + 1]] - a] = 0
+        u = room[:, :n] if keep is None else keep.u[:, a:b]
+        np.matmul(before, cell.gates, out=u)
+        zr, candidate, r_u, state = inputs[:2, a:b], inputs[2, a:b], moved[:n], states[a:b]
+        zr += u[:2]
+        np.exp(zr, out=zr)
+        zr += one
+        np.divide(one, zr, out=zr)
+        np.multiply(zr[1], u[2], out=r_u)
+        candidate += r_u
+        np.tanh(candidate, out=candidate)
+        np.subtract(before, candidate, out=state)
+        state *= zr[0]
+        state += candidate
+        a = b
     return states
 
 
-def _surprise(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """log softmax of each row at its target; ``logits`` become the gradients of its negation."""
+def _with_one(states: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The states in ``order``, and a last column of ones, the biases' input."""
+    out = np.empty((len(order), states.shape[1] + 1), FLOAT)
+    out[:, :-1] = states.take(order, axis=0)
+    out[:, -1] = 1
+    return out
+
+
+def _exponentials(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log softmax of each row at its target, the places of the targets in the whole, and the rows' sums of exponentials, which ``logits`` become."""
     if logits.max(initial=0) > 80:  # else no exponential overflows
         logits -= logits.max(axis=1, keepdims=True)
-    at = np.arange(len(targets)), targets
-    chosen = logits[at]
+    at = np.arange(0, logits.size, logits.shape[1]) + targets
+    chosen = logits.ravel().take(at)
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    logits[at] -= 1
-    return chosen - np.log(total[:, 0])
-
-
-def output(net: Network, states: np.ndarray, targets: np.ndarray, grads: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probabilities of ``targets``; adds to the output weights' gradients of their negated sum and returns the
-    states' as well."""
-    order = np.argsort((targets // WIDTH).astype(np.uint16), kind="stable")
-    own, classes, words = states[order], targets[order] // WIDTH, targets[order] % WIDTH
-    there, starts = np.unique(classes, return_index=True)
-    parts = list(zip(there, starts, [*starts[1:], len(order)], strict=True))
-
-    d = own @ net.class_out
-    d += net.class_bias
-    found = _surprise(d, classes)
-    grads.class_out += own.T @ d
-    grads.class_bias += d.sum(axis=0)
-    towards = d @ net.class_out.T
-
-    d = np.empty((len(order), WIDTH), FLOAT)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return chosen - np.log(total), at, total
+
+
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order of ``targets`` by class, their classes and words in this order, and each class's (class, from, to)."""
+    classes = targets // WIDTH
+    order = np.argsort(classes.astype(np.uint16), kind="stable")
+    words = (targets - classes * WIDTH).take(order)
+    classes = classes.take(order)
+    starts = [0, *(np.flatnonzero(classes[1:] != classes[:-1]) + 1).tolist()]
+    return order, classes, words, list(zip(classes[starts].tolist(), starts, [*starts[1:], len(targets)], strict=True))
+
+
+def _output(scorer: Scorer, states: np.ndarray, targets: np.ndarray, by_class: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probabilities of ``targets`` and the gradients of their negated sum towards the states. ``by_class`` and ``by_word``, zeros,
+    become those towards the weights."""
+    order, classes, words, parts = _by_class(targets)
+    own, h = _with_one(states, order), states.shape[1]
+
+    # A logit's gradient is its exponential less, at the target, the row's sum, all over that sum; the division is done on the narrow side.
+    d = own @ scorer.class_out
+    found, at, total = _exponentials(d, classes)
+    d.ravel()[at] -= total
+    share = (1 / total)[:, None]
+    left = own * share
+    for a in range(0, len(own), 512):  # a product over few rows at a time is faster
+        by_class += left[a : a + 512].T @ d[a : a + 512]
+    towards = d @ np.ascontiguousarray(scorer.class_out[:h].T)
+    towards *= share
+
+    d = d if d.shape[1] == WIDTH else np.empty((len(order), WIDTH), FLOAT)
     for c, a, b in parts:
-        np.matmul(own[a:b], net.word_out[c], out=d[a:b])
-    d += net.word_bias[classes]
-    found += _surprise(d, words)
+        np.dot(own[a:b], scorer.word_out[c], out=d[a:b])
+    score, at, total = _exponentials(d, words)
+    found += score
+    d.ravel()[at] -= total
+    share = (1 / total)[:, None]
+    own *= share
+    back, turned = np.empty_like(towards), np.ascontiguousarray(scorer.word_out[:, :h].transpose(0, 2, 1))
     for c, a, b in parts:
-        grads.word_out[c] += own[a:b].T @ d[a:b]
-        towards[a:b] += d[a:b] @ net.word_out[c].T
-    grads.word_bias[there] += np.add.reduceat(d, starts)
-    scores, back = np.empty_like(found), np.empty_like(towards)
+        np.dot(own[a:b].T, d[a:b], out=by_word[c])
+        np.dot(d[a:b], turned[c], out=back[a:b])
+    back *= share
+    towards += back
+    scores = np.empty_like(found)
     scores[order], back[order] = found, towards
     return scores, back
 
 
 @dataclass
 class Scorer:
-    """The output layer for scoring alone: biases are rows of the weights, and only what the targets need is computed."""
+    """The output layer with the biases as rows of the weights. Called, it computes only what the targets' scores need."""
 
     class_out: np.ndarray  # (hidden + 1, classes)
     word_out: np.ndarray  # (classes, hidden + 1, WIDTH)
@@ -208,86 +279,153 @@ class Scorer:
         return Scorer(np.vstack([net.class_out, net.class_bias[None]]), np.concatenate([net.word_out, net.word_bias[:, None]], axis=1))
 
     def __call__(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        order = np.argsort((targets // WIDTH).astype(np.uint16), kind="stable")
-        sorted_targets = targets[order]
-        classes, words = sorted_targets // WIDTH, sorted_targets % WIDTH
-        own = np.ones((len(order), states.shape[1] + 1), FLOAT)
-        own[:, :-1] = states[order]
-        by_word = np.empty((len(order), WIDTH), FLOAT)
-        there, starts = np.unique(classes, return_index=True)
-        for c, a, b in zip(there, starts, [*starts[1:], len(order)], strict=True):
-            np.matmul(own[a:b], self.word_out[c], out=by_word[a:b])
+        order, classes, words, parts = _by_class(targets)
+        own = _with_one(states, order)
+        logits = own @ self.class_out
+        found = _exponentials(logits, classes)[0]
+        if logits.shape[1] != WIDTH:
+            logits = np.empty((len(order), WIDTH), FLOAT)
+        for c, a, b in parts:
+            np.dot(own[a:b], self.word_out[c], out=logits[a:b])
         scores = np.empty(len(order), FLOAT)
-        scores[order] = _chosen(own @ self.class_out, classes) + _chosen(by_word, words)
+        scores[order] = found + _exponentials(logits, words)[0]
         return scores
 
 
-def _chosen(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """log softmax of each row at its target; ``logits`` are used up."""
-    if logits.max(initial=0) > 80:  # else no exponential overflows
-        logits -= logits.max(axis=1, keepdims=True)
-    chosen = logits[np.arange(len(targets)), targets]
-    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
-
-
-def document_scores(net: Network, documents: list[np.ndarray], start_symbol: int, lanes: int = 256, window: int = 32) -> np.ndarray:
-    """Natural log probability of each whole document (arrays of symbols)."""
-    total = np.zeros(len(documents))
+def document_scores(net: Network, documents: list[np.ndarray], start_symbol: int, lanes: int = 512, window: int = 8) -> np.ndarray:
+    """Natural log probability of each whole document (arrays of symbols). The steps of the lanes lie one after the other, each with the
+    lanes that go on so far, so that a long document takes no room in the lanes that are done; about ``lanes * window`` tokens are scored together."""
     if not documents:
-        return total
-    own, scorer = dealt(documents, lanes, start_symbol), Scorer.of(net)
-    state = np.zeros((len(own.lengths), net.gates.shape[0]), FLOAT)
-    first = 0
-    while first < own.lengths[0]:
-        active = int(np.searchsorted(-own.lengths, -first))  # lanes longer than ``first``
-        state = state[:active]
-        steps = int(min(window, own.lengths[active - 1] - first))  # all active lanes have so many left
-        states = forward(net, own, first, steps, state)
-        here = (slice(first, first + steps), slice(0, active))
-        scores = scorer(states.reshape(-1, states.shape[2]), own.targets[here].ravel())
-        total += np.bincount(own.document[here].ravel(), scores, len(documents))
-        state = states[-1]
-        first += steps
+        return np.zeros(0)
+    sizes = np.array([len(d) for d in documents])
+    dealing = queues(sizes, lanes)
+    order = np.concatenate(dealing)
+    lengths = np.array([sizes[q].sum() for q in dealing])
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]))  # lanes longer than a step's number
+    ends = np.cumsum(active)
+    by_lane = np.concatenate([documents[d] for d in order]).astype(np.int32)
+    begins = np.cumsum(sizes[order]) - sizes[order]
+    place = np.concatenate([(ends - active)[:n] + lane for lane, n in enumerate(lengths)])
+    targets, inputs, fresh = np.empty_like(by_lane), np.empty_like(by_lane), np.zeros(len(by_lane), bool)
+    targets[place] = by_lane
+    inputs[place[1:]] = by_lane[:-1]
+    inputs[place[begins]] = start_symbol
+    fresh[place[begins]] = True
+
+    scorer, cell = Scorer.of(net), Cell.of(net)
+    scores, state = np.empty(len(by_lane)), np.zeros((len(lengths), net.gates.shape[0]), FLOAT)
+    step = first = 0
+    while step < len(active):
+        to = max(step + 1, int(np.searchsorted(ends, first + lanes * window, "right")))
+        end = int(ends[to - 1])
+        states = _run(cell, inputs[first:end], fresh[first:end], active[step:to].tolist(), state)
+        scores[first:end] = scorer(states, targets[first:end])
+        state, step, first = states[len(states) - active[to - 1] :], to, end
+    total = np.empty(len(documents))
+    total[order] = np.add.reduceat(scores[place], begins)
     return total
 
 
+@dataclass
+class Layout:
+    """A network's weights, or gradients towards them, as training holds them: all but the inputs in one array, of which the others are views."""
+
+    cell: Cell
+    scorer: Scorer
+    dense: np.ndarray
+
+    @staticmethod
+    def zeros(inputs: int, hidden: int, classes: int) -> Layout:
+        shapes = (3, hidden, hidden), (hidden + 1, classes), (classes, hidden + 1, WIDTH)
+        ends = np.cumsum([math.prod(x) for x in shapes])
+        dense = np.zeros(ends[-1], FLOAT)
+        gates, class_out, word_out = (x.reshape(shape) for x, shape in zip(np.split(dense, ends[:-1]), shapes, strict=True))
+        return Layout(Cell(np.zeros((3, inputs, hidden), FLOAT), gates), Scorer(class_out, word_out), dense)
+
+    @staticmethod
+    def of(net: Network) -> Layout:
+        out = Layout.zeros(len(net.inputs), *net.class_out.shape)
+        cell, scorer = Cell.of(net), Scorer.of(net)
+        out.cell.inputs, out.cell.gates[:] = cell.inputs, cell.gates
+        out.scorer.class_out[:], out.scorer.word_out[:] = scorer.class_out, scorer.word_out
+        return out
+
+    def into(self, net: Network) -> None:
+        for to, a in ((net.inputs, self.cell.inputs), (net.gates, self.cell.gates)):
+            parts = to.reshape(len(to), 3, -1).transpose(1, 0, 2)
+            parts[:2], parts[2] = -a[:2], a[2]
+        net.class_out[:], net.class_bias[:] = self.scorer.class_out[:-1], self.scorer.class_out[-1]
+        net.word_out[:], net.word_bias[:] = self.scorer.word_out[:, :-1], self.scorer.word_out[:, -1]
+
+
 def window_gradient(net: Network, lanes: Lanes, first: int, steps: int, state: np.ndarray) -> tuple[float, Network, np.ndarray]:
     """Loss and gradients over one window, truncated at its start, and the state to carry on."""
-    grads = Network(*(np.zeros_like(a) for a in net.arrays()))
-    n_lanes, h = state.shape
-    kept = Kept.room((steps, n_lanes, h))
-    states = forward(net, lanes, first, steps, state, kept)
-    scores, back = output(net, states.reshape(-1, h), lanes.targets[first : first + steps, :n_lanes].ravel(), grads)
-    back = back.reshape(steps, n_lanes, h)
-
-    # A step's gates have the state's gradient times these: all but the recursion is done for the whole window.
-    by_n = (1 - kept.z) * (1 - kept.n * kept.n)
-    by_z = (kept.before - kept.n) * kept.z * (1 - kept.z)
-    by_r = by_n * kept.un * kept.r * (1 - kept.r)
-    by_gates = np.stack([by_z, by_r, by_n * kept.r], axis=2)
-    du, dh = np.empty((steps, n_lanes, 3 * h), FLOAT), np.empty_like(back)
-    goes_on = ~lanes.begins[first : first + steps, :n_lanes]
-    resets = ~goes_on.all(axis=1)
-    gates, after = np.ascontiguousarray(net.gates.T), np.zeros_like(state)
+    loss, grads, seen, state = _window(Layout.of(net), lanes, first, steps, state)
+    inputs = np.zeros((3, *(len(net.inputs), net.gates.shape[0])), FLOAT)
+    inputs[:, seen] = grads.cell.inputs
+    grads.cell.inputs = inputs
+    out = Network(*(np.empty(a.shape, FLOAT) for a in net.arrays()))
+    grads.into(out)
+    return loss, out, state
+
+
+def _window(weights: Layout, lanes: Lanes, first: int, steps: int, state: np.ndarray) -> tuple[float, Layout, np.ndarray, np.ndarray]:
+    """As ``window_gradient``, but the gradients of the inputs are those of the window's symbols alone, which are returned as well."""
+    cell, (n_lanes, h) = weights.cell, state.shape
+    grads = Layout.zeros(0, h, weights.scorer.class_out.shape[1])
+    here, whole = (slice(first, first + steps), slice(0, n_lanes)), (steps, n_lanes, h)
+    kept = Kept.room((steps * n_lanes, h))
+    symbols, begins = lanes.inputs[here].ravel(), lanes.begins[here]
+    states = _run(cell, symbols, begins.ravel(), [n_lanes] * steps, state, kept)
+    scores, back = _output(weights.scorer, states, lanes.targets[here].ravel(), grads.scorer.class_out, grads.scorer.word_out)
+
+    # A step's gates have the state's gradient times these: all but the recursion is done for the whole window. Update and reset are
+    # those of ``Cell``, the negated ones.
+    (z, r, n), un = kept.zrn, kept.u[2]
+    slopes = kept.zrn[:2] - 1
+    by_n = (n * n - 1) * slopes[0]
+    slopes *= kept.zrn[:2]
+    du = np.empty((3, steps * n_lanes, h), FLOAT)
+    np.subtract(kept.before, n, out=du[0])
+    np.multiply(by_n, un, out=du[1])
+    du[:2] *= slopes
+    np.multiply(by_n, r, out=du[2])
+    after, parts = np.zeros_like(state), np.empty((3, n_lanes, h), FLOAT)
+    resets = begins.any(axis=1).tolist()
+    gates = np.ascontiguousarray(cell.gates.transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
-        dh[t] = back[t] + after
-        du[t] = (dh[t][:, None] * by_gates[t]).reshape(n_lanes, 3 * h)
-        after = dh[t] * kept.z[t] + du[t] @ gates
+        a, b = t * n_lanes, (t + 1) * n_lanes
+        dh, own = back[a:b], du[:, a:b]
+        dh += after
+        own *= dh
+        np.matmul(own, gates, out=parts)
+        np.multiply(dh, z[a:b], out=after)
+        after += parts[0]
+        after += parts[1]
+        after += parts[2]
         if resets[t]:
-            after *= goes_on[t, :, None]
-    grads.gates += kept.before.reshape(-1, h).T @ du.reshape(-1, 3 * h)
-    du[:, :, 2 * h :] = dh * by_n
-    symbols = lanes.inputs[first : first + steps, :n_lanes].ravel()
-    order = np.argsort(symbols, kind="stable")
-    there, starts = np.unique(symbols[order], return_index=True)
-    grads.inputs[there] += np.add.reduceat(du.reshape(-1, 3 * h)[order], starts)
-    return float(-scores.sum()), grads, states[-1]
+            after[begins[t]] = 0
+    np.matmul(kept.before.T, du, out=grads.cell.gates)
+    np.multiply(back, by_n, out=du[2])
+    order = np.argsort(symbols.astype(np.uint16) if cell.inputs.shape[1] <= 1 << 16 else symbols, kind="stable")
+    ordered = symbols.take(order)
+    starts = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
+    grads.cell.inputs = np.stack([_sums(g.take(order, axis=0), starts) for g in du])
+    return float(-scores.sum()), grads, ordered[starts], states.reshape(whole)[-1]
+
+
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows. Pairs of numbers are added as complex ones, which takes half the time."""
+    if rows.dtype != np.float32 or rows.shape[1] % 2:
+        return np.add.reduceat(rows, starts)
+    return np.add.reduceat(rows.view(np.complex64), starts).view(np.float32)
 
 
 def train(net: Network, documents: list[np.ndarray], start_symbol: int, history: list[np.ndarray] | None = None, rate: float = 0.1, lanes: int = 128, window: int = 32) -> list[np.ndarray]:
     """One pass of truncated backpropagation with Adagrad over ``documents``, changing ``net``. Returns the history of
     squared gradients, to go on with. Documents are learned from whole, in strips."""
-    history = history or [np.full(a.shape, 1e-4, FLOAT) for a in net.arrays()]
+    weights = Layout.of(net)
+    history = history or [np.full(a.shape, 1e-4, FLOAT) for a in (weights.cell.inputs, weights.dense)]
     if not documents:
         return history
     own = strips(documents, lanes, start_symbol)
@@ -295,12 +433,26 @@ def train(net: Network, documents: list[np.ndarray], start_symbol: int, history:
     while first < own.lengths[0]:
         active = int(np.searchsorted(-own.lengths, -first))
         steps = int(min(window, own.lengths[active - 1] - first))
-        _, grads, state = window_gradient(net, own, first, steps, state[:active])
-        seen = np.unique(own.inputs[first : first + steps, :active])  # other symbols' gradients are zero and change nothing
-        for part, weights, g, squares in zip(fields(net), net.arrays(), grads.arrays(), history, strict=True):
-            rows = seen if part.name == "inputs" else slice(None)
-            g = g[rows] / FLOAT(max(steps * active, lanes))
-            squares[rows] += g * g
-            weights[rows] -= FLOAT(rate) * g / np.sqrt(squares[rows])
+        _, grads, seen, state = _window(weights, own, first, steps, state[:active])
+        share = FLOAT(1 / max(steps * active, lanes))
+        history[1] += _step(grads.dense, history[1], share, rate)
+        weights.dense -= grads.dense
+        for inputs, squares, g in zip(weights.cell.inputs, history[0], grads.cell.inputs, strict=True):
+            own_squares = squares.take(seen, axis=0)  # other symbols' gradients are zero and change nothing
+            own_squares += _step(g, own_squares, share, rate)
+            squares[seen] = own_squares
+            inputs[seen] = np.subtract(inputs.take(seen, axis=0), g, out=g)
         first += steps
+    weights.into(net)
     return history
+
+
+def _step(g: np.ndarray, squares: np.ndarray, share: np.floating, rate: float) -> np.ndarray:
+    """Turns gradients times ``share`` into Adagrad's steps and returns their squares, which are still to be added to ``squares``."""
+    g *= share
+    more = g * g
+    scale = squares + more
+    np.sqrt(scale, out=scale)
+    g /= scale
+    g *= FLOAT(rate)
+    return more

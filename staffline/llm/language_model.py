@@ -13,12 +13,12 @@ carried from window to window.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,56 @@ from staffline.llm.common import shared_folder, ship_package, stored, word_block
 END = b" "
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 200_000
+#: Bytes of texts that a task turns into tokens together; a longer text is cut into parts at white space.
+BLOCK = 1 << 22
+SPACES = b" \t\n\r\x0b\x0c"
+IS_SPACE = bytes(i in SPACES for i in range(256))
+
+
+# ---------------------------------------------------------------- tokens
+
+
+def token_blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The tokens of ``texts`` (binary; null is empty) in order, about ``size`` bytes at a time: tokens, and for each part of a text in the block
+    the text's number and how many tokens the part has. END follows a text's last word; a text may go on in the next block."""
+    parts: list[bytes] = []
+    of, last, held = [], [], 0
+    for i, text in enumerate(texts):
+        data, start = text.as_py() or b"", 0
+        while True:
+            stop = start + size
+            while stop < len(data) and data[stop] not in SPACES:
+                stop += 1
+            parts.append(data[start:stop])
+            of.append(i)
+            last.append(stop >= len(data))
+            held, start = held + len(parts[-1]) + 1, stop
+            if held >= size:
+                yield _tokens(parts, of, last)
+                parts, of, last, held = [], [], [], 0
+            if start >= len(data):
+                break
+    if parts:
+        yield _tokens(parts, of, last)
+
+
+def _tokens(parts: list[bytes], of: list[int], last: list[bool]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    joined = END.join([*parts, b""]).lower()  # a space after each part: the END token where a text ends
+    after = np.cumsum([len(p) + 1 for p in parts])
+    end = after[np.array(last)] - 1
+    kept = np.ones(len(joined) + 2, bool)
+    kept[0] = kept[-1] = False
+    kept[1:-1] = ~np.frombuffer(joined.translate(IS_SPACE), bool)
+    starts, stops = kept[1:-1] & ~kept[:-2], kept[1:-1] & ~kept[2:]
+    starts[end] = stops[end] = True
+    kept = kept[1:-1]
+    kept[end] = True
+    first = np.flatnonzero(starts)
+    offsets = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(np.flatnonzero(stops) + 1 - first, out=offsets[1:])
+    data = np.frombuffer(joined, np.uint8)[kept]
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return tokens, np.array(of), np.diff(np.searchsorted(first, after), prepend=0)
 
 
 # ---------------------------------------------------------------- counts
@@ -40,23 +90,29 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """(token binary, c) over all of ``docs`` (text): lower-case words, and one END for each document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
         for batch in batches:
-            for text in batch.column("text"):
-                for words in word_blocks((text.as_py() or b"").lower()):
-                    held.update(words)
-                    if len(held) > HELD:
-                        yield _rows(held)
-                        held.clear()
-                held[END] += 1
-        yield _rows(held)
+            for tokens, _, _ in token_blocks(batch.column("text")):
+                counts = tokens.value_counts()
+                held.append(pa.table({"token": counts.field(0), "n": counts.field(1)}))
+                if sum(t.num_rows for t in held) > HELD:
+                    held = [_merged(held)]
+                    if held[0].num_rows > HELD:
+                        yield from _rows(held.pop())
+        if held:
+            yield from _rows(_merged(held))
 
     partial = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "token binary, n long")
     return partial.groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def _rows(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"token": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
+def _merged(counts: list[pa.Table]) -> pa.Table:
+    sums = pa.concat_tables(counts).group_by("token", use_threads=False).aggregate([("n", "sum")])
+    return sums.select(["token", "n_sum"]).rename_columns(["token", "n"])
+
+
+def _rows(counts: pa.Table) -> list[pa.RecordBatch]:
+    return counts.set_column(0, "token", counts.column("token").cast(pa.binary())).to_batches()
 
 
 @dataclass
@@ -71,6 +127,7 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         self.place = {w: i for i, w in enumerate(self.words)}
+        self.known = pa.array(self.words, pa.large_binary())
         self.log_counts = np.log10(self.counts + 1.0)
         self.rest = self.symbols  # the symbol of all other words
         own = int(self.counts[: self.symbols].sum())
@@ -85,6 +142,9 @@ class Vocabulary:
         get = self.place.get
         return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
 
+    def places_of(self, tokens: pa.Array) -> np.ndarray:
+        return pc.index_in(tokens, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False)
+
     def symbols_of(self, places: np.ndarray) -> np.ndarray:
         return np.where((places < 0) | (places >= self.symbols), self.rest, places).astype(np.int32)
 
@@ -169,8 +229,12 @@ def with_symbols(spark: SparkSession, texts: DataFrame, words: Vocabulary) -> Da
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.concatenate([p for p, _ in encoded(t.as_py(), shared.value)]).astype(kind).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(made, pa.binary())], ["text", "symbols"])
+            for first, n in runs(batch.column("text")):
+                texts = batch.column("text").slice(first, n)
+                places, sizes, _ = placed(texts, shared.value)
+                numbers = shared.value.symbols_of(places).astype(kind)
+                made = [x.tobytes() for x in np.split(numbers, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([texts, pa.array(made, pa.binary())], ["text", "symbols"])
 
     return texts.mapInArrow(encode, "text binary, symbols binary")
 
@@ -179,6 +243,10 @@ def _number(words: Vocabulary) -> str:
     return "<u2" if words.rest < 1 << 16 else "<u4"
 
 
+#: Weights of a network that are averaged together.
+SLICE = 1024
+
+
 def _averaged_round(spark: SparkSession, sample: DataFrame, shards: int, words: Vocabulary, network: gru.Network, rate: float) -> gru.Network:
     """Each shard trains from the same weights; the mean of what they reach, weighted by documents."""
     shared, kind, start = spark.sparkContext.broadcast(network), _number(words), words.start
@@ -191,17 +259,50 @@ def _averaged_round(spark: SparkSession, sample: DataFrame, shards: int, words:
                 history = gru.train(own, documents, start, history, rate)
                 n += len(documents)
         if n:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "weights": pa.array([own.flat()], pa.list_(pa.float32()))})
+            blocks = np.split(own.flat().astype("<f4"), range(SLICE, len(own.flat()), SLICE))
+            yield pa.RecordBatch.from_pydict({"place": pa.array(range(len(blocks)), pa.int32()), "n": pa.array([n] * len(blocks), pa.int64()), "weights": pa.array([b.tobytes() for b in blocks])})
 
-    trained = sample.select("symbols").repartition(shards).mapInArrow(learn, "n long, weights array<float>")
-    each = trained.select("n", F.posexplode("weights").alias("place", "weight"))
-    mean = each.groupBy("place").agg((F.sum(F.col("weight").cast("double") * F.col("n")) / F.sum("n")).alias("weight"))
-    table = stored(mean, f"{shared_folder(spark)}/weights").toArrow()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        documents: dict[int, int] = {}
+        for batch in batches:
+            for place, n, weights in zip(*(batch.column(c).to_pylist() for c in ("place", "n", "weights")), strict=True):
+                sums[place] = sums.get(place, 0.0) + np.frombuffer(weights, "<f4").astype(float) * n
+                documents[place] = documents.get(place, 0) + n
+        mean = [(sums[place] / documents[place]).astype("<f8").tobytes() for place in sums]
+        yield pa.RecordBatch.from_pydict({"place": pa.array(sums, pa.int32()), "weights": pa.array(mean, pa.binary())})
+
+    trained = sample.select("symbols").repartition(shards).mapInArrow(learn, "place int, n long, weights binary")
+    mean = trained.repartition("place").mapInArrow(add, "place int, weights binary")  # all of a place's rows come to one task, as a stream
+    table = stored(mean, f"{shared_folder(spark)}/weights").toArrow().sort_by("place")
     if not table.num_rows:
         return network
-    flat = np.empty(table.num_rows)
-    flat[table.column("place").to_numpy()] = table.column("weight").to_numpy()
-    return network.like(flat)
+    return network.like(np.frombuffer(b"".join(table.column("weights").to_pylist()), "<f8"))
+
+
+#: Bytes of texts whose symbols a task holds together.
+TOGETHER = 1 << 24
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, how many) of runs of rows with about TOGETHER bytes of text each, a longer text alone or last."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        to = min(len(texts), int(np.searchsorted(ends, before + TOGETHER)) + 1)
+        yield first, to - first
+        first = to
+
+
+def placed(texts: pa.Array, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """The places of all tokens of ``texts`` (-1: not among the frequent ones), the number of tokens of each text, and the tokens with -1."""
+    places, sizes, rest = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), []
+    for tokens, of, n in token_blocks(texts):
+        places.append(words.places_of(tokens))
+        np.add.at(sizes, of, n)
+        rest.append(tokens.filter(pa.array(places[-1] < 0)).cast(pa.binary()))
+    return np.concatenate(places), sizes, rest
 
 
 def encoded(text: bytes, words: Vocabulary) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -213,8 +314,6 @@ def encoded(text: bytes, words: Vocabulary) -> Iterator[tuple[np.ndarray, list[b
 
 # ---------------------------------------------------------------- scoring
 
-#: Tokens whose symbols a task holds to score them together.
-TOGETHER = 1_500_000
 LN10 = math.log(10)
 
 
@@ -234,40 +333,25 @@ def score(spark: SparkSession, docs: DataFrame, model: LanguageModel, keep: list
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = shared.value
+        log_counts = np.append(vocabulary.log_counts, 0)  # that of -1 is the last
         for batch in batches:
-            first, held, symbols, rows = 0, 0, [], []
-            for i, text in enumerate(batch.column("__text")):
-                parts, rest = [], []
-                n, known, base, others = 0, 0, 0.0, 0.0
-                for block in (*word_blocks((text.as_py() or b"").lower()), [END]):
-                    places = vocabulary.places(block)
-                    parts.append(vocabulary.symbols_of(places))
-                    found = places[places >= 0]
-                    base += vocabulary.log_counts[found].sum()
-                    others += vocabulary.log_counts[found[found >= vocabulary.symbols]].sum()
-                    n, known = n + len(block), known + len(found)
-                    if len(found) < len(block):
-                        rest += [block[j] for j in np.flatnonzero(places < 0)]
-                symbols.append(np.concatenate(parts))
-                rows.append((n, known, base, others, int((symbols[-1] == vocabulary.rest).sum()), rest))
-                held += n
-                if held >= TOGETHER or i + 1 == batch.num_rows:
-                    likely = gru.document_scores(network, symbols, vocabulary.start) / LN10
-                    yield described(batch.slice(first, len(rows)), rows, likely)
-                    first, held, symbols, rows = i + 1, 0, [], []
-
-    def described(batch: pa.RecordBatch, rows: list[tuple], likely: np.ndarray) -> pa.RecordBatch:
-        n, known, base, others, n_rest, rest = zip(*rows, strict=True)
-        made = {
-            "n": pa.array(n, pa.int64()),
-            "known": pa.array(known, pa.int64()),
-            "base": pa.array(base, pa.float64()),
-            "others": pa.array(others, pa.float64()),
-            "n_rest": pa.array(n_rest, pa.int64()),
-            "likely": pa.array(likely),
-            "rest": pa.array(rest, pa.list_(pa.binary())),
-        }
-        return pa.RecordBatch.from_pydict({f"kept_{k}": batch.column(k) for k in names} | made)
+            for first, n in runs(batch.column("__text")):
+                here = batch.slice(first, n)
+                places, sizes, rest = placed(here.column("__text"), vocabulary)
+                symbols, starts = vocabulary.symbols_of(places), np.cumsum(sizes) - sizes
+                logs, other = log_counts[places], symbols == vocabulary.rest
+                likely = gru.document_scores(network, np.split(symbols, starts[1:]), vocabulary.start) / LN10
+                unknown = np.add.reduceat(places < 0, starts, dtype=np.int64)
+                made = {
+                    "n": pa.array(sizes),
+                    "known": pa.array(sizes - unknown),
+                    "base": pa.array(np.add.reduceat(logs, starts)),
+                    "others": pa.array(np.add.reduceat(np.where(other, logs, 0), starts)),
+                    "n_rest": pa.array(np.add.reduceat(other, starts, dtype=np.int64)),
+                    "likely": pa.array(likely),
+                    "rest": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(unknown)), pa.int32()), pa.concat_arrays(rest)),
+                }
+                yield pa.RecordBatch.from_pydict({f"kept_{k}": here.column(k) for k in names} | made)
 
     schema = T.StructType([T.StructField(f"kept_{f.name}", f.dataType) for f in fields])
     for name, kind in (("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("others", T.DoubleType()), ("n_rest", T.LongType()), ("likely", T.DoubleType()), ("rest", T.ArrayType(T.BinaryType()))):

@@ -1,7 +1,9 @@
 import collections
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from staffline.llm import gru as G
@@ -195,3 +197,41 @@ def test_strips_hold_all_documents_with_the_true_symbol_before():
         want = [(0 if i == 0 else d[i - 1], x, i == 0) for d in documents for i, x in enumerate(d)]
         assert stream == want and len(own.lengths) <= lanes and (np.diff(own.lengths) <= 0).all()
         assert own.lengths[:-1].tolist() == [own.lengths[0]] * (len(own.lengths) - 1)
+
+
+def test_tokens_are_whole_however_texts_are_cut():
+    odd = [None, b"", b"  ", b"A b\x00c\x1c d\xff\xc3\x89 ", b"\t\n\x0b\x0c\rx", b"x", b"long word " * 50, b"y" * 30, None]
+    for size in (1, 5, 16, 1 << 22):
+        found = [[] for _ in odd]
+        for block, of, sizes in M.token_blocks(pa.array(odd, pa.binary()), size):
+            assert len(block) == sizes.sum()
+            for i, part in zip(of, np.split(np.array(block.to_pylist(), object), np.cumsum(sizes)[:-1]), strict=True):
+                found[i] += part.tolist()
+        assert found == [[*(x or b"").lower().split(), M.END] for x in odd]
+
+
+def test_runs_of_texts_hold_each_row_once(monkeypatch):
+    monkeypatch.setattr(M, "TOGETHER", 10)
+    texts = pa.array([b"", b"x" * 30, None, b"1234", b"123456", b"1", b"x" * 11], pa.binary())
+    assert [*M.runs(texts)] == [(0, 2), (2, 3), (5, 2)] and [*M.runs(texts[:0])] == []
+
+
+def test_a_long_document_takes_no_room_in_the_other_lanes():
+    rng = np.random.default_rng(5)
+    documents = [rng.integers(0, 90, n).astype(np.int32) for n in (30_000, *[20] * 300)]
+    net = G.Network.untrained(np.ones(90), 4)
+    tracemalloc.start()
+    G.document_scores(net, documents, 0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400 * sum(map(len, documents))
+
+
+def test_the_mean_of_equal_weights_is_themselves(spark):
+    """In several shards and several slices of the weights; a rate of 0 leaves every shard's weights as they are."""
+    words = M.Vocabulary([b" ", b"a", b"b"], np.array([9, 5, 2]), 3, 16, 3)
+    net = G.Network.untrained(words.symbol_counts, 24)
+    sample = spark.createDataFrame([(np.array([1, 2, 0][: 1 + i % 3], "<u2").tobytes(),) for i in range(20)], "symbols binary")
+    assert net.flat().size > 3 * M.SLICE
+    found = M._averaged_round(spark, sample, 3, words, net, 0.0)
+    assert all((a == b).all() for a, b in zip(found.arrays(), net.arrays(), strict=True))
